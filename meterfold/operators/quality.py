@@ -63,36 +63,31 @@ def quality_report(df: DataFrame, table: str) -> DataFrame:
     row per task is exchanged.
     """
     missing, extra = column_differences(df, table)
-    spark = df.sparkSession
-    by_name = spark.createDataFrame(
-        [(table, name, rule, None, None)
-         for rule, names in (("missing", missing), ("extra", extra)) for name in names],
-        REPORT,
-    )
+
+    def line(column, rule, count, example):
+        return F.struct(
+            F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
+            F.lit(rule).alias("rule"), count.cast("bigint").alias("n_violations"),
+            example.cast("string").alias("example"))
+
+    def example_of(check):
+        if check.rule == "not_null":
+            return F.lit(None)
+        return F.min(F.when(check.broken, F.col(check.column).cast("string")))
+
+    none = F.lit(None)
+    rows = [line(c, "missing", none, none) for c in missing]
+    rows += [line(c, "extra", none, none) for c in extra]
     checks = row_checks(df, table)
-    if not checks:
-        return by_name
-    found = F.struct(*[
-        F.struct(
-            F.count_if(c.broken).alias("n_violations"),
-            (F.lit(None).cast("string") if c.rule == "not_null"
-             else F.min(F.when(c.broken, F.col(c.column).cast("string")))).alias("example"),
-        ).alias(f"c{i}")
-        for i, c in enumerate(checks)
-    ])
-    rows = F.array(*[
-        F.struct(
-            F.lit(table).alias("table_name"), F.lit(c.column).alias("column_name"),
-            F.lit(c.rule).alias("rule"),
-            F.col(f"found.c{i}.n_violations").alias("n_violations"),
-            F.col(f"found.c{i}.example").alias("example"),
-        )
-        for i, c in enumerate(checks)
-    ])
-    by_value = (
-        df.agg(found.alias("found")).select(F.inline(rows)).where("n_violations > 0")
-    )
-    return by_name.unionByName(by_value)
+    measured = {}
+    for i, check in enumerate(checks):
+        measured[f"n{i}"], measured[f"e{i}"] = F.count_if(check.broken), example_of(check)
+        rows.append(line(check.column, check.rule, F.col(f"n{i}"), F.col(f"e{i}")))
+    if not rows:
+        return df.sparkSession.createDataFrame([], REPORT)
+    counts = df.agg(F.count(F.lit(1)), *[c.alias(name) for name, c in measured.items()])
+    report = counts.select(F.inline(F.array(*rows)))
+    return report.where(F.col("n_violations").isNull() | (F.col("n_violations") > 0))
 
 
 def violations(df: DataFrame, table: str) -> list[str]:

@@ -10,7 +10,7 @@ from meterfold.operators.merge import merge_rows
 from meterfold.operators.dedup import keep_first, last_arrived
 from meterfold.operators.quality import require_valid
 from meterfold.sources.lake import BUCKETS, Layout, bucket_of, read_measures, read_parquet
-from meterfold.sources.schemas import KEYS, MEASURES, list_columns, schema_of
+from meterfold.sources.schemas import KEYS, list_columns, schema_of
 
 MEASURE_INPUT = ["id_pdl", "label", "val", "ts", "date_debut", "date_fin", "fmt", "uuid", "misc"]
 
@@ -63,22 +63,22 @@ def write_measures(
     Only buckets that receive rows are read and rewritten. The rebalance before the write lets
     adaptive execution split a bucket that holds a very busy meter over several tasks and files.
     """
-    spark = measures.sparkSession
     keys = KEYS["donnees_mesures"]
-    latest = last_arrived(measures, keys, arrival)
-    incoming = require_valid(prepare_measures(latest, now), "donnees_mesures").withColumn(
-        "bucket", bucket_of(F.col("id_pdl"), buckets)
-    )
-    # At most ``buckets`` integers.
-    touched = [r.bucket for r in incoming.select("bucket").distinct().collect()]
+    require_valid(prepare_measures(measures, now), "donnees_mesures")
+    bucket = bucket_of(F.col("id_pdl"), buckets)
+    # At most ``buckets`` integers, from one narrow column.
+    touched = [r.bucket for r in measures.select(bucket.alias("bucket")).distinct().collect()]
     if not touched:
         return 0
-    stored = read_measures(spark, layout).where(F.col("bucket").isin(touched))
-    merged = merge_rows(stored, incoming, ["bucket", *keys])
-    seen = Observation()
-    rows = merged.observe(
-        seen, F.count_if(F.col("ingestion_ts") == stamp_literal(now)).alias("n")
+    incoming = prepare_measures(last_arrived(measures, keys, arrival), now)
+    stored = read_measures(measures.sparkSession, layout).where(F.col("bucket").isin(touched))
+    merged = merge_rows(
+        stored.withColumn("incoming", F.lit(False)),
+        incoming.withColumns({"bucket": bucket, "incoming": F.lit(True)}),
+        ["bucket", *keys],
     )
+    seen = Observation()
+    rows = merged.observe(seen, F.count_if("incoming").alias("n")).drop("incoming")
     (
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id_pdl")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -179,5 +179,3 @@ def log_history_requests(
 
 def count_rows(spark: SparkSession, layout: Layout, table: str) -> int:
     return read_parquet(spark, layout.silver(table), schema_of(table), absent_is_empty=True).count()
-
-
