@@ -6,10 +6,10 @@ from meterfold.fixed_values import BOOLEAN_DIALECTS
 from meterfold.functions.text import strip
 
 
-def parse_bool(c: Column, dialect: str) -> Column:
+def parse_bool(c: Column, dialect: str, stripped: bool = False) -> Column:
     """Text to boolean; unknown spellings give null (``existing``: false)."""
     yes, no = BOOLEAN_DIALECTS[dialect]
-    word = F.lower(strip(c.cast("string")))
+    word = F.lower(c if stripped else strip(c.cast("string")))
     if dialect == "existing":
         # A non-zero number also counts as true in stored rows.
         nonzero = F.coalesce(word.try_cast("double"), F.lit(0.0)) != 0.0

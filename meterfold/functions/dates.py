@@ -14,15 +14,15 @@ _ISO_STAMP = (
 )
 
 
-def parse_day(c: Column) -> Column:
+def parse_day(c: Column, stripped: bool = False) -> Column:
     """Text ``YYYY-MM-DD`` (one-digit month or day accepted) to date; anything else is null."""
-    s = strip(c.cast("string"))
+    s = c if stripped else strip(c.cast("string"))
     return F.when(s.rlike(_DAY), s.try_cast("date"))
 
 
 def iso_day(c: Column) -> Column:
     """Date as ISO text."""
-    return F.date_format(c, "yyyy-MM-dd")
+    return c.cast("string")
 
 
 def lenient_iso_day(c: Column) -> Column:

@@ -6,8 +6,14 @@ from meterfold.fixed_values import EMAIL_PATTERN, MAX_LENGTH, POSTAL_CODE_PATTER
 
 
 def strip(c: Column) -> Column:
-    """Remove Unicode whitespace at both ends (``trim`` alone only removes spaces)."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Remove Unicode whitespace at both ends.
+
+    ``trim`` removes spaces cheaply; the set-based trim runs only when another whitespace
+    character is left at an end.
+    """
+    t, spaces = F.trim(c), F.lit(WHITESPACE)
+    edge = spaces.contains(F.substring(t, 1, 1)) | spaces.contains(F.substring(t, -1, 1))
+    return F.when(edge, F.btrim(t, spaces)).otherwise(t)
 
 
 def clean(c: Column) -> Column:

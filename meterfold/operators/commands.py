@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterfold.functions.text import clean
 from meterfold.operators import electricity, gas
-from meterfold.operators.outcomes import OUTCOME_TYPE, bind
+from meterfold.operators.outcomes import OUTCOME_TYPE, Facts, bind, fact_struct
 from meterfold.session import ensure_checkpoint_dir
 
 BOOKS = {"gas": gas, "electricity": electricity}
@@ -30,20 +30,26 @@ def state_of(registry: DataFrame, book) -> DataFrame:
 
 
 def _no_state(book) -> Column:
-    return F.struct(
-        F.lit(False).alias("exists"),
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in book.STATE_TYPE if f.name != "exists"],
-    )
+    columns = ", ".join(
+        f"'{f.name}', CAST(NULL AS {f.dataType.simpleString()})"
+        for f in book.STATE_TYPE if f.name != "exists")
+    return F.expr(f"named_struct('exists', false, {columns})")
 
 
-def with_facts(commands: DataFrame, book) -> DataFrame:
-    """(seq, id, facts); a creation is addressed by the id inside its body."""
+def addressed(commands: DataFrame, book) -> DataFrame:
+    """(seq, id, op, body); a creation is addressed by the id inside its body."""
     body = F.coalesce(F.col("body"), F.create_map().cast("map<string,string>"))
-    target = F.when(F.col("op") == "create", clean(body[book.KEY])).otherwise(F.col("id"))
-    return commands.select("seq", target.alias("id"), book.facts(F.col("op"), body).alias("f"))
+    target = F.when(F.col("op") == "create", clean(F.col("body")[book.KEY])).otherwise(F.col("id"))
+    return commands.select("seq", target.alias("id"), "op", body.alias("body"))
+
 
+def with_facts(commands: DataFrame, book, *keep: str) -> DataFrame:
+    """(seq, id, f): addressed commands with their facts as one struct."""
+    facts = fact_struct(book.FACT_ERRORS, book.PATCH_FIELDS, book.VALUE_COLUMNS)
+    return book.add_facts(commands).select("seq", "id", *keep, facts.alias("f"))
 
-def _verdict(f: Column, state: Column, book) -> Column:
+
+def _verdict(f, state: Column, book) -> Column:
     return bind(book.patch_error(f, state), lambda bad: book.verdict(f, state, bad))
 
 
@@ -51,19 +57,27 @@ def judge(commands: DataFrame, registry: DataFrame, book, now: datetime | None =
     """Outcome of every command against the snapshot; with ``now`` also its next state.
 
     One join on the id: the registry is unique by id, so a much-addressed meter only makes the
-    command side large, which adaptive execution splits.
+    command side large, which adaptive execution splits. Bodies travel raw and are read after
+    the join.
     """
-    joined = with_facts(commands, book).join(state_of(registry, book), "id", "left").select(
-        "seq", "id", "f", F.coalesce("state", _no_state(book)).alias("state")
-    )
-    f, state = F.col("f"), F.col("state")
-    judged = joined.withColumn("bad_patch", book.patch_error(f, state)).withColumn(
-        "o", book.verdict(f, state, F.col("bad_patch"))
+    joined = addressed(commands, book).join(state_of(registry, book), "id", "left").withColumn(
+        "state", F.coalesce("state", _no_state(book)))
+    f, state = Facts(), F.col("state")
+    judged = (
+        book.add_facts(joined)
+        .withColumn("bad_patch", F.when(F.col("op") == "patch", book.patch_error(f, state)))
+        .withColumn("o", book.verdict(f, state, F.col("bad_patch")))
     )
     extra = []
     if now is not None:
         extra = [book.next_state(f, state, F.col("o"), now).alias("state")]
-    return judged.select("seq", "id", F.col("f.op").alias("op"), "o.*", *extra)
+    return judged.select("seq", "id", "op", "o.*", *extra)
+
+
+def validate_creations(commands: DataFrame, book) -> DataFrame:
+    """Creation rules alone, without a registry: erreur, champ and message are null when valid."""
+    rows = book.add_facts(addressed(commands, book))
+    return rows.select("seq", "id", "create_error.*")
 
 
 def lookup(ids: DataFrame, registry: DataFrame, book, view: DataFrame) -> DataFrame:
@@ -111,18 +125,25 @@ def _gather(commands: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _entry(chunks: DataFrame, registry: DataFrame, book) -> DataFrame:
-    return chunks.join(state_of(registry, book), "id", "left").withColumn(
-        "state", F.coalesce("state", _no_state(book))
-    )
+    """Add the stored state of each chunk's meter."""
+    c, r = chunks.alias("c"), state_of(registry, book).alias("r")
+    known = (F.col("c.place") == F.col("r.id")) & F.col("c.id").isNotNull()
+    return c.join(r, known, "left").select(
+        "c.*", F.coalesce("r.state", _no_state(book)).alias("state"))
 
 
 def _fold_whole(commands: DataFrame, registry: DataFrame, book, now: datetime) -> DataFrame:
-    """Meters whose commands fit one array: (id, r) with r = struct(state, outcomes)."""
-    started = _entry(_gather(commands, ["id"]), registry, book)
-    return started.select("id", _run(F.col("commands"), F.col("state"), book, now).alias("r"))
+    """Meters whose commands fit one array: (id, outcomes, state).
+
+    Raw bodies are shuffled once; facts, arrays, the state join and the fold follow in place.
+    """
+    local = with_facts(commands.repartition("place"), book, "place")
+    started = _entry(_gather(local, ["place", "id"]), registry, book)
+    run = _run(F.col("commands"), F.col("state"), book, now)
+    return started.select("id", run.alias("r")).select("id", "r.outcomes", "r.state")
 
 
-def _cut(commands: DataFrame, chunk_rows: int) -> DataFrame:
+def _cut(commands: DataFrame, book, chunk_rows: int) -> DataFrame:
     """Cut long command sequences into linked chunks of at most ``chunk_rows`` commands.
 
     A range sort on (id, seq) spreads one meter over many tasks; a chunk is a run of rows inside
@@ -130,13 +151,14 @@ def _cut(commands: DataFrame, chunk_rows: int) -> DataFrame:
     or the meter's last block in the nearest earlier task that has the meter.
     """
     placed = (
-        commands.repartitionByRange("id", "seq").sortWithinPartitions("id", "seq")
+        commands.repartitionByRange("place", "seq").sortWithinPartitions("place", "seq")
         .withColumn("at", F.monotonically_increasing_id())
         .withColumn("part", F.shiftright("at", 33))
         .withColumn("block", F.floor(F.col("at").bitwiseAND((1 << 33) - 1) / chunk_rows))
         .drop("at")
     )
-    chunks = _gather(placed, ["id", "part", "block"]).checkpoint()
+    cut = with_facts(placed, book, "place", "part", "block")
+    chunks = _gather(cut, ["place", "id", "part", "block"]).checkpoint()
     # At most one row per meter and sort task, so this window stays small.
     spans = chunks.groupBy("id", "part").agg(
         F.min("block").alias("first_block"), F.max("block").alias("last_block")
@@ -149,7 +171,7 @@ def _cut(commands: DataFrame, chunk_rows: int) -> DataFrame:
     )
     inside = F.col("block") > F.col("first_block")
     return chunks.join(spans, ["id", "part"]).select(
-        "id", "part", "block", "commands",
+        "place", "id", "part", "block", "commands",
         F.when(inside, F.col("part")).otherwise(F.col("before_part")).alias("prev_part"),
         F.when(inside, F.col("block") - 1).otherwise(F.col("before_block")).alias("prev_block"),
     )
@@ -164,7 +186,7 @@ def _fold_cut(commands: DataFrame, registry: DataFrame, book, now: datetime, chu
     overwrites what later commands read makes its successors independent of the past, which is
     why a few rounds are enough in practice.
     """
-    chunks = _entry(_cut(commands, chunk_rows), registry, book)
+    chunks = _entry(_cut(commands, book, chunk_rows), registry, book)
     solved = chunks.withColumn(
         "r", _run(F.col("commands"), F.col("state"), book, now)
     ).withColumnRenamed("state", "entry").checkpoint()
@@ -200,41 +222,30 @@ def fold(
     Meters with at most ``chunk_rows`` commands fold as one array; the others, found by a count
     with map-side partial sums, are cut into chunks.
     """
-    prepared = with_facts(commands, book)
-    # Addressless creations are refused whatever the state; keep them out of the grouping.
-    nowhere = prepared.where(F.col("id").isNull())
-    placed = prepared.where(F.col("id").isNotNull())
-    long = commands.select(
-        F.when(F.col("op") == "create", clean(F.col("body")[book.KEY]))
-        .otherwise(F.col("id")).alias("id")
-    ).where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") > chunk_rows
-    ).select("id")
-
-    accepted = F.exists("r.outcomes", lambda x: x["o"]["http_status"].isin(200, 201))
+    asked = addressed(commands, book)
+    long = asked.where(F.col("id").isNotNull()).groupBy("id").agg(
+        F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_rows).select("id")
+    # Creations without an id are refused one by one; a place of their own keeps them spread.
+    asked = asked.withColumn(
+        "place", F.coalesce("id", F.concat(F.lit("seq "), F.col("seq").cast("string"))))
+
+    accepted = F.exists("outcomes", lambda x: x["o"]["http_status"].isin(200, 201))
     if long.isEmpty():
-        pieces = finals = _fold_whole(placed, registry, book, now).select(
-            "id", "r.outcomes", F.col("r.state").alias("state"), accepted.alias("accepted")
-        )
+        whole = _fold_whole(asked, registry, book, now)
+        pieces, finals = whole, whole.select("id", "state", accepted.alias("accepted"))
     else:
         ensure_checkpoint_dir(commands.sparkSession)
-        short = _fold_whole(placed.join(long, "id", "left_anti"), registry, book, now).select(
-            "id", "r.outcomes", F.col("r.state").alias("state"), accepted.alias("accepted")
-        )
-        cut = _fold_cut(placed.join(long, "id", "left_semi"), registry, book, now, chunk_rows)
+        short = _fold_whole(asked.join(long, "id", "left_anti"), registry, book, now)
+        cut = _fold_cut(asked.join(long, "id", "left_semi"), registry, book, now, chunk_rows)
+        cut = cut.select("id", "part", "block", "r.outcomes", "r.state")
         last = cut.groupBy("id").agg(
-            F.max_by(F.col("r.state"), F.struct("part", "block")).alias("state"),
+            F.max_by("state", F.struct("part", "block")).alias("state"),
             F.max(accepted).alias("accepted"),
         )
-        pieces = short.select("id", "outcomes").unionByName(cut.select("id", "r.outcomes"))
-        finals = short.select("id", "state", "accepted").unionByName(last)
-    outcomes = pieces.select("id", F.explode("outcomes").alias("x"))
-
-    refused = nowhere.select(
-        "id", F.struct("seq", F.col("f.op").alias("op"),
-                       _verdict(F.col("f"), _no_state(book), book).alias("o")).alias("x")
-    )
-    outcomes = outcomes.unionByName(refused).select("x.seq", "id", "x.op", "x.o.*")
+        pieces = short.select("id", "outcomes").unionByName(cut.select("id", "outcomes"))
+        finals = short.select("id", "state", accepted.alias("accepted")).unionByName(last)
+    outcomes = pieces.select("id", F.explode("outcomes").alias("x")).select(
+        "x.seq", "id", "x.op", "x.o.*")
     changes = finals.where("accepted").select(F.col("id").alias(book.KEY), "state.*").drop("exists")
     return outcomes, changes
 

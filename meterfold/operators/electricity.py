@@ -5,15 +5,15 @@ Same shape as the gas rules: body-only facts, then a verdict against the stored
 
 from datetime import datetime
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from meterfold import fixed_values as fv
-from meterfold.functions.booleans import any_true, bool_text, parse_bool
-from meterfold.functions.dates import parse_day, show_typed_stamp, stamp_literal
-from meterfold.functions.text import clean, is_filled, is_missing, longer_than, one_of
+from meterfold.functions.booleans import any_true, parse_bool
+from meterfold.functions.dates import parse_day, stamp_literal
+from meterfold.functions.text import clean, is_filled, longer_than, one_of
 from meterfold.operators.outcomes import (
-    ERROR_TYPE, error, fill, first_error, first_unlisted, invalid, outcome, rejected,
+    error, fill, first_error, first_unlisted, invalid, outcome, rejected,
 )
 from meterfold.sources.schemas import PDL
 
@@ -32,13 +32,23 @@ STATE_TYPE = T.StructType(
 )
 
 
-def _too_long(body: Column, champ: str) -> Column:
+FACT_ERRORS = ["create_error", "guard_error", "name_error", "spelling_error"]
+PATCH_FIELDS = fv.ELEC_PATCH_FIELDS
+VALUE_COLUMNS = ["partner", "platform_code", *fv.ELEC_PATCH_FIELDS]
+_TEXTS = ("partner", "platform_code", "raison_sociale", "civilite", "nom", "prenom")
+
+
+def _text(c: str) -> Column:
+    return F.col(f"text_{c}")
+
+
+def _too_long(champ: str) -> Column:
     n = fv.MAX_LENGTH[champ]
-    return invalid(longer_than(clean(body[champ]), n), champ, "too_long", n=n)
+    return invalid(longer_than(_text(champ), n), champ, "too_long", n=n)
 
 
-def _civility_error(body: Column) -> Column:
-    given = F.upper(clean(body["civilite"]))
+def _civility_error() -> Column:
+    given = F.upper(_text("civilite"))
     return invalid(given.isNotNull() & ~one_of(given, fv.CIVILITIES), "civilite", "civility")
 
 
@@ -46,72 +56,79 @@ def _stored_flag(state: Column, c: str) -> Column:
     return parse_bool(state[c], "existing_text").cast("string")
 
 
-def create_error(body: Column) -> Column:
-    required = lambda c: invalid(is_missing(body[c]), c, "required")
-    day = lambda c: parse_day(body[c])
+def _create_error() -> Column:
+    day = lambda c: F.col(f"day_{c}")
+    flag = lambda c: F.col(f"flag_{c}")
+    required = lambda c: invalid(_text(c).isNull(), c, "required")
     unreadable = lambda c: invalid(
-        body[c].isNotNull() & parse_bool(body[c], "input").isNull(), c, "boolean")
-    unknown = first_unlisted(body, fv.ELEC_CREATE_FIELDS)
-    flag = lambda c, default=None: F.coalesce(
-        parse_bool(body[c], "input"), F.lit(default))
+        F.col("body")[c].isNotNull() & flag(c).isNull(), c, "boolean")
+    unknown = F.col("not_creatable")
+    by_default = lambda c: F.coalesce(flag(c), F.lit(True))
     return first_error(
         F.when(unknown.isNotNull(), error(fv.UNKNOWN_FIELD, unknown, fill("unknown", unknown))),
-        required(KEY), _too_long(body, KEY),
+        required(KEY), _too_long(KEY),
         required("partner"),
-        invalid(~one_of(F.lower(clean(body["partner"])), fv.PARTNERS), "partner", "one_of",
+        invalid(~one_of(F.lower(_text("partner")), fv.PARTNERS), "partner", "one_of",
                 choices=", ".join(fv.PARTNERS)),
-        required("platform_code"), _too_long(body, "platform_code"),
+        required("platform_code"), _too_long("platform_code"),
         *[rule for c in fv.ELEC_DATES
           for rule in (required(c), invalid(day(c).isNull(), c, "date"))],
         invalid(day(_END) <= day(_START), _END, "order", **_ORDER),
-        invalid(is_missing(body["raison_sociale"]) & is_missing(body["nom"]),
+        invalid(_text("raison_sociale").isNull() & _text("nom").isNull(),
                 "raison_sociale", "holder", **_HOLDER),
-        *[_too_long(body, c) for c in ("raison_sociale", "nom", "prenom")],
-        _civility_error(body),
+        *[_too_long(c) for c in ("raison_sociale", "nom", "prenom")],
+        _civility_error(),
         required("injection"), unreadable("injection"),
         required("soutirage"), unreadable("soutirage"),
         unreadable("get_cdc"), unreadable("get_dm"),
         invalid(~any_true(flag("injection"), flag("soutirage")), None, "pair", **_DRAW),
-        invalid(~any_true(flag("get_cdc", True), flag("get_dm", True)), None, "pair", **_SERIES),
+        invalid(~any_true(by_default("get_cdc"), by_default("get_dm")), None, "pair", **_SERIES),
     )
 
 
-def facts(op: Column, body: Column) -> Column:
-    has = lambda c: F.map_contains_key(body, c)
-    creating, patching = op == "create", op == "patch"
-    unlisted = first_unlisted(body, fv.ELEC_PATCH_FIELDS)
-    guard = first_error(
-        F.when(unlisted.isNotNull(),
-               error(fv.READ_ONLY_FIELD, unlisted, fill("read_only", unlisted))),
-        F.when(F.size(body) == 0, error(fv.INVALID_FIELD, None, fv.TEXT["empty_patch"])),
-        *[invalid(has(c) & parse_day(body[c]).isNull(), c, "date") for c in fv.ELEC_DATES],
-    )
-    names = first_error(_civility_error(body), _too_long(body, "raison_sociale"),
-                        _too_long(body, "nom"))
-    spelling = first_error(_too_long(body, "prenom"), *[
-        invalid(has(c) & parse_bool(body[c], "input").isNull(), c, "boolean")
-        for c in fv.ELEC_FLAGS
-    ])
-    values = {
-        "partner": F.lower(clean(body["partner"])),
-        "platform_code": clean(body["platform_code"]),
-        **{c: parse_day(body[c]) for c in fv.ELEC_DATES},
-        **{c: clean(body[c]) for c in ("raison_sociale", "nom", "prenom")},
-        "civilite": F.upper(clean(body["civilite"])),
-        **{c: bool_text(body[c]) for c in ("injection", "soutirage")},
-        **{c: bool_text(body[c], F.when(creating, F.lit("true"))) for c in ("get_cdc", "get_dm")},
+def _patch_errors() -> dict[str, Column]:
+    has = lambda c: F.col(f"has_{c}")
+    unlisted = F.col("not_patchable")
+    return {
+        "guard_error": first_error(
+            F.when(unlisted.isNotNull(),
+                   error(fv.READ_ONLY_FIELD, unlisted, fill("read_only", unlisted))),
+            F.when(F.size("body") == 0, error(fv.INVALID_FIELD, None, fv.TEXT["empty_patch"])),
+            *[invalid(has(c) & F.col(f"day_{c}").isNull(), c, "date") for c in fv.ELEC_DATES],
+        ),
+        "name_error": first_error(_civility_error(), _too_long("raison_sociale"), _too_long("nom")),
+        "spelling_error": first_error(_too_long("prenom"), *[
+            invalid(has(c) & F.col(f"flag_{c}").isNull(), c, "boolean") for c in fv.ELEC_FLAGS
+        ]),
     }
-    none = F.lit(None).cast(ERROR_TYPE)
-    return F.struct(
-        op.alias("op"),
-        F.when(creating, create_error(body)).otherwise(none).alias("create_error"),
-        F.when(patching, guard).otherwise(none).alias("guard_error"),
-        F.when(patching, names).otherwise(none).alias("name_error"),
-        F.when(patching, spelling).otherwise(none).alias("spelling_error"),
-        F.struct(*[F.coalesce(has(c), F.lit(False)).alias(c) for c in fv.ELEC_PATCH_FIELDS])
-        .alias("has"),
-        F.struct(*[value.alias(c) for c, value in values.items()]).alias("value"),
-    )
+
+
+def add_facts(commands: DataFrame) -> DataFrame:
+    """What the body alone decides: fields present, their normal form, the body's own errors."""
+    body = F.col("body")
+    texts = commands.withColumns({
+        **{f"text_{c}": clean(body[c]) for c in fv.ELEC_CREATE_FIELDS},
+        **{f"has_{c}": F.map_contains_key(body, c) for c in fv.ELEC_PATCH_FIELDS},
+        "not_creatable": first_unlisted(body, fv.ELEC_CREATE_FIELDS),
+        "not_patchable": first_unlisted(body, fv.ELEC_PATCH_FIELDS),
+    })
+    texts = texts.withColumns({
+        **{f"day_{c}": parse_day(_text(c), stripped=True) for c in fv.ELEC_DATES},
+        **{f"flag_{c}": parse_bool(_text(c), "input", stripped=True) for c in fv.ELEC_FLAGS},
+    })
+    creating, patching = F.col("op") == "create", F.col("op") == "patch"
+    as_text = lambda c: F.col(f"flag_{c}").cast("string")
+    return texts.withColumns({
+        "create_error": F.when(creating, _create_error()),
+        **{name: F.when(patching, rules) for name, rules in _patch_errors().items()},
+        **{f"value_{c}": _text(c) for c in _TEXTS},
+        "value_partner": F.lower("text_partner"),
+        "value_civilite": F.upper("text_civilite"),
+        **{f"value_{c}": F.col(f"day_{c}") for c in fv.ELEC_DATES},
+        **{f"value_{c}": as_text(c) for c in ("injection", "soutirage")},
+        **{f"value_{c}": F.coalesce(as_text(c), F.when(creating, F.lit("true")))
+           for c in ("get_cdc", "get_dm")},
+    })
 
 
 def patch_error(f: Column, state: Column) -> Column:
@@ -182,6 +199,3 @@ def next_state(f: Column, state: Column, result: Column, now: datetime) -> Colum
         F.struct(F.lit(True).alias("exists"), *[changed[c].alias(c) for c in STATE_COLUMNS]),
     ).otherwise(state)
 
-
-def shown_stamp(state: Column) -> Column:
-    return show_typed_stamp(state["date_modification"])

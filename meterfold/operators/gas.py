@@ -7,17 +7,17 @@ ordered fold over several commands of one meter.
 
 from datetime import datetime
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from meterfold import fixed_values as fv
 from meterfold.functions.booleans import any_true, parse_bool
-from meterfold.functions.dates import iso_day, iso_stamp, parse_day, show_stamp
+from meterfold.functions.dates import iso_day, iso_stamp, parse_day
 from meterfold.functions.text import (
-    clean, is_email, is_filled, is_missing, is_postal_code, longer_than, one_of,
+    clean, is_email, is_filled, is_postal_code, longer_than, one_of,
 )
 from meterfold.operators.outcomes import (
-    ERROR_TYPE, error, fill, first_error, first_unlisted, invalid, outcome, rejected,
+    error, fill, first_error, first_unlisted, invalid, outcome, rejected,
 )
 from meterfold.sources.schemas import GAS_REGISTRY
 
@@ -57,73 +57,87 @@ def _holder_error(broken: Column) -> Column:
     return invalid(broken, _COMPANY, "holder", a=_COMPANY, b=_NAME)
 
 
-def create_error(body: Column) -> Column:
+FACT_ERRORS = ["create_error", "guard_error", "length_error", "spelling_error"]
+PATCH_FIELDS = fv.GAS_PATCH_FIELDS
+VALUE_COLUMNS = ["partner", "platform_code", *fv.GAS_PATCH_FIELDS]
+
+
+def _create_error() -> Column:
     """First broken creation rule (null when the body is acceptable)."""
-    v = lambda c: clean(body[c])
-    day = lambda c: parse_day(body[c])
-    required = lambda c: invalid(is_missing(body[c]), c, "required")
+    text = lambda c: F.col(f"text_{c}")
+    day = lambda c: F.col(f"day_{c}")
+    required = lambda c: invalid(text(c).isNull(), c, "required")
     dated = lambda c: [required(c), invalid(day(c).isNull(), c, "date")]
-    unknown = first_unlisted(body, fv.GAS_CREATE_FIELDS)
-    partner = F.lower(v("partner"))
+    unknown = F.col("not_creatable")
     flags = [
-        F.coalesce(parse_bool(body[c], "input"), F.lit(default))
+        F.coalesce(F.col(f"flag_{c}"), F.lit(default))
         for c, default in zip(fv.GAS_PERIMETERS, fv.GAS_PERIMETER_DEFAULTS)
     ]
     return first_error(
         F.when(unknown.isNotNull(), error(fv.UNKNOWN_FIELD, unknown, fill("unknown", unknown))),
-        required(KEY), _too_long(v(KEY), KEY),
+        required(KEY), _too_long(text(KEY), KEY),
         required("partner"),
-        invalid(~one_of(partner, fv.PARTNERS), "partner", "one_of", choices=", ".join(fv.PARTNERS)),
-        required("platform_code"), _too_long(v("platform_code"), "platform_code"),
-        required(_MAIL), _mail_error(v(_MAIL)),
-        required(_POSTAL), invalid(~is_postal_code(v(_POSTAL)), _POSTAL, "postal"),
+        invalid(~one_of(F.lower(text("partner")), fv.PARTNERS), "partner", "one_of",
+                choices=", ".join(fv.PARTNERS)),
+        required("platform_code"), _too_long(text("platform_code"), "platform_code"),
+        required(_MAIL), _mail_error(text(_MAIL)),
+        required(_POSTAL), invalid(~is_postal_code(text(_POSTAL)), _POSTAL, "postal"),
         *dated(_START), *dated(_END), invalid(day(_END) <= day(_START), _END, "order", **_NO_ORDER),
         *dated(_USE_START), *dated(_USE_END),
-        _holder_error(is_missing(body[_COMPANY]) & is_missing(body[_NAME])),
-        _too_long(v(_COMPANY), _COMPANY), _too_long(v(_NAME), _NAME),
-        *[invalid(body[c].isNotNull() & parse_bool(body[c], "input").isNull(), c, "boolean")
+        _holder_error(text(_COMPANY).isNull() & text(_NAME).isNull()),
+        _too_long(text(_COMPANY), _COMPANY), _too_long(text(_NAME), _NAME),
+        *[invalid(F.col("body")[c].isNotNull() & F.col(f"flag_{c}").isNull(), c, "boolean")
           for c in fv.GAS_PERIMETERS],
         invalid(~any_true(*flags), None, "perimeter"),
     )
 
 
-def facts(op: Column, body: Column) -> Column:
-    """What the body alone decides: which fields it sets, their normal form, its own errors."""
-    has = lambda c: F.map_contains_key(body, c)
-    v = lambda c: clean(body[c])
-    creating, patching = op == "create", op == "patch"
-    unlisted = first_unlisted(body, fv.GAS_PATCH_FIELDS)
-    wrong_day = lambda c: invalid(has(c) & parse_day(body[c]).isNull(), c, "date")
-    guard = first_error(
-        F.when(unlisted.isNotNull(),
-               error(fv.READ_ONLY_FIELD, unlisted, fill("read_only", unlisted))),
-        F.when(F.size(body) == 0, error(fv.INVALID_FIELD, None, fv.TEXT["empty_patch"])),
-        F.when(has(_MAIL), _mail_error(v(_MAIL))),
-        F.when(has(_POSTAL), invalid(~is_postal_code(v(_POSTAL)), _POSTAL, "postal")),
-        *[wrong_day(c) for c in (_USE_START, _USE_END, _START, _END)],
-    )
-    lengths = first_error(_too_long(v(_COMPANY), _COMPANY), _too_long(v(_NAME), _NAME))
-    spelling = first_error(*[
-        invalid(has(c) & parse_bool(body[c], "input").isNull(), c, "boolean")
-        for c in fv.GAS_PERIMETERS
-    ])
-    values = {
-        **{c: F.lower(v(c)) if c == "partner" else v(c) for c in _TEXTS},
-        **{c: iso_day(parse_day(body[c])) for c in _DAYS},
-        **{c: F.coalesce(parse_bool(body[c], "input"), F.when(creating, F.lit(default)))
-           for c, default in zip(fv.GAS_PERIMETERS, fv.GAS_PERIMETER_DEFAULTS)},
+def _patch_errors() -> dict[str, Column]:
+    """Patch rules that the body alone decides, in three groups around the cross checks."""
+    has = lambda c: F.col(f"has_{c}")
+    text = lambda c: F.col(f"text_{c}")
+    unlisted = F.col("not_patchable")
+    return {
+        "guard_error": first_error(
+            F.when(unlisted.isNotNull(),
+                   error(fv.READ_ONLY_FIELD, unlisted, fill("read_only", unlisted))),
+            F.when(F.size("body") == 0, error(fv.INVALID_FIELD, None, fv.TEXT["empty_patch"])),
+            F.when(has(_MAIL), _mail_error(text(_MAIL))),
+            F.when(has(_POSTAL), invalid(~is_postal_code(text(_POSTAL)), _POSTAL, "postal")),
+            *[invalid(has(c) & F.col(f"day_{c}").isNull(), c, "date")
+              for c in (_USE_START, _USE_END, _START, _END)],
+        ),
+        "length_error": first_error(_too_long(text(_COMPANY), _COMPANY), _too_long(text(_NAME), _NAME)),
+        "spelling_error": first_error(*[
+            invalid(has(c) & F.col(f"flag_{c}").isNull(), c, "boolean") for c in fv.GAS_PERIMETERS
+        ]),
     }
-    none = F.lit(None).cast(ERROR_TYPE)
-    return F.struct(
-        op.alias("op"),
-        F.when(creating, create_error(body)).otherwise(none).alias("create_error"),
-        F.when(patching, guard).otherwise(none).alias("guard_error"),
-        F.when(patching, lengths).otherwise(none).alias("length_error"),
-        F.when(patching, spelling).otherwise(none).alias("spelling_error"),
-        F.struct(*[F.coalesce(has(c), F.lit(False)).alias(c) for c in fv.GAS_PATCH_FIELDS])
-        .alias("has"),
-        F.struct(*[value.alias(c) for c, value in values.items()]).alias("value"),
-    )
+
+
+def add_facts(commands: DataFrame) -> DataFrame:
+    """What the body alone decides: fields present, their normal form, the body's own errors."""
+    body = F.col("body")
+    texts = commands.withColumns({
+        **{f"text_{c}": clean(body[c]) for c in fv.GAS_CREATE_FIELDS},
+        **{f"has_{c}": F.map_contains_key(body, c) for c in fv.GAS_PATCH_FIELDS},
+        "not_creatable": first_unlisted(body, fv.GAS_CREATE_FIELDS),
+        "not_patchable": first_unlisted(body, fv.GAS_PATCH_FIELDS),
+    })
+    texts = texts.withColumns({
+        **{f"day_{c}": parse_day(F.col(f"text_{c}"), stripped=True) for c in _DAYS},
+        **{f"flag_{c}": parse_bool(F.col(f"text_{c}"), "input", stripped=True)
+           for c in fv.GAS_PERIMETERS},
+    })
+    creating, patching = F.col("op") == "create", F.col("op") == "patch"
+    return texts.withColumns({
+        "create_error": F.when(creating, _create_error()),
+        **{name: F.when(patching, rules) for name, rules in _patch_errors().items()},
+        **{f"value_{c}": F.col(f"text_{c}") for c in _TEXTS},
+        "value_partner": F.lower("text_partner"),
+        **{f"value_{c}": iso_day(F.col(f"day_{c}")) for c in _DAYS},
+        **{f"value_{c}": F.coalesce(F.col(f"flag_{c}"), F.when(creating, F.lit(default)))
+           for c, default in zip(fv.GAS_PERIMETERS, fv.GAS_PERIMETER_DEFAULTS)},
+    })
 
 
 def _merged(f: Column, state: Column, c: str) -> Column:
@@ -133,7 +147,9 @@ def _merged(f: Column, state: Column, c: str) -> Column:
 def patch_error(f: Column, state: Column) -> Column:
     """First broken patch rule; cross checks look at the stored row with the patch applied."""
     has = f["has"]
-    start, end = parse_day(_merged(f, state, _START)), parse_day(_merged(f, state, _END))
+    day = lambda c: F.when(has[c], f["value"][c].try_cast("date")).otherwise(
+        parse_day(state[c]))
+    start, end = day(_START), day(_END)
     touched = lambda *cs: any_true(*[has[c] for c in cs])
     return F.coalesce(
         f["guard_error"],
@@ -197,6 +213,3 @@ def next_state(f: Column, state: Column, result: Column, now: datetime) -> Colum
         F.struct(F.lit(True).alias("exists"), *[changed[c].alias(c) for c in STATE_COLUMNS]),
     ).otherwise(state)
 
-
-def shown_stamp(state: Column) -> Column:
-    return show_stamp(state["derniere_maj"])

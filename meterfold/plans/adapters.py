@@ -5,6 +5,8 @@ are plain SQL that Spark and the checking engine read alike, so both sides start
 Bodies map field -> (SQL condition "the field is present", SQL value).
 """
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 NOW = "2026-06-16 09:03:16.415174"
@@ -14,10 +16,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spark_sql(text: str) -> str:
+    return re.sub(r"\{struct: ([^}]*)\}", r"struct(\1)", text).replace("{ntz}", "TIMESTAMP_NTZ")
+
+
 def build(spark: SparkSession, sf_dir: str, spec: tuple[str, dict]) -> DataFrame:
     table, columns = spec
     return read(spark, sf_dir, table).selectExpr(
-        *[f"{sql.replace('{ntz}', 'TIMESTAMP_NTZ')} AS `{name}`" for name, sql in columns.items()]
+        *[f"{spark_sql(sql)} AS `{name}`" for name, sql in columns.items()]
     )
 
 
@@ -34,7 +40,7 @@ def body_map(body: dict) -> Column:
 def commands(spark: SparkSession, sf_dir: str, spec: tuple, body: dict, op: str) -> DataFrame:
     table, seq, target = spec
     return read(spark, sf_dir, table).select(
-        F.expr(seq).alias("seq"), F.expr(target).alias("id"), F.expr(op).alias("op"),
+        F.expr(spark_sql(seq)).alias("seq"), F.expr(target).alias("id"), F.expr(op).alias("op"),
         body_map(body).alias("body"),
     )
 
@@ -182,19 +188,17 @@ PDL = ("orders", {
 
 # --- commands ------------------------------------------------------------------------------
 
-_LINE_SEQ = " || '-' || ".join([
-    _pad("l_linenumber", 2), _pad("l_partkey", 10), _pad("l_suppkey", 10),
-    _pad("CAST(l_quantity AS INT)", 3), _pad("CAST(round(l_extendedprice * 100) AS BIGINT)", 14),
-    _iso(_SHIP),
-])
+# {struct: a, b}: a struct of those columns; an order number may be of any orderable type.
+_LINE = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate"
+_LINE_SEQ, _ORDER_LINE_SEQ = f"{{struct: {_LINE}}}", f"{{struct: l_orderkey, {_LINE}}}"
 LINE_OP = "CASE l_returnflag WHEN 'A' THEN 'revoke' WHEN 'R' THEN 'retry' ELSE 'patch' END"
 GAS_LINES = ("lineitem", _LINE_SEQ, f"'PCE' || {_pad('l_orderkey', 11)}")
 ELEC_LINES = ("lineitem", _LINE_SEQ, _pad("l_orderkey", 14))
 # Every third line addresses a meter that is not registered.
-GAS_STRAYS = ("lineitem", f"{_pad('l_orderkey', 12)} || '-' || {_LINE_SEQ}",
+GAS_STRAYS = ("lineitem", _ORDER_LINE_SEQ,
               f"CASE WHEN l_partkey % 3 = 0 THEN 'XX' || {_pad('l_orderkey', 11)} "
               f"ELSE 'PCE' || {_pad('l_orderkey', 11)} END")
-ELEC_STRAYS = ("lineitem", GAS_STRAYS[1],
+ELEC_STRAYS = ("lineitem", _ORDER_LINE_SEQ,
                f"CASE WHEN l_partkey % 3 = 0 THEN 'X' || {_pad('l_orderkey', 13)} "
                f"ELSE {_pad('l_orderkey', 14)} END")
 
@@ -248,8 +252,7 @@ ELEC_PATCH = {
 }
 
 _BODY_START = f"({_ORDERED} + 9000)"
-_O_SEQ = _pad("o_orderkey", 12)
-CREATES = ("orders", _O_SEQ, "CAST(NULL AS STRING)")
+CREATES = ("orders", "o_orderkey", "CAST(NULL AS STRING)")
 # Several creations address the same meter, most of them already registered.
 _NEW_ID = "o_custkey * 12"
 GAS_CREATE = {
@@ -309,7 +312,7 @@ UPSERT_FEED = ("lineitem", {
     "id_pce": f"CASE WHEN l_partkey % 101 = 0 THEN NULL WHEN l_partkey % 103 = 0 THEN '' "
               f"WHEN l_partkey % 10 = 0 THEN 'NEW' || {_pad('l_orderkey', 11)} "
               f"ELSE 'PCE' || {_pad('l_orderkey', 11)} END",
-    "input_ord": f"{_pad('l_orderkey', 12)} || '-' || {_LINE_SEQ}",
+    "input_ord": _ORDER_LINE_SEQ,
 })
 
 HISTORY = ("events", {

@@ -4,6 +4,8 @@ They read the same benchmark tables through the same adapter expressions and are
 engine to check row counts and values.
 """
 
+import re
+
 from meterfold import fixed_values as fv
 from meterfold.plans import adapters as a
 
@@ -13,9 +15,16 @@ _NOW_SHOWN = a.NOW[:19]
 
 # --- building blocks -----------------------------------------------------------------------
 
+def dialect(text: str) -> str:
+    def packed(found):
+        return "struct_pack(" + ", ".join(f"{c} := {c}" for c in found.group(1).split(", ")) + ")"
+
+    return re.sub(r"\{struct: ([^}]*)\}", packed, text).replace("{ntz}", "TIMESTAMP")
+
+
 def cte(spec) -> str:
     table, columns = spec
-    body = ", ".join(f'{sql.replace("{ntz}", "TIMESTAMP")} AS "{c}"' for c, sql in columns.items())
+    body = ", ".join(f'{dialect(sql)} AS "{c}"' for c, sql in columns.items())
     return f"(SELECT {body} FROM {table})"
 
 
@@ -96,7 +105,7 @@ def body_columns(body: dict) -> str:
 
 def commands_cte(lines: tuple, body: dict, op: str) -> str:
     table, seq, target = lines
-    return f"(SELECT {seq} AS seq, {target} AS id, {op} AS op, {body_columns(body)} FROM {table})"
+    return f"(SELECT {dialect(seq)} AS seq, {target} AS id, {op} AS op, {body_columns(body)} FROM {table})"
 
 
 # --- creation rules ------------------------------------------------------------------------
@@ -174,12 +183,9 @@ def _creation_error(r: Rules, extra: str) -> str:
            CASE WHEN broken = -1 THEN {lit(t('unknown', extra))} ELSE {r.pick('broken', 3)} END AS message"""
 
 
-def validate_create(body, rule, allowed, extra, created) -> str:
+def validate_create(body, rule, allowed, extra) -> str:
     judged, r = _creation(body, rule, allowed, extra)
-    return f"""
-    SELECT seq, CASE WHEN broken IS NULL THEN 201 ELSE 400 END AS http_status, erreur, champ,
-           CASE WHEN broken IS NULL THEN {lit(created)} ELSE message END AS message
-    FROM (SELECT seq, broken, {_creation_error(r, extra)} FROM {judged})"""
+    return f"SELECT seq, {_creation_error(r, extra)} FROM {judged}"
 
 
 def create(body, rule, allowed, extra, key, registry, status, codes, texts) -> str:
@@ -328,7 +334,7 @@ def _code_sql(book, r: Rules, state: str) -> str:
 def _outcome(book, r: Rules, state: str) -> str:
     st = clean(f"{state}.{book.status}")
     tx, cd = book.texts, book.codes
-    return f"""seq, id, op,
+    return f"""seq.*, id, op,
       CASE WHEN code = 0 THEN 200 WHEN code IN (1001, 1005) THEN 404 WHEN code IN (1004, 1006) THEN 409
            ELSE 400 END AS http_status,
       CASE code WHEN 0 THEN NULL WHEN 1001 THEN '{cd['missing']}' WHEN 1005 THEN '{cd['revoked']}'
@@ -520,7 +526,7 @@ def _registry_upsert() -> str:
 def _offered() -> str:
     _, seq, target = a.GAS_STRAYS
     return (f"(SELECT {target} AS id_pce, 'proposé' || l_linestatus AS etat_droit_acces, "
-            f"{seq} AS seq FROM lineitem)")
+            f"{dialect(seq)} AS seq FROM lineitem)")
 
 
 def _quality(source, table: str, missing, extra, checks) -> str:
@@ -729,7 +735,7 @@ ORACLES = {
       k AS (SELECT s.*, r.id_pce IS NOT NULL AS stored, r.etat_droit_acces AS st,
               row_number() OVER w AS n, first_value(s.etat_droit_acces) OVER w AS first_state
             FROM s LEFT JOIN r ON r.id_pce = s.id_pce WINDOW w AS (PARTITION BY s.id_pce ORDER BY seq))
-      SELECT seq, id_pce, etat_droit_acces, CASE WHEN stored THEN st ELSE first_state END AS existing_status
+      SELECT seq.*, id_pce, etat_droit_acces, CASE WHEN stored THEN st ELSE first_state END AS existing_status
       FROM k WHERE stored OR n > 1""",
     "delete_keys": f"""SELECT {_DUMP} FROM {_REG} r WHERE NOT EXISTS (SELECT 1 FROM lineitem
       WHERE l_returnflag = 'R' AND {a.GAS_LINES[2]} = r.id_pce)""",
@@ -768,8 +774,8 @@ ORACLES = {
     "elec_views": _elec_view(_PDL),
     "dq_report": _dq_report(),
     "dq_quarantine": _dq_quarantine(),
-    "validate_create_gas": validate_create(*_GAS_RULES, fv.GAS_TEXT["created"]),
-    "validate_create_elec": validate_create(*_ELEC_RULES, fv.ELEC_TEXT["created"]),
+    "validate_create_gas": validate_create(*_GAS_RULES),
+    "validate_create_elec": validate_create(*_ELEC_RULES),
     "create_gas": create(*_GAS_RULES, "id_pce", a.GAS_REGISTRY, "etat_droit_acces",
                          fv.GAS_CODES, fv.GAS_TEXT),
     "create_elec": create(*_ELEC_RULES, "id_pdl", a.PDL, "statut", fv.ELEC_CODES, fv.ELEC_TEXT),

@@ -18,7 +18,7 @@ from meterfold.sources.lake import Layout
 
 NOW = datetime.fromisoformat(a.NOW)
 RECENT_NOW, RECENT_DAYS = datetime(2024, 1, 25), 7
-OUTCOME = ["seq", "id", "op", "http_status", "erreur", "champ", "message", "statut"]
+RESULT = ["id", "op", "http_status", "erreur", "champ", "message", "statut"]
 
 
 # --- consumption ---------------------------------------------------------------------------
@@ -102,7 +102,8 @@ def _offered(spark, sf):
     """Rows offered for insertion, several per id."""
     table, seq, target = a.GAS_STRAYS
     return a.read(spark, sf, table).selectExpr(
-        f"{target} AS id_pce", "'proposé' || l_linestatus AS etat_droit_acces", f"{seq} AS seq")
+        f"{target} AS id_pce", "'proposé' || l_linestatus AS etat_droit_acces",
+        f"{a.spark_sql(seq)} AS seq")
 
 
 def insert_if_absent(spark, sf):
@@ -114,7 +115,7 @@ def insert_if_absent(spark, sf):
 def insert_conflicts(spark, sf):
     _, conflicts = merge.insert_if_absent(
         a.build(spark, sf, a.GAS_REGISTRY), _offered(spark, sf), "id_pce", "seq", "etat_droit_acces")
-    return conflicts.select("seq", "id_pce", "etat_droit_acces", "existing_status")
+    return conflicts.select("seq.*", "id_pce", "etat_droit_acces", "existing_status")
 
 
 def delete_keys(spark, sf):
@@ -241,23 +242,22 @@ def dq_quarantine(spark, sf):
 
 # --- commands ------------------------------------------------------------------------------
 
-def _create(book, body, spark, sf):
+def _validation(book, body, spark, sf):
     asked = a.commands(spark, sf, a.CREATES, body, "'create'")
-    nobody = a.build(spark, sf, a.GAS_REGISTRY if book is gas else a.PDL).limit(0)
-    return commands.judge(asked, nobody, book).select("seq", "http_status", "erreur", "champ", "message")
+    return commands.validate_creations(asked, book).select("seq", "erreur", "champ", "message")
 
 
 def _create_folded(book, body, spark, sf):
     rows = a.build(spark, sf, a.GAS_REGISTRY if book is gas else a.PDL)
     asked = a.commands(spark, sf, a.CREATES, body, "'create'")
     outcomes, _ = commands.fold(asked, rows, book, NOW)
-    return outcomes.select(*OUTCOME)
+    return outcomes.select("seq", *RESULT)
 
 
 def _judged(book, lines, body, op, spark, sf):
     rows = a.build(spark, sf, a.GAS_REGISTRY if book is gas else a.PDL)
     asked = a.commands(spark, sf, lines, body, f"'{op}'")
-    return commands.judge(asked, rows, book).select(*OUTCOME)
+    return commands.judge(asked, rows, book).select("seq.*", *RESULT)
 
 
 def _folded(book, lines, body, spark, sf):
@@ -267,7 +267,7 @@ def _folded(book, lines, body, spark, sf):
 
 def command_fold(spark, sf):
     _, (outcomes, _) = _folded(gas, a.GAS_LINES, a.GAS_PATCH, spark, sf)
-    return outcomes.select(*OUTCOME)
+    return outcomes.select("seq.*", *RESULT)
 
 
 def command_fold_state(spark, sf):
@@ -281,7 +281,7 @@ def command_fold_state(spark, sf):
 
 def command_fold_elec(spark, sf):
     _, (outcomes, _) = _folded(electricity, a.ELEC_LINES, a.ELEC_PATCH, spark, sf)
-    return outcomes.select(*OUTCOME)
+    return outcomes.select("seq.*", *RESULT)
 
 
 # --- requests, bookkeeping -----------------------------------------------------------------
@@ -388,10 +388,6 @@ def access_audit(spark, sf):
     return audited.select("event_id", "client_hex", "allowed")
 
 
-def _validation(book, spark, sf):
-    return _create(book, a.GAS_CREATE if book is gas else a.ELEC_CREATE, spark, sf)
-
-
 QUERIES = {
     "consumption_contained": consumption_contained,
     "consumption_union": consumption_union,
@@ -423,8 +419,8 @@ QUERIES = {
     "elec_views": elec_views,
     "dq_report": dq_report,
     "dq_quarantine": dq_quarantine,
-    "validate_create_gas": partial(_validation, gas),
-    "validate_create_elec": partial(_validation, electricity),
+    "validate_create_gas": partial(_validation, gas, a.GAS_CREATE),
+    "validate_create_elec": partial(_validation, electricity, a.ELEC_CREATE),
     "create_gas": partial(_create_folded, gas, a.GAS_CREATE),
     "create_elec": partial(_create_folded, electricity, a.ELEC_CREATE),
     "validate_patch_gas": partial(_judged, gas, a.GAS_STRAYS, a.GAS_PATCH, "patch"),
