@@ -579,10 +579,13 @@ def _dq_report() -> str:
         _quality(a.FAULTY_DTC, "dtc", missing_dtc, [], _DTC_CHECKS)])
 
 
-def _dq_quarantine() -> str:
+def _with_row_errors() -> str:
     labels = ", ".join(f"CASE WHEN {broken} THEN '{c}:{rule}' END" for c, rule, broken in _PDL_CHECKS)
-    return f"""SELECT partner, id_pdl, row_errors FROM (
-      SELECT *, concat_ws(',', {labels}) AS row_errors FROM {cte(a.FAULTY_PDL)}) WHERE row_errors <> ''"""
+    return f"SELECT *, concat_ws(',', {labels}) AS row_errors FROM {cte(a.FAULTY_PDL)}"
+
+
+def _dq_quarantine() -> str:
+    return f"""SELECT partner, id_pdl, row_errors FROM ({_with_row_errors()}) WHERE row_errors <> ''"""
 
 
 def _mark_collected() -> str:
@@ -817,4 +820,11 @@ ORACLES = {
         md5(xml) AS xml_md5 FROM {cte(a.RESPONSES)}
       QUALIFY row_number() OVER (PARTITION BY blob_path ORDER BY arrival) = 1""",
     "access_audit": _access_audit(),
+    "stream_measures": f"""SELECT id_pdl, label, val, ts, date_debut, date_fin, fmt, uuid, misc,
+      '{_NOW_SHOWN}' AS ingestion_ts FROM {cte(a.MEASURES)} {_LATEST}""",
+    "stream_commands": fold(_GAS, final=True),
+    "stream_suppress": _accept_spaced(),
+    "stream_quarantine": f"""SELECT CASE WHEN row_errors = '' THEN 'valid' ELSE 'error' END AS kind,
+      CASE WHEN row_errors = '' THEN id_pdl ELSE coalesce(id_pdl, '') END AS id_pdl,
+      nullif(row_errors, '') AS detail FROM ({_with_row_errors()})""",
 }

@@ -13,11 +13,18 @@ from meterfold.operators import (
     access, commands, consumption, dedup, electricity, gas, merge, quality, registry, requests,
 )
 from meterfold.plans import adapters as a
+from meterfold.session import scratch_root
 from meterfold.sources import sinks
-from meterfold.sources.lake import Layout
+from meterfold.sources.lake import Layout, read_measures
+from meterfold.streaming import jobs
 
 NOW = datetime.fromisoformat(a.NOW)
 RECENT_NOW, RECENT_DAYS = datetime(2024, 1, 25), 7
+FOLDED_STATE = [
+    "id_pce", "etat_droit_acces", "code_postal", "courriel_titulaire", "date_debut_droit_acces",
+    "date_fin_droit_acces", "raison_sociale_du_titulaire", "nom_titulaire",
+    *fv.GAS_PERIMETERS, "nb_tentatives_declare", "message_erreur_declare",
+]
 RESULT = ["id", "op", "http_status", "erreur", "champ", "message", "statut"]
 
 
@@ -273,10 +280,7 @@ def command_fold(spark, sf):
 def command_fold_state(spark, sf):
     """Registry after all commands."""
     rows, (_, changes) = _folded(gas, a.GAS_LINES, a.GAS_PATCH, spark, sf)
-    return commands.apply_changes(rows, changes, gas).select(
-        "id_pce", "etat_droit_acces", "code_postal", "courriel_titulaire", "date_debut_droit_acces",
-        "date_fin_droit_acces", "raison_sociale_du_titulaire", "nom_titulaire",
-        *fv.GAS_PERIMETERS, "nb_tentatives_declare", "message_erreur_declare")
+    return commands.apply_changes(rows, changes, gas).select(*FOLDED_STATE)
 
 
 def command_fold_elec(spark, sf):
@@ -388,6 +392,65 @@ def access_audit(spark, sf):
     return audited.select("event_id", "client_hex", "allowed")
 
 
+# --- streams: each reads a benchmark file as a stream and returns what the job stored --------
+
+def _stream(spark, sf, table, *columns):
+    schema = a.read(spark, sf, table).schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+    return rows.select(*columns) if columns else rows
+
+
+def _spec_stream(spark, sf, spec):
+    table, columns = spec
+    return _stream(spark, sf, table).selectExpr(
+        *[f"{a.spark_sql(sql)} AS `{name}`" for name, sql in columns.items()])
+
+
+def stream_measures(spark, sf):
+    layout = Layout(scratch_root(spark))
+    jobs.upsert_measures(
+        _spec_stream(spark, sf, a.MEASURES), layout, NOW, "arrival", f"{layout.root}/progress", 16
+    ).awaitTermination()
+    stored = read_measures(spark, layout).drop("bucket")
+    return stored.withColumn("ingestion_ts", F.date_format("ingestion_ts", fv.STAMP_FORMAT))
+
+
+def stream_commands(spark, sf):
+    layout = Layout(scratch_root(spark))
+    rows = a.build(spark, sf, a.GAS_REGISTRY)
+    jobs.write_registry(rows, layout, gas, 16)
+    table, seq, target = a.GAS_LINES
+    asked = _stream(
+        spark, sf, table, F.expr(a.spark_sql(seq)).alias("seq"), F.expr(target).alias("id"),
+        F.expr(a.LINE_OP).alias("op"), a.body_map(a.GAS_PATCH).alias("body"))
+    jobs.apply_commands(
+        asked, layout, gas, rows.schema, NOW, f"{layout.root}/progress", 16
+    ).awaitTermination()
+    stored = jobs.read_registry(spark, layout, gas, rows.schema)
+    return stored.select(*FOLDED_STATE)
+
+
+def stream_suppress(spark, sf):
+    root = scratch_root(spark)
+    jobs.suppress_requests(
+        _spec_stream(spark, sf, a.HISTORY), f"{root}/accepted", RECENT_DAYS, f"{root}/progress"
+    ).awaitTermination()
+    return spark.read.parquet(f"{root}/accepted").select("id_pdl", "code_prestation", "id_affaire")
+
+
+def stream_quarantine(spark, sf):
+    layout = Layout(scratch_root(spark))
+    jobs.quarantine(
+        _spec_stream(spark, sf, a.FAULTY_PDL), "pdl", layout, NOW, F.lit("QUALITE"), "controle",
+        f"{layout.root}/progress"
+    ).awaitTermination()
+    kept = spark.read.parquet(layout.silver("pdl")).select(
+        F.lit("valid").alias("kind"), "id_pdl", F.lit(None).cast("string").alias("detail"))
+    logged = spark.read.parquet(layout.silver("log_erreur")).select(
+        F.lit("error").alias("kind"), "id_pdl", F.col("message_erreur").alias("detail"))
+    return kept.unionByName(logged)
+
+
 QUERIES = {
     "consumption_contained": consumption_contained,
     "consumption_union": consumption_union,
@@ -447,4 +510,8 @@ QUERIES = {
     "migrate_backfill": migrate_backfill,
     "bronze_archive": bronze_archive,
     "access_audit": access_audit,
+    "stream_measures": stream_measures,
+    "stream_commands": stream_commands,
+    "stream_suppress": stream_suppress,
+    "stream_quarantine": stream_quarantine,
 }

@@ -1,6 +1,7 @@
 """Session settings that every job here relies on."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,3 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise RuntimeError(f"{CHECKPOINT_KEY} must name a shared folder on a cluster")
         shared = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     context.setCheckpointDir(shared)
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """A fresh directory inside the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"

@@ -51,6 +51,22 @@ def prepare_measures(measures: DataFrame, now: datetime) -> DataFrame:
     return in_schema_order(stamped, "donnees_mesures")
 
 
+def write_partitions(df: DataFrame, path: str, *partitions: str) -> None:
+    """Replace the partitions that ``df`` has rows for and leave the others alone."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *partitions).parquet(path)
+
+
+def write_buckets(df: DataFrame, path: str, key: str) -> None:
+    """Replace whole buckets.
+
+    The rebalance lets adaptive execution split a bucket that holds a very busy meter over
+    several tasks and files; ids are sorted inside a file so that row groups can be skipped.
+    """
+    spread = df.hint("rebalance", "bucket").sortWithinPartitions("bucket", key)
+    write_partitions(spread, path, "bucket")
+
+
 def write_measures(
     measures: DataFrame,
     layout: Layout,
@@ -60,8 +76,7 @@ def write_measures(
 ) -> int:
     """Keep-latest merge on (meter, label, ts); returns the number of rows merged in.
 
-    Only buckets that receive rows are read and rewritten. The rebalance before the write lets
-    adaptive execution split a bucket that holds a very busy meter over several tasks and files.
+    Only buckets that receive rows are read and rewritten.
     """
     keys = KEYS["donnees_mesures"]
     require_valid(prepare_measures(measures, now), "donnees_mesures")
@@ -79,11 +94,7 @@ def write_measures(
     )
     seen = Observation()
     rows = merged.observe(seen, F.count_if("incoming").alias("n")).drop("incoming")
-    (
-        rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "id_pdl")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket").parquet(layout.silver("donnees_mesures"))
-    )
+    write_buckets(rows, layout.silver("donnees_mesures"), "id_pdl")
     return seen.get["n"]
 
 
