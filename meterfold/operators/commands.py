@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterfold.functions.text import clean
 from meterfold.operators import electricity, gas
+from meterfold.operators.merge import outer_merge
 from meterfold.operators.outcomes import OUTCOME_TYPE, Facts, bind, fact_struct
 from meterfold.session import ensure_checkpoint_dir
 
@@ -252,14 +253,5 @@ def fold(
 
 def apply_changes(registry: DataFrame, changes: DataFrame, book) -> DataFrame:
     """Registry after the accepted commands; columns commands never touch keep their values."""
-    key, cols = book.KEY, [c for c in changes.columns if c != book.KEY]
-    t, s = registry.alias("t"), changes.withColumn("_in", F.lit(True)).alias("s")
-    untouched = [F.col(f"t.{c}") for c in registry.columns if c not in cols]
-    updated = t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "left").select(
-        *untouched,
-        *[F.when(F.col("s._in"), F.col(f"s.{c}"))
-          .otherwise(F.col(f"t.{c}") if c in registry.columns else F.lit(None)).alias(c)
-          for c in cols],
-    )
-    known = registry.select(key).join(changes.select(key), key, "left_semi")
-    return updated.unionByName(changes.join(known, key, "left_anti"), allowMissingColumns=True)
+    touched = {c: F.col("s._in") for c in changes.columns if c != book.KEY}
+    return outer_merge(registry, changes, book.KEY, touched)

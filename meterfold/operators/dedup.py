@@ -13,21 +13,25 @@ def keep_first(df: DataFrame, keys: list, order: list[Column]) -> DataFrame:
     return ranked.where("_rank = 1").drop("_rank")
 
 
+def latest_right_order(arrival: str) -> list[Column]:
+    """Latest start date, then latest creation date, then first arrived; null and blank lowest."""
+    blank = F.lit("")
+    return [
+        F.coalesce("date_debut_droit_acces", blank).desc(),
+        F.coalesce("date_creation", blank).desc(),
+        F.col(arrival).asc(),
+    ]
+
+
 def latest_rights(records: DataFrame, key: str = "id_pce", arrival: str = "input_ord") -> DataFrame:
-    """Latest right per meter: start date, then creation date, then first arrived.
+    """Latest right per meter, dates compared as text.
 
-    Dates compare as text with null and blank lowest. Rows without an id are all kept; their
-    (unique) arrival number becomes their group so that they stay spread over the cluster.
+    Rows without an id are all kept; their (unique) arrival number becomes their group so that
+    they stay spread over the cluster.
     """
-    blank = F.lit("")
-    missing = F.coalesce(F.col(key), blank) == ""
+    missing = F.coalesce(F.col(key), F.lit("")) == ""
     return keep_first(
-        records,
-        [F.col(key), F.when(missing, F.col(arrival))],
-        [F.coalesce("date_debut_droit_acces", blank).desc(),
-         F.coalesce("date_creation", blank).desc(),
-         F.col(arrival).asc()],
-    )
+        records, [F.col(key), F.when(missing, F.col(arrival))], latest_right_order(arrival))
 
 
 def last_arrived(df: DataFrame, keys: list[str], arrival: str, null_safe: bool = False) -> DataFrame:

@@ -1,9 +1,9 @@
 """Merges as DataFrame algebra: partial upsert, full-row merge, insert-if-absent, update, delete.
 
-The big side is the target and the incoming side is usually small. Every join below has the
-incoming side (or something no larger) on the side Spark may broadcast after its own size check,
-so with a small input the target is scanned in place and never shuffled; with a large input both
-sides shuffle on the key, which is unique on each side after deduplication and cannot skew.
+Joins are on keys that are unique on both sides (after deduplication), so no key can skew them.
+Whole-row merges keep the incoming side where Spark may broadcast it after its own size check: with
+a small input the target is scanned in place and not shuffled. Partial merges read each side once
+in a full outer join; writers hand them only the buckets that receive rows.
 """
 
 from datetime import datetime
@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from meterfold.functions.dates import iso_stamp
-from meterfold.operators.dedup import last_arrived, latest_rights
+from meterfold.operators.dedup import keep_first, last_arrived, latest_right_order
 
 UPDATED_AT = "derniere_maj"
 
@@ -41,33 +41,35 @@ def partial_upsert(
     without that column every field of the record is present. ``arrival`` orders repeated ids;
     pass ``None`` when ids are already unique. Records without an id are left out.
     """
+    records = records.where(_has_id(key))
     if arrival is not None:
-        records = latest_rights(records, key, arrival).drop(arrival)
-    records = records.where(_has_id(key)).withColumn(UPDATED_AT, F.lit(iso_stamp(now)))
+        records = keep_first(records, [F.col(key)], latest_right_order(arrival)).drop(arrival)
+    records = records.withColumn(UPDATED_AT, F.lit(iso_stamp(now)))
     masked = fields_set in records.columns
     fields = [c for c in records.columns if c not in (key, fields_set)]
 
     def given(c: str) -> Column:
         if not masked or c == UPDATED_AT:
-            return F.lit(True)
-        return F.array_contains(F.col(f"s.{fields_set}"), c)
-
-    t, s = target.alias("t"), records.withColumn("_in", F.lit(True)).alias("s")
-    overwritten = [
-        F.when(F.col("s._in") & given(c), F.col(f"s.{c}"))
-        .otherwise(F.col(f"t.{c}") if c in target.columns else F.lit(None)).alias(c)
-        for c in fields
-    ]
-    untouched = [F.col(f"t.{c}") for c in target.columns if c not in fields]
-    updated = t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "left").select(
-        *untouched, *overwritten
-    )
+            return F.col("s._in")
+        return F.col("s._in") & F.array_contains(F.col(f"s.{fields_set}"), c)
 
-    known = target.select(key).join(records.select(key), key, "left_semi")
-    inserted = records.alias("s").join(known, key, "left_anti").select(
-        key, *[F.when(given(c), F.col(f"s.{c}")).alias(c) for c in fields]
-    )
-    return updated.unionByName(inserted, allowMissingColumns=True)
+    return outer_merge(target, records, key, {c: given(c) for c in fields})
+
+
+def outer_merge(target: DataFrame, source: DataFrame, key: str, overwrite: dict) -> DataFrame:
+    """Rows of both sides by key; a column is the source's where its condition holds.
+
+    ``overwrite`` maps source column -> condition over ``s`` (``s._in`` marks a source row).
+    """
+    t, s = target.alias("t"), source.withColumn("_in", F.lit(True)).alias("s")
+    stored = lambda c: F.col(f"t.{c}") if c in target.columns else F.lit(None)
+    columns = [F.coalesce(f"t.{key}", f"s.{key}").alias(key)]
+    columns += [F.col(f"t.{c}") for c in target.columns if c != key and c not in overwrite]
+    columns += [
+        F.when(condition, F.col(f"s.{c}")).otherwise(stored(c)).alias(c)
+        for c, condition in overwrite.items()
+    ]
+    return t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full_outer").select(*columns)
 
 
 def upsert_stats(target: DataFrame, records: DataFrame, key: str = "id_pce") -> DataFrame:

@@ -113,9 +113,9 @@ def apply_commands(
         # At most ``buckets`` integers.
         touched = [r.bucket for r in changes.select("bucket").distinct().collect()]
         if touched:
-            part = stored.where(F.col("bucket").isin(touched))
-            write_buckets(
-                ops.apply_changes(part, changes, book), registry_path(layout, book), book.KEY)
+            part = stored.where(F.col("bucket").isin(touched)).drop("bucket")
+            merged = ops.apply_changes(part, changes.drop("bucket"), book)
+            write_registry(merged, layout, book, buckets)
 
     return _start(stream, handle, checkpoint, available_now)
 
