@@ -93,11 +93,12 @@ def apply_commands(
         stored = read_registry(spark, layout, book, registry_schema)
         key = F.col(book.KEY)
         if not _is_logged(spark, marks_at, batch_id):
-            asked = keep_first(batch, ["id", "seq"], [F.col("op")])
+            asked = keep_first(ops.addressed(batch, book), ["id", "seq"], [F.col("op")])
             seen_schema = T.StructType([batch.schema["id"], batch.schema["seq"]])
             seen = stored_batches(spark, outcomes_at, seen_schema).where(
-                F.col("batch_id") < batch_id).select("id", "seq")
-            fresh = asked.join(seen, ["id", "seq"], "left_anti")
+                F.col("batch_id") < batch_id)
+            same = F.col("a.id").eqNullSafe(F.col("s.id")) & (F.col("a.seq") == F.col("s.seq"))
+            fresh = asked.alias("a").join(seen.alias("s"), same, "left_anti")
             outcomes, changes = ops.fold(fresh, stored.drop("bucket"), book, now)
             _write_batch(outcomes, outcomes_at, batch_id)
             _write_batch(
