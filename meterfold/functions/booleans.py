@@ -15,7 +15,8 @@ def parse_bool(c: Column, dialect: str, stripped: bool = False) -> Column:
         nonzero = F.coalesce(word.try_cast("double"), F.lit(0.0)) != 0.0
         is_number = word.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$")
         return F.coalesce(word.isin(*yes) | (is_number & nonzero), F.lit(False))
-    return F.when(word.isin(*yes), True).when(word.isin(*no), False)
+    spellings = ", ".join([f"'{w}', true" for w in yes] + [f"'{w}', false" for w in no])
+    return F.expr(f"map({spellings})")[word]
 
 
 def bool_text(c: Column, default: Column | None = None) -> Column:

@@ -4,20 +4,24 @@ from datetime import datetime
 
 from pyspark.sql import Column, functions as F
 
-from meterfold.fixed_values import MEASURE_FORMAT, MEASURE_UUID_PREFIX, STAMP_FORMAT
-from meterfold.functions.text import clean, strip
+from meterfold.fixed_values import (
+    MEASURE_FORMAT, MEASURE_UUID_PREFIX, STAMP_FORMAT, WHITESPACE,
+)
+from meterfold.functions.text import clean
 
-_DAY = r"^(?!0000)[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
+# One capturing match tolerates surrounding whitespace, so the text is looked at once.
+_SPACES = f"[{WHITESPACE}]*"
+_DAY = f"^{_SPACES}((?!0000)[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}){_SPACES}$"
 _ISO_STAMP = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
-    r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+    f"^{_SPACES}([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}"
+    r"([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?)"
+    f"{_SPACES}$"
 )
 
 
-def parse_day(c: Column, stripped: bool = False) -> Column:
+def parse_day(c: Column) -> Column:
     """Text ``YYYY-MM-DD`` (one-digit month or day accepted) to date; anything else is null."""
-    s = c if stripped else strip(c.cast("string"))
-    return F.when(s.rlike(_DAY), s.try_cast("date"))
+    return F.regexp_extract(c.cast("string"), _DAY, 1).try_cast("date")
 
 
 def iso_day(c: Column) -> Column:
@@ -32,9 +36,8 @@ def lenient_iso_day(c: Column) -> Column:
 
 def show_stamp(c: Column) -> Column:
     """``YYYY-MM-DD HH:MM:SS``; a zone offset is dropped, unparsable text is kept as it is."""
-    s = clean(c)
-    wall = F.when(s.rlike(_ISO_STAMP), s.try_cast("timestamp_ntz"))
-    return F.coalesce(F.date_format(wall, STAMP_FORMAT), s)
+    wall = F.regexp_extract(c, _ISO_STAMP, 1).try_cast("timestamp_ntz")
+    return F.coalesce(F.date_format(wall, STAMP_FORMAT), clean(c))
 
 
 def show_typed_stamp(c: Column) -> Column:

@@ -6,17 +6,17 @@ serves both address families and network membership is a prefix equality.
 
 import ipaddress
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from meterfold.functions.binding import bind
 from meterfold.functions.text import clean
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _V4 = f"{_OCTET}(\\.{_OCTET}){{3}}"
 
 
-def last_hop(header: Column) -> Column:
-    """Last ``X-Forwarded-For`` entry without its port or brackets."""
-    last = clean(F.element_at(F.split(header, ","), -1))
+def without_port(last: Column) -> Column:
+    """``a.b.c.d:port`` or ``[v6]:port`` without its port and brackets."""
     colons = F.length(last) - F.length(F.replace(last, F.lit(":"), F.lit("")))
     return (
         F.when(last.startswith("["), F.regexp_extract(last, r"^\[([^\]]*)", 1))
@@ -25,6 +25,11 @@ def last_hop(header: Column) -> Column:
     )
 
 
+def last_hop(header: Column) -> Column:
+    """Last ``X-Forwarded-For`` entry without its port or brackets."""
+    return without_port(clean(F.element_at(F.split(header, ","), -1)))
+
+
 def _octets_hex(v4: Column) -> Column:
     return F.concat(*[
         F.lpad(F.lower(F.hex(F.split_part(v4, F.lit("."), F.lit(i)).try_cast("int"))), 2, "0")
@@ -36,35 +41,57 @@ def ipv4_hex(addr: Column) -> Column:
     return F.when(addr.rlike(f"^{_V4}$"), _octets_hex(addr))
 
 
-def ipv6_hex(addr: Column) -> Column:
-    """32 hex digits, or null when the text is no IPv6 address."""
-    bare = F.regexp_replace(addr, "%[^%]+$", "")
+def _hex_groups(address: Column) -> Column:
+    """IPv6 text without its zone, with a dotted tail rewritten as two groups."""
+    bare = F.regexp_replace(address, "%[^%]+$", "")
     tail = F.regexp_extract(bare, f":({_V4})$", 1)
-    tail_hex = _octets_hex(tail)
-    groups_only = F.when(
+    as_groups = _octets_hex(tail)
+    return F.when(
         tail != "",
-        F.concat(
-            F.regexp_replace(bare, f"{_V4}$", ""),
-            F.substring(tail_hex, 1, 4), F.lit(":"), F.substring(tail_hex, 5, 4),
-        ),
+        F.concat(F.regexp_replace(bare, f"{_V4}$", ""),
+                 F.substring(as_groups, 1, 4), F.lit(":"), F.substring(as_groups, 5, 4)),
     ).otherwise(bare)
-    halves = F.split(groups_only, "::")
-    left = F.filter(F.split(halves[0], ":"), lambda g: g != "")
-    right = F.filter(F.split(F.coalesce(F.get(halves, 1), F.lit("")), ":"), lambda g: g != "")
-    used = F.size(left) + F.size(right)
-    shortened = F.size(halves) == 2
-    shape = (
-        groups_only.rlike("^[0-9a-fA-F:]+$")
-        & ~groups_only.rlike("(^:(?!:))|((?<!:):$)|(:::)|([0-9a-fA-F]{5})")
-        & F.when(shortened, used <= 7).otherwise((F.size(halves) == 1) & (used == 8))
-    )
-    widen = lambda g: F.lpad(F.lower(g), 4, "0")
-    zeros = F.repeat(F.lit("0000"), F.greatest(F.lit(8) - used, F.lit(0)))
-    digits = F.concat(
-        F.array_join(F.transform(left, widen), ""), zeros,
-        F.array_join(F.transform(right, widen), ""),
-    )
-    return F.when(shape, digits)
+
+
+_SHAPE = "^[0-9a-fA-F:]+$"
+_MISSHAPEN = "(^:(?!:))|((?<!:):$)|(:::)|([0-9a-fA-F]{5})"
+
+
+def _expand(groups: Column) -> Column:
+    """32 digits from well-formed groups with at most one ``::``, else null."""
+    def of_halves(halves: Column) -> Column:
+        split = lambda half: F.filter(F.split(half, ":"), lambda g: g != "")
+        widen = lambda g: F.lpad(F.lower(g), 4, "0")
+        left = F.transform(split(halves[0]), widen)
+        right = F.transform(split(F.coalesce(F.get(halves, 1), F.lit(""))), widen)
+        return bind(F.struct(left.alias("l"), right.alias("r"), F.size(halves).alias("n")), of_parts)
+
+    def of_parts(parts: Column) -> Column:
+        used = F.size(parts["l"]) + F.size(parts["r"])
+        fits = F.when(parts["n"] == 2, used <= 7).otherwise((parts["n"] == 1) & (used == 8))
+        zeros = F.array_repeat(F.lit("0000"), F.greatest(F.lit(8) - used, F.lit(0)))
+        return F.when(fits, F.array_join(F.concat(parts["l"], zeros, parts["r"]), ""))
+
+    return F.when(groups.rlike(_SHAPE) & ~groups.rlike(_MISSHAPEN),
+                  bind(F.split(groups, "::"), of_halves))
+
+
+def ipv6_hex(addr: Column) -> Column:
+    """32 hex digits, or null when the text is no IPv6 address."""
+    return bind(_hex_groups(addr), _expand)
+
+
+def with_client_hex(log: DataFrame, header: str, name: str) -> DataFrame:
+    """Add the client address of a forwarding header as hex digits, step by step.
+
+    Separate columns keep each step computed once per row.
+    """
+    steps = log.withColumn("_last", clean(F.element_at(F.split(F.col(header), ","), -1)))
+    steps = steps.withColumn("_host", without_port(F.col("_last")))
+    host = F.col("_host")
+    steps = steps.withColumn("_groups", F.when(host.contains(":"), _hex_groups(host)))
+    digits = F.coalesce(ipv4_hex(host), F.when(F.col("_groups").isNotNull(), _expand(F.col("_groups"))))
+    return steps.withColumn(name, digits).drop("_last", "_host", "_groups")
 
 
 def address_hex(addr: Column) -> Column:

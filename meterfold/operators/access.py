@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from meterfold import fixed_values as fv
-from meterfold.functions.net import address_hex, last_hop, parse_networks, prefix_key
+from meterfold.functions.net import parse_networks, prefix_key, with_client_hex
 
 MAX_LITERAL_NETWORKS = 1000
 
@@ -21,8 +21,7 @@ def audit_access(
     table joined by equality on (width, length, prefix) for the distinct addresses of the log.
     """
     networks = parse_networks(allowed_ips)
-    client = address_hex(last_hop(F.col(header)))
-    log = log.withColumn("client_hex", client)
+    log = with_client_hex(log, header, "client_hex")
     if not networks:
         return log.withColumn("allowed", F.lit(allow_all_when_unset))
 

@@ -8,10 +8,11 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from meterfold.functions.binding import bind
 from meterfold.functions.text import clean
 from meterfold.operators import electricity, gas
 from meterfold.operators.merge import outer_merge
-from meterfold.operators.outcomes import OUTCOME_TYPE, Facts, bind, fact_struct
+from meterfold.operators.outcomes import OUTCOME_TYPE, Facts, fact_struct
 from meterfold.session import ensure_checkpoint_dir
 
 BOOKS = {"gas": gas, "electricity": electricity}
@@ -51,7 +52,8 @@ def with_facts(commands: DataFrame, book, *keep: str) -> DataFrame:
 
 
 def _verdict(f, state: Column, book) -> Column:
-    return bind(book.patch_error(f, state), lambda bad: book.verdict(f, state, bad))
+    bad_patch = F.when(f["op"] == "patch", book.patch_error(f, state))
+    return bind(bad_patch, lambda bad: book.verdict(f, state, bad))
 
 
 def judge(commands: DataFrame, registry: DataFrame, book, now: datetime | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from meterfold import fixed_values as fv
 from meterfold.functions.dates import iso_day, parse_day
-from meterfold.functions.text import clean, is_missing, number
+from meterfold.functions.text import clean, number
 from meterfold.operators.outcomes import error, first_error, invalid
 
 SHAPE = ["provider", "sensor_id", "date_debut", "date_fin", "consommation", "unite"]
@@ -92,16 +92,23 @@ def meter_periods(measures: DataFrame, id_pdl: str, low: str, high: str) -> Data
 
 def check_requests(requests: DataFrame) -> DataFrame:
     """Requests with normalised parameters and the first broken rule (``err``, null when fine)."""
-    provider = F.lower(clean(F.col("provider")))
-    low, high = parse_day(F.col("from")), parse_day(F.col("to"))
-    return requests.select(
-        "req_id", provider.alias("provider"), clean(F.col("sensor_id")).alias("sensor_id"),
-        low.alias("low"), high.alias("high"),
+    texts = requests.select(
+        "req_id", F.lower(clean(F.col("provider"))).alias("provider"),
+        clean(F.col("sensor_id")).alias("sensor_id"),
+        clean(F.col("from")).alias("from_text"), clean(F.col("to")).alias("to_text"),
+    )
+    dated = texts.withColumns({
+        "low": parse_day(F.col("from_text")),
+        "high": parse_day(F.col("to_text")),
+    })
+    provider, low, high = F.col("provider"), F.col("low"), F.col("high")
+    return dated.select(
+        "req_id", "provider", "sensor_id", "low", "high",
         first_error(
             invalid(provider.isNull(), "provider", "required"),
             F.when(~provider.isin(*fv.PROVIDERS),
                    error(fv.INVALID_FIELD, "provider", fv.TEXT["provider_choice"])),
-            invalid(is_missing(F.col("sensor_id")), "sensor_id", "required"),
+            invalid(F.col("sensor_id").isNull(), "sensor_id", "required"),
             invalid(low.isNull(), "from", "date"),
             invalid(high.isNull(), "to", "date"),
             F.when(high <= low, error(fv.INVALID_FIELD, "to", fv.TEXT["window"])),

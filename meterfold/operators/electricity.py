@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from meterfold import fixed_values as fv
 from meterfold.functions.booleans import any_true, parse_bool
 from meterfold.functions.dates import parse_day, stamp_literal
-from meterfold.functions.text import clean, is_filled, longer_than, one_of
+from meterfold.functions.text import clean, is_filled, longer_than, one_of, strip_flat
 from meterfold.operators.outcomes import (
     error, fill, first_error, first_unlisted, invalid, outcome, rejected,
 )
@@ -61,7 +61,7 @@ def _create_error() -> Column:
     flag = lambda c: F.col(f"flag_{c}")
     required = lambda c: invalid(_text(c).isNull(), c, "required")
     unreadable = lambda c: invalid(
-        F.col("body")[c].isNotNull() & flag(c).isNull(), c, "boolean")
+        F.col(f"raw_{c}").isNotNull() & flag(c).isNull(), c, "boolean")
     unknown = F.col("not_creatable")
     by_default = lambda c: F.coalesce(flag(c), F.lit(True))
     return first_error(
@@ -106,14 +106,15 @@ def _patch_errors() -> dict[str, Column]:
 def add_facts(commands: DataFrame) -> DataFrame:
     """What the body alone decides: fields present, their normal form, the body's own errors."""
     body = F.col("body")
-    texts = commands.withColumns({
-        **{f"text_{c}": clean(body[c]) for c in fv.ELEC_CREATE_FIELDS},
+    raw = commands.withColumns({f"raw_{c}": body[c] for c in fv.ELEC_CREATE_FIELDS})
+    texts = raw.withColumns({
+        **{f"text_{c}": F.nullif(strip_flat(F.col(f"raw_{c}")), F.lit("")) for c in fv.ELEC_CREATE_FIELDS},
         **{f"has_{c}": F.map_contains_key(body, c) for c in fv.ELEC_PATCH_FIELDS},
         "not_creatable": first_unlisted(body, fv.ELEC_CREATE_FIELDS),
         "not_patchable": first_unlisted(body, fv.ELEC_PATCH_FIELDS),
     })
     texts = texts.withColumns({
-        **{f"day_{c}": parse_day(_text(c), stripped=True) for c in fv.ELEC_DATES},
+        **{f"day_{c}": parse_day(_text(c)) for c in fv.ELEC_DATES},
         **{f"flag_{c}": parse_bool(_text(c), "input", stripped=True) for c in fv.ELEC_FLAGS},
     })
     creating, patching = F.col("op") == "create", F.col("op") == "patch"

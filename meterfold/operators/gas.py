@@ -14,7 +14,7 @@ from meterfold import fixed_values as fv
 from meterfold.functions.booleans import any_true, parse_bool
 from meterfold.functions.dates import iso_day, iso_stamp, parse_day
 from meterfold.functions.text import (
-    clean, is_email, is_filled, is_postal_code, longer_than, one_of,
+    clean, is_email, is_filled, is_postal_code, longer_than, one_of, strip_flat,
 )
 from meterfold.operators.outcomes import (
     error, fill, first_error, first_unlisted, invalid, outcome, rejected,
@@ -86,7 +86,7 @@ def _create_error() -> Column:
         *dated(_USE_START), *dated(_USE_END),
         _holder_error(text(_COMPANY).isNull() & text(_NAME).isNull()),
         _too_long(text(_COMPANY), _COMPANY), _too_long(text(_NAME), _NAME),
-        *[invalid(F.col("body")[c].isNotNull() & F.col(f"flag_{c}").isNull(), c, "boolean")
+        *[invalid(F.col(f"raw_{c}").isNotNull() & F.col(f"flag_{c}").isNull(), c, "boolean")
           for c in fv.GAS_PERIMETERS],
         invalid(~any_true(*flags), None, "perimeter"),
     )
@@ -117,14 +117,15 @@ def _patch_errors() -> dict[str, Column]:
 def add_facts(commands: DataFrame) -> DataFrame:
     """What the body alone decides: fields present, their normal form, the body's own errors."""
     body = F.col("body")
-    texts = commands.withColumns({
-        **{f"text_{c}": clean(body[c]) for c in fv.GAS_CREATE_FIELDS},
+    raw = commands.withColumns({f"raw_{c}": body[c] for c in fv.GAS_CREATE_FIELDS})
+    texts = raw.withColumns({
+        **{f"text_{c}": F.nullif(strip_flat(F.col(f"raw_{c}")), F.lit("")) for c in fv.GAS_CREATE_FIELDS},
         **{f"has_{c}": F.map_contains_key(body, c) for c in fv.GAS_PATCH_FIELDS},
         "not_creatable": first_unlisted(body, fv.GAS_CREATE_FIELDS),
         "not_patchable": first_unlisted(body, fv.GAS_PATCH_FIELDS),
     })
     texts = texts.withColumns({
-        **{f"day_{c}": parse_day(F.col(f"text_{c}"), stripped=True) for c in _DAYS},
+        **{f"day_{c}": parse_day(F.col(f"text_{c}")) for c in _DAYS},
         **{f"flag_{c}": parse_bool(F.col(f"text_{c}"), "input", stripped=True)
            for c in fv.GAS_PERIMETERS},
     })

@@ -84,8 +84,3 @@ def fact_struct(errors: list[str], fields, values) -> Column:
         F.struct(*[F.col(f"has_{c}").alias(c) for c in fields]).alias("has"),
         F.struct(*[F.col(f"value_{c}").alias(c) for c in values]).alias("value"),
     )
-
-
-def bind(value: Column, use) -> Column:
-    """Evaluate ``value`` once and hand it to ``use``: a one-element transform."""
-    return F.get(F.transform(F.array(value), use), 0)

@@ -4,6 +4,7 @@ from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 from meterfold import fixed_values as fv
 from meterfold.functions.booleans import parse_bool
@@ -70,6 +71,12 @@ def count_by_status(df: DataFrame, status: str = "statut") -> DataFrame:
 
 # --- views ---------------------------------------------------------------------------------
 
+def _shown_bool(df: DataFrame, c: str) -> Column:
+    if isinstance(df.schema[c].dataType, T.BooleanType):
+        return F.col(c)
+    return parse_bool(F.col(c), "view")
+
+
 def gas_view(df: DataFrame, light: bool = False) -> DataFrame:
     """The 13 exposed fields of a gas right; the light form leaves out two dates."""
     shown = {
@@ -77,7 +84,7 @@ def gas_view(df: DataFrame, light: bool = False) -> DataFrame:
         "partner": clean(F.col("partner")),
         "platform_code": clean(F.col("platform_code")),
         "statut": F.coalesce(clean(F.col("etat_droit_acces")), F.lit(fv.NEW_STATE)),
-        **{c: parse_bool(F.col(c), "view") for c in fv.GAS_PERIMETERS},
+        **{c: _shown_bool(df, c) for c in fv.GAS_PERIMETERS},
         "date_debut_droit_acces": clean(F.col("date_debut_droit_acces")),
         "date_fin_droit_acces": clean(F.col("date_fin_droit_acces")),
         "date_creation": show_stamp(F.col("date_creation")),
@@ -93,7 +100,7 @@ def elec_view(df: DataFrame) -> DataFrame:
     """The 9 exposed fields of an electricity consent."""
     return df.select(
         *[clean(F.col(c)).alias(c) for c in ("id_pdl", "partner", "platform_code", "statut")],
-        *[parse_bool(F.col(c), "view").alias(c) for c in ("statut_cdc", "statut_dm")],
+        *[_shown_bool(df, c).alias(c) for c in ("statut_cdc", "statut_dm")],
         payload(F.col("erreur")).alias("message_erreur"),
         *[show_typed_stamp(F.col(c)).alias(c) for c in ("date_creation", "date_modification")],
     )
