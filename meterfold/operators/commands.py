@@ -17,6 +17,7 @@ from meterfold.session import ensure_checkpoint_dir
 
 BOOKS = {"gas": gas, "electricity": electricity}
 CHUNK_ROWS = 2048
+MAX_BROADCAST_IDS = 100_000
 
 
 def state_of(registry: DataFrame, book) -> DataFrame:
@@ -233,11 +234,14 @@ def fold(
         "place", F.coalesce("id", F.concat(F.lit("seq "), F.col("seq").cast("string"))))
 
     accepted = F.exists("outcomes", lambda x: x["o"]["http_status"].isin(200, 201))
-    if long.isEmpty():
+    n_long = long.count()
+    if n_long == 0:
         whole = _fold_whole(asked, registry, book, now)
         pieces, finals = whole, whole.select("id", "state", accepted.alias("accepted"))
     else:
         ensure_checkpoint_dir(commands.sparkSession)
+        if n_long <= MAX_BROADCAST_IDS:
+            long = F.broadcast(long)
         short = _fold_whole(asked.join(long, "id", "left_anti"), registry, book, now)
         cut = _fold_cut(asked.join(long, "id", "left_semi"), registry, book, now, chunk_rows)
         cut = cut.select("id", "part", "block", "r.outcomes", "r.state")

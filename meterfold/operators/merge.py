@@ -15,6 +15,7 @@ from meterfold.functions.dates import iso_stamp
 from meterfold.operators.dedup import keep_first, last_arrived, latest_right_order
 
 UPDATED_AT = "derniere_maj"
+ROWS_PER_PART = 1_000_000
 
 
 def _equal(keys: list[str], null_safe: bool) -> Column:
@@ -143,11 +144,12 @@ def insert_if_absent(
     """
     per_id = (
         rows.groupBy(key)
-        .agg(F.min(seq).alias("_first"), F.min_by(status, seq).alias("_first_status"))
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(seq).alias("_first"),
+             F.min_by(status, seq).alias("_first_status"))
         .join(target.select(key, F.struct(F.col(status).alias("v")).alias("_existing")), key, "left")
     )
-    judged = rows.join(per_id, key)
-    helpers = ("_first", "_first_status", "_existing")
+    judged = spread_join(rows, per_id, key, seq, "_n")
+    helpers = ("_n", "_first", "_first_status", "_existing")
     wins = F.col("_existing").isNull() & (F.col(seq) == F.col("_first"))
     conflicts = judged.where(~wins).withColumn(
         "existing_status",
@@ -157,6 +159,23 @@ def insert_if_absent(
     return target.unionByName(new, allowMissingColumns=True), conflicts.drop(*helpers)
 
 
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, n: str,
+                rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Join rows with one row per key, spreading the rows of busy keys over several tasks.
+
+    ``n`` is the number of rows of each key. A key with more than ``rows_per_part`` rows is cut
+    into parts and its per-key row is copied to each. Only those keys are broadcast: there are
+    at most (rows / rows_per_part) of them.
+    """
+    parts = F.ceil(F.col(n) / rows_per_part)
+    busy = per_key.where(F.col(n) > rows_per_part).select(key, parts.alias("_parts"))
+    salted = rows.join(F.broadcast(busy), key, "left").withColumn(
+        "_part", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts")), F.lit(0))
+    ).drop("_parts")
+    copies = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    return salted.join(copies, [key, "_part"]).drop("_part")
+
+
 def _column(value) -> Column:
     return F.expr(value) if isinstance(value, str) else value
 

@@ -124,6 +124,15 @@ def test_insert_if_absent(spark):
     assert sorted((r.seq, r.existing_status) for r in conflicts.collect()) == [(1, "Active"), (3, "n2")]
 
 
+def test_spread_join_cuts_busy_keys(spark):
+    rows = spark.range(1000).selectExpr("IF(id % 3 = 0, 'HOT', CAST(id AS STRING)) AS k", "id AS seq")
+    per_key = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
+    joined = merge.spread_join(rows, per_key, "k", "seq", "n", rows_per_part=50)
+    want = rows.join(per_key, "k")
+    assert joined.columns == want.columns
+    assert joined.exceptAll(want).isEmpty() and want.exceptAll(joined).isEmpty()
+
+
 def test_update_and_delete(spark):
     df = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "k string, v int")
     changed = merge.update_where(df, "v > 2", {"k": "upper(k)", "v": F.lit(0)})
