@@ -97,8 +97,6 @@ POSTAL_CODE_PATTERN = r"^[0-9]{5}$"
 PAGE_LIMIT_DEFAULT, PAGE_LIMIT_MAX = 50, 100
 RECENT_DAYS = 30
 BACKFILL_PLATFORM_CODE = "LEGACY"
-STAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
-ARCHIVE_STAMP_FORMAT = "yyyy-MM-dd'T'HH-mm-ss"
 # The characters a text strip removes at both ends.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"

@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import Column, functions as F
 
 from meterfold.fixed_values import (
-    MEASURE_FORMAT, MEASURE_UUID_PREFIX, STAMP_FORMAT, WHITESPACE,
+    MEASURE_FORMAT, MEASURE_UUID_PREFIX, WHITESPACE,
 )
 from meterfold.functions.text import clean
 
@@ -37,12 +37,12 @@ def lenient_iso_day(c: Column) -> Column:
 def show_stamp(c: Column) -> Column:
     """``YYYY-MM-DD HH:MM:SS``; a zone offset is dropped, unparsable text is kept as it is."""
     wall = F.regexp_extract(c, _ISO_STAMP, 1).try_cast("timestamp_ntz")
-    return F.coalesce(F.date_format(wall, STAMP_FORMAT), clean(c))
+    return F.coalesce(show_typed_stamp(wall), clean(c))
 
 
 def show_typed_stamp(c: Column) -> Column:
-    """Same rendering for a column that already is a date or timestamp."""
-    return F.date_format(c.cast("timestamp_ntz"), STAMP_FORMAT)
+    """Same rendering for a date or timestamp column, whatever the session time zone."""
+    return F.substring(c.cast("timestamp_ntz").cast("string"), 1, 19)
 
 
 def stamp_literal(now: datetime) -> Column:

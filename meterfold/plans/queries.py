@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meterfold import fixed_values as fv
 from meterfold.functions.booleans import parse_bool
-from meterfold.functions.dates import show_stamp, stamp_literal
+from meterfold.functions.dates import show_stamp, show_typed_stamp, stamp_literal
 from meterfold.functions.payload import is_json_payload, payload_field, payload_text
 from meterfold.operators import (
     access, commands, consumption, dedup, electricity, gas, merge, quality, registry, requests,
@@ -293,7 +293,7 @@ def command_fold_elec(spark, sf):
 def recent_request(spark, sf):
     return requests.recent_requests(
         a.build(spark, sf, a.ASKED), a.build(spark, sf, a.HISTORY), RECENT_NOW, RECENT_DAYS
-    ).withColumn("datetime_requete", F.date_format("datetime_requete", fv.STAMP_FORMAT))
+    ).withColumn("datetime_requete", show_typed_stamp(F.col("datetime_requete")))
 
 
 def suppress_recent(spark, sf):
@@ -324,7 +324,7 @@ def status_update(spark, sf):
         a.build(spark, sf, a.PDL), a.build(spark, sf, a.STATUS_UPDATES), NOW)
     return updated.select(
         "id_pdl", "statut", "statut_cdc", "commentaire",
-        F.date_format("date_modification", fv.STAMP_FORMAT).alias("date_modification"))
+        show_typed_stamp(F.col("date_modification")).alias("date_modification"))
 
 
 def error_set_clear(spark, sf):
@@ -334,7 +334,7 @@ def error_set_clear(spark, sf):
         "id_pdl",
         payload_field(F.col("erreur"), "code_statut_traitement").alias("code"),
         payload_field(F.col("erreur"), "message_retour_traitement").alias("message"),
-        F.date_format("date_modification", fv.STAMP_FORMAT).alias("date_modification"))
+        show_typed_stamp(F.col("date_modification")).alias("date_modification"))
 
 
 def error_log(spark, sf):
@@ -343,7 +343,7 @@ def error_log(spark, sf):
         "'ConsultationMesures' AS service_appele",
         "CASE WHEN code LIKE '%1' THEN TIMESTAMP_NTZ '2024-05-05 10:00:00' END AS timestamp")
     return sinks.error_log_rows(errors, NOW).withColumn(
-        "timestamp", F.date_format("timestamp", fv.STAMP_FORMAT))
+        "timestamp", show_typed_stamp(F.col("timestamp")))
 
 
 def history_requests(spark, sf):
@@ -352,8 +352,8 @@ def history_requests(spark, sf):
         "'COURBES' AS mesures_type_code", "'2024-1-5' AS date_debut_demandee",
         "CAST(CAST(datetime_requete AS DATE) AS STRING) AS date_fin_demandee")
     return sinks.history_request_rows(sent, NOW).withColumn(
-        "datetime_requete", F.date_format("datetime_requete", fv.STAMP_FORMAT)
-    ).withColumn("date_premiere_valeur", F.date_format("date_premiere_valeur", fv.STAMP_FORMAT))
+        "datetime_requete", show_typed_stamp(F.col("datetime_requete"))
+    ).withColumn("date_premiere_valeur", show_typed_stamp(F.col("date_premiere_valeur")))
 
 
 # --- scalar functions ----------------------------------------------------------------------
@@ -412,7 +412,7 @@ def stream_measures(spark, sf):
         _spec_stream(spark, sf, a.MEASURES), layout, NOW, "arrival", f"{layout.root}/progress", 16
     ).awaitTermination()
     stored = read_measures(spark, layout).drop("bucket")
-    return stored.withColumn("ingestion_ts", F.date_format("ingestion_ts", fv.STAMP_FORMAT))
+    return stored.withColumn("ingestion_ts", show_typed_stamp(F.col("ingestion_ts")))
 
 
 def stream_commands(spark, sf):

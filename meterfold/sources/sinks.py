@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from meterfold import fixed_values as fv
-from meterfold.functions.dates import parse_day, stamp_literal
+from meterfold.functions.dates import parse_day, show_typed_stamp, stamp_literal
 from meterfold.operators.merge import merge_rows
 from meterfold.operators.dedup import keep_first, last_arrived
 from meterfold.operators.quality import require_valid
@@ -102,7 +102,8 @@ def archive_path(layout: Layout, stamp: Column) -> Column:
     """``bronze/<source>/<endpoint>/<meter>/<stamp>[__<suffix>].xml``"""
     suffix = F.when(F.coalesce("suffix", F.lit("")) != "", F.concat(F.lit("__"), F.col("suffix")))
     name = F.concat(
-        F.date_format(stamp, fv.ARCHIVE_STAMP_FORMAT), F.coalesce(suffix, F.lit("")), F.lit(".xml")
+        F.translate(show_typed_stamp(stamp), " :", "T-"), F.coalesce(suffix, F.lit("")),
+        F.lit(".xml"),
     )
     return F.concat_ws("/", F.lit(layout.bronze()), F.col("endpoint"), F.col("id_pdl"), name)
 
