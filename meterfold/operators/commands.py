@@ -86,18 +86,14 @@ def validate_creations(commands: DataFrame, book) -> DataFrame:
 
 def lookup(ids: DataFrame, registry: DataFrame, book, view: DataFrame) -> DataFrame:
     """Requested ids with their view row, or the not-found outcome."""
-    codes, texts = (
-        (gas.fv.GAS_CODES, gas.fv.GAS_TEXT) if book is gas
-        else (gas.fv.ELEC_CODES, gas.fv.ELEC_TEXT)
-    )
     found = view.withColumn("_found", F.lit(True))
     joined = ids.join(found, book.KEY, "left")
     hit = F.col("_found").isNotNull()
     return joined.select(
         *[c for c in joined.columns if c != "_found"],
         F.when(hit, 200).otherwise(404).alias("http_status"),
-        F.when(~hit, codes["missing"]).alias("erreur"),
-        F.when(~hit, texts["missing"]).alias("message"),
+        F.when(~hit, book.CODES["missing"]).alias("erreur"),
+        F.when(~hit, book.TEXTS["missing"]).alias("message"),
     )
 
 

@@ -19,6 +19,7 @@ from meterfold.sources.schemas import PDL
 
 KEY = "id_pdl"
 STATUS = "statut"
+CODES, TEXTS = fv.ELEC_CODES, fv.ELEC_TEXT
 _SIGNED, _START, _END = fv.ELEC_DATES
 _HOLDER = {"a": "raison_sociale", "b": "nom"}
 _ORDER = {"start": _START, "end": _END}
@@ -155,7 +156,7 @@ def patch_error(f: Column, state: Column) -> Column:
 
 def verdict(f: Column, state: Column, bad_patch: Column) -> Column:
     op, status = f["op"], clean(state[STATUS])
-    t, codes = fv.ELEC_TEXT, fv.ELEC_CODES
+    t, codes = TEXTS, CODES
     wrong = lambda text: outcome(409, fv.WRONG_STATE, None, t[text], status)
     return (
         F.when(op == "create",

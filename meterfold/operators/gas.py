@@ -23,6 +23,7 @@ from meterfold.sources.schemas import GAS_REGISTRY
 
 KEY = "id_pce"
 STATUS = "etat_droit_acces"
+CODES, TEXTS = fv.GAS_CODES, fv.GAS_TEXT
 _START, _END = "date_debut_droit_acces", "date_fin_droit_acces"
 _USE_START, _USE_END = "perim_donnees_conso_debut", "perim_donnees_conso_fin"
 _COMPANY, _NAME = "raison_sociale_du_titulaire", "nom_titulaire"
@@ -167,7 +168,7 @@ def patch_error(f: Column, state: Column) -> Column:
 def verdict(f: Column, state: Column, bad_patch: Column) -> Column:
     """Outcome of one command against one stored state."""
     op, status = f["op"], clean(state[STATUS])
-    t, codes = fv.GAS_TEXT, fv.GAS_CODES
+    t, codes = TEXTS, CODES
     wrong = lambda text: outcome(409, fv.WRONG_STATE, None, t[text], status)
     return (
         F.when(op == "create",
