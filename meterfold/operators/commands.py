@@ -16,7 +16,8 @@ from meterfold.operators.outcomes import OUTCOME_TYPE, Facts, fact_struct
 from meterfold.session import ensure_checkpoint_dir
 
 BOOKS = {"gas": gas, "electricity": electricity}
-CHUNK_ROWS = 2048
+# Short, because each step of the array fold copies the outcomes gathered so far.
+CHUNK_ROWS = 256
 MAX_BROADCAST_IDS = 100_000
 
 
