@@ -165,8 +165,9 @@ def _fills(met: DataFrame, plan: DataFrame) -> DataFrame:
     last = F.exists("draws", lambda d: d["pass"] == F.col("end.pass"))
     ended = met.where(F.col("limit").isNotNull()).join(ends, "_key").select(
         "_key", "end", "limit", F.when(last, F.col("size")).otherwise(F.lit(0)).alias("used"))
-    left = ended.groupBy("_key").agg(
-        F.max("end").alias("end"), (F.max("limit") - F.sum("used")).alias("missing"))
+    # One row per source, written: with its size known the documents need no shuffle by source.
+    left = written(ended.groupBy("_key").agg(
+        F.max("end").alias("end"), (F.max("limit") - F.sum("used")).alias("missing")))
     off = F.abs(F.col("size") - F.col("missing"))
     free = met.join(left, "_key").where((F.col("size") > 0) & (off < F.col("missing")) & ~last)
     return free.groupBy("_key").agg(F.min_by(
