@@ -115,7 +115,10 @@ GAS_CODES = {"exists": "PCE_EXISTANT", "missing": "PCE_INTROUVABLE", "revoked":
 ELEC_CODES = {"exists": "PDL_EXISTANT", "missing": "PDL_INTROUVABLE", "revoked": "PDL_DEJA_REVOQUE"}
 
 # --- texts ---------------------------------------------------------------------------------
+# Comparison operators of a filter, as its error text lists them.
+OPERATORS = ["=", "!=", "<", ">", "<=", ">="]
 TEXT = {
+    "operator_choice": "Opérateur '{operator}' non supporté. Choix : {choices}",
     "required": "Le champ {champ} est obligatoire.",
     "too_long": "Le champ {champ} ne doit pas dépasser {n} caractères.",
     "one_of": "Le champ {champ} doit être l'un de : {choices}.",

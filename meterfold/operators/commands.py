@@ -18,7 +18,6 @@ from meterfold.session import ensure_checkpoint_dir
 BOOKS = {"gas": gas, "electricity": electricity}
 # Short, because each step of the array fold copies the outcomes gathered so far.
 CHUNK_ROWS = 256
-MAX_BROADCAST_IDS = 100_000
 
 
 def state_of(registry: DataFrame, book) -> DataFrame:
@@ -237,8 +236,6 @@ def fold(
         pieces, finals = whole, whole.select("id", "state", accepted.alias("accepted"))
     else:
         ensure_checkpoint_dir(commands.sparkSession)
-        if n_long <= MAX_BROADCAST_IDS:
-            long = F.broadcast(long)
         short = _fold_whole(asked.join(long, "id", "left_anti"), registry, book, now)
         cut = _fold_cut(asked.join(long, "id", "left_semi"), registry, book, now, chunk_rows)
         cut = cut.select("id", "part", "block", "r.outcomes", "r.state")

@@ -15,7 +15,6 @@ from meterfold.functions.dates import iso_stamp
 from meterfold.operators.dedup import keep_first, last_arrived, latest_right_order
 
 UPDATED_AT = "derniere_maj"
-ROWS_PER_PART = 1_000_000
 
 
 def _equal(keys: list[str], null_safe: bool) -> Column:
@@ -135,45 +134,31 @@ def merge_stats(
     )
 
 
+def insert_errors(rows: DataFrame, key: str) -> DataFrame:
+    """Rows that can neither be inserted nor conflict, because they have no id."""
+    return rows.where(~_has_id(key))
+
+
 def insert_if_absent(
     target: DataFrame, rows: DataFrame, key: str, seq: str, status: str
 ) -> tuple[DataFrame, DataFrame]:
     """(target with the new rows, conflicts with the status that stood in the way).
 
-    The first row of an id wins inside the batch; later ones conflict with it.
+    The first row of an id wins inside the batch; later ones conflict with it. Rows without an id are
+    in neither; ``insert_errors`` returns them. The rows meet one row per id, reduced per task first:
+    the busy side is the one that adaptive execution may split.
     """
-    per_id = (
-        rows.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(seq).alias("_first"),
-             F.min_by(status, seq).alias("_first_status"))
-        .join(target.select(key, F.struct(F.col(status).alias("v")).alias("_existing")), key, "left")
-    )
-    judged = spread_join(rows, per_id, key, seq, "_n")
-    helpers = ("_n", "_first", "_first_status", "_existing")
-    wins = F.col("_existing").isNull() & (F.col(seq) == F.col("_first"))
+    rows = rows.where(_has_id(key))
+    stored = target.select(key, F.struct(F.col(status).alias("v")).alias("_existing"))
+    per_id = rows.groupBy(key).agg(
+        F.min(F.struct(F.col(seq).alias("seq"), F.col(status).alias("v"))).alias("_first"))
+    judged = rows.join(per_id, key).join(stored, key, "left")
+    wins = F.col("_existing").isNull() & (F.col(seq) == F.col("_first.seq"))
     conflicts = judged.where(~wins).withColumn(
         "existing_status",
-        F.when(F.col("_existing").isNull(), F.col("_first_status")).otherwise(F.col("_existing.v")),
-    )
-    new = judged.where(wins).drop(seq, *helpers)
-    return target.unionByName(new, allowMissingColumns=True), conflicts.drop(*helpers)
-
-
-def spread_join(rows: DataFrame, per_key: DataFrame, key: str, spread_by: str, n: str,
-                rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """Join rows with one row per key, spreading the rows of busy keys over several tasks.
-
-    ``n`` is the number of rows of each key. A key with more than ``rows_per_part`` rows is cut
-    into parts and its per-key row is copied to each. Only those keys are broadcast: there are
-    at most (rows / rows_per_part) of them.
-    """
-    parts = F.ceil(F.col(n) / rows_per_part)
-    busy = per_key.where(F.col(n) > rows_per_part).select(key, parts.alias("_parts"))
-    salted = rows.join(F.broadcast(busy), key, "left").withColumn(
-        "_part", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_parts")), F.lit(0))
-    ).drop("_parts")
-    copies = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    return salted.join(copies, [key, "_part"]).drop("_part")
+        F.when(F.col("_existing").isNull(), F.col("_first.v")).otherwise(F.col("_existing.v")))
+    new = judged.where(wins).drop(seq, "_first", "_existing")
+    return target.unionByName(new, allowMissingColumns=True), conflicts.drop("_first", "_existing")
 
 
 def _column(value) -> Column:

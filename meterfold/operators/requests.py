@@ -7,7 +7,7 @@ of a busy meter's requests are ever formed.
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterfold.fixed_values import RECENT_DAYS
 from meterfold.functions.dates import stamp_literal
@@ -39,34 +39,41 @@ def not_recent(
     return asked.join(latest.select(*PAIR), PAIR, "left_anti")
 
 
+def _blocked_before(asked: DataFrame, accepted: DataFrame, days: int) -> DataFrame:
+    """The asked requests without those that an accepted one of the ``days`` days before them blocks."""
+    columns = [*PAIR, "datetime_requete", "id_affaire"]
+    both = asked.select(*columns, F.lit(True).alias("_asked")).unionByName(
+        accepted.join(asked.select(*PAIR).distinct(), PAIR, "left_semi").select(
+            *columns, F.lit(False).alias("_asked")))
+    # At equal times the accepted one comes first (false sorts before true).
+    until = Window.partitionBy(*PAIR).orderBy("datetime_requete", "_asked").rowsBetween(
+        Window.unboundedPreceding, 0)
+    last = F.max(F.when(~F.col("_asked"), F.col("datetime_requete"))).over(until)
+    free = last.isNull() | (F.col("datetime_requete") > last + F.expr(f"INTERVAL {days} DAYS"))
+    return both.withColumn("_free", free).where("_asked AND _free").select(*columns)
+
+
 def accept_spaced(asked: DataFrame, accepted: DataFrame, days: int = RECENT_DAYS) -> DataFrame:
-    """Requests accepted when each accepted one blocks its pair for ``days`` days.
+    """Requests accepted when each accepted one blocks its pair for the ``days`` days after it.
 
     ``asked``: id_pdl, code_prestation, datetime_requete, id_affaire; ``accepted`` has the same
-    columns and holds what was accepted before. Each round takes, for every pair at once, the
-    earliest request after its last accepted one's horizon: an aggregation combined per task, so
-    a busy pair costs nothing extra. The number of rounds is the most acceptances any pair gets,
-    at most the time span of ``asked`` divided by ``days``.
+    columns and holds what was accepted before. A request is refused if one was accepted in the
+    ``days`` days before it (bounds included); one that arrives late is judged by its own time, so an
+    accepted request after it does not block it. Each round takes, for every pair at once, the earliest
+    free request after its last one of this call: an aggregation combined per task. The number of
+    rounds is the most acceptances any pair gets, at most the time span of ``asked`` by ``days``.
     """
     ensure_checkpoint_dir(asked.sparkSession)
     request = F.struct("datetime_requete", "id_affaire")
-    asked = asked.select(*PAIR, "datetime_requete", "id_affaire")
-    horizon = accepted.join(asked.select(*PAIR).distinct(), PAIR, "left_semi").groupBy(*PAIR).agg(
-        F.max("datetime_requete").alias("last")
-    )
-    candidates = asked.join(horizon, PAIR, "left")
-    taken = asked.limit(0)
+    free = _blocked_before(asked, accepted, days).checkpoint()
+    taken, candidates = free.limit(0), free
     while True:
-        free = F.col("last").isNull() | (
-            F.col("datetime_requete") > F.col("last") + F.expr(f"INTERVAL {days} DAYS")
-        )
-        chosen = candidates.where(free).groupBy(*PAIR).agg(F.min(request).alias("r")).select(
-            *PAIR, "r.*"
-        ).checkpoint()
+        chosen = candidates.groupBy(*PAIR).agg(F.min(request).alias("r")).select(*PAIR, "r.*").checkpoint()
         if chosen.isEmpty():
             return taken
         taken = taken.unionByName(chosen)
-        # Pairs without an acceptance this round are finished.
-        candidates = asked.join(
-            chosen.select(*PAIR, F.col("datetime_requete").alias("last")), PAIR
-        )
+        # Only requests past the horizon of this round's acceptance go on; the others are refused.
+        last = chosen.select(*PAIR, F.col("datetime_requete").alias("_last"))
+        candidates = candidates.join(last, PAIR).where(
+            F.col("datetime_requete") > F.col("_last") + F.expr(f"INTERVAL {days} DAYS")
+        ).drop("_last").checkpoint()

@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-NOW = "2026-06-16 09:03:16.415174"
+NOW = "2026-05-12 10:41:07.203118"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -263,7 +263,7 @@ GAS_CREATE = {
                               "WHEN o_orderkey % 61 = 0 THEN ' ' ELSE 'PF01' END"),
     "courriel_titulaire": ("o_orderkey % 59 <> 0",
                            "CASE WHEN o_orderkey % 53 = 0 THEN 'a b@c.fr' WHEN o_orderkey % 47 = 0 "
-                           "THEN repeat('a', 95) || '@mail.fr' ELSE 'contact@exemple.fr' END"),
+                           "THEN repeat('a', 95) || '@mail.fr' ELSE 'accueil@mairie.example' END"),
     "code_postal": ("TRUE", "CASE WHEN o_orderkey % 43 = 0 THEN '7500A' ELSE '75001 ' END"),
     "date_debut_droit_acces": ("TRUE", f"CASE WHEN o_orderkey % 41 = 0 THEN '2026/05/01' "
                                        f"ELSE {_iso(_BODY_START)} END"),

@@ -734,6 +734,15 @@ ORACLES = {
       SELECT id_pce, NULL, etat_droit_acces FROM (SELECT * FROM s
         WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.id_pce = s.id_pce)
         QUALIFY row_number() OVER (PARTITION BY id_pce ORDER BY seq) = 1)""",
+    "insert_errors": f"""SELECT id_pce, input_ord FROM {cte(a.RIGHTS_FEED)}
+      WHERE id_pce IS NULL OR id_pce = ''""",
+    "append_log": f"""SELECT id_pdl, code AS code_erreur, message AS message_erreur,
+      'ConsultationMesures' AS service_appele,
+      CASE WHEN code LIKE '%1' THEN '2024-05-05 10:00:00' ELSE '{_NOW_SHOWN}' END AS "timestamp"
+      FROM {cte(a.ERRORS)}""",
+    "snapshot_roundtrip": f"SELECT id_pce, upper(partner) AS partner, etat_droit_acces FROM {_REG} r",
+    "read_one_meter": f"""SELECT id_pdl, label, val, ts FROM (
+      SELECT * FROM {cte(a.MEASURES)} {_LATEST}) WHERE id_pdl = '00000000000007'""",
     "insert_conflicts": f"""WITH r AS {_REG}, s AS {_offered()},
       k AS (SELECT s.*, r.id_pce IS NOT NULL AS stored, r.etat_droit_acces AS st,
               row_number() OVER w AS n, first_value(s.etat_droit_acces) OVER w AS first_state

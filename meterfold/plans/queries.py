@@ -15,7 +15,7 @@ from meterfold.operators import (
 from meterfold.plans import adapters as a
 from meterfold.session import scratch_root
 from meterfold.sources import sinks
-from meterfold.sources.lake import Layout, read_measures
+from meterfold.sources.lake import Layout, read_measures, read_meter, read_registry, read_table
 from meterfold.streaming import jobs
 
 NOW = datetime.fromisoformat(a.NOW)
@@ -125,6 +125,10 @@ def insert_conflicts(spark, sf):
     return conflicts.select("seq.*", "id_pce", "etat_droit_acces", "existing_status")
 
 
+def insert_errors(spark, sf):
+    return merge.insert_errors(a.build(spark, sf, a.RIGHTS_FEED), "id_pce").select("id_pce", "input_ord")
+
+
 def delete_keys(spark, sf):
     returned = a.read(spark, sf, "lineitem").where("l_returnflag = 'R'").selectExpr(
         f"{a.GAS_LINES[2]} AS id_pce")
@@ -346,6 +350,37 @@ def error_log(spark, sf):
         "timestamp", show_typed_stamp(F.col("timestamp")))
 
 
+def append_log(spark, sf):
+    """Two appends to one table, read back whole."""
+    layout = Layout(scratch_root(spark))
+    errors = a.build(spark, sf, a.ERRORS).selectExpr(
+        "id_pdl", "code AS code_erreur", "message AS message_erreur",
+        "'ConsultationMesures' AS service_appele",
+        "CASE WHEN code LIKE '%1' THEN TIMESTAMP_NTZ '2024-05-05 10:00:00' END AS timestamp")
+    first = F.coalesce(F.col("code_erreur"), F.lit("")).endswith("1")
+    for part in (errors.where(first), errors.where(~first)):
+        sinks.log_errors(part, layout, NOW)
+    return read_table(spark, layout, "log_erreur").withColumn(
+        "timestamp", show_typed_stamp(F.col("timestamp")))
+
+
+def snapshot_roundtrip(spark, sf):
+    """A registry written as one version, changed into the next, and that one read back."""
+    layout = Layout(scratch_root(spark))
+    sinks.write_snapshot(a.build(spark, sf, a.GAS_REGISTRY), layout, "droits_acces", "1")
+    sinks.rewrite_snapshot(
+        read_registry(spark, layout, "1"), lambda df: df.withColumn("partner", F.upper("partner")),
+        layout, "droits_acces", "2")
+    return read_registry(spark, layout, "2").select("id_pce", "partner", "etat_droit_acces")
+
+
+def read_one_meter(spark, sf):
+    """Measurements stored by bucket, one meter read back without naming the bucket count."""
+    layout = Layout(scratch_root(spark))
+    sinks.write_measures(a.build(spark, sf, a.MEASURES), layout, NOW, "arrival", buckets=16)
+    return read_meter(spark, layout, "00000000000007").select("id_pdl", "label", "val", "ts")
+
+
 def history_requests(spark, sf):
     sent = a.build(spark, sf, a.HISTORY).selectExpr(
         "id_affaire", "id_pdl", "code_prestation", "'false' AS mesures_corrigees",
@@ -444,9 +479,9 @@ def stream_quarantine(spark, sf):
         _spec_stream(spark, sf, a.FAULTY_PDL), "pdl", layout, NOW, F.lit("QUALITE"), "controle",
         f"{layout.root}/progress"
     ).awaitTermination()
-    kept = spark.read.parquet(layout.silver("pdl")).select(
+    kept = read_table(spark, layout, "pdl").select(
         F.lit("valid").alias("kind"), "id_pdl", F.lit(None).cast("string").alias("detail"))
-    logged = spark.read.parquet(layout.silver("log_erreur")).select(
+    logged = read_table(spark, layout, "log_erreur").select(
         F.lit("error").alias("kind"), "id_pdl", F.col("message_erreur").alias("detail"))
     return kept.unionByName(logged)
 
@@ -463,6 +498,10 @@ QUERIES = {
     "registry_upsert_stats": registry_upsert_stats,
     "insert_if_absent": insert_if_absent,
     "insert_conflicts": insert_conflicts,
+    "insert_errors": insert_errors,
+    "append_log": append_log,
+    "snapshot_roundtrip": snapshot_roundtrip,
+    "read_one_meter": read_one_meter,
     "delete_keys": delete_keys,
     "delete_rows": delete_rows,
     "update_rows": update_rows,

@@ -29,7 +29,14 @@ class Layout:
         return f"{self.root}/bronze/{source}"
 
     def snapshot(self, table: str, version: str) -> str:
-        return f"{self.silver(table)}/version={version}"
+        return f"{self.root}/snapshots/{table}/version={version}"
+
+    def batches(self, table: str) -> str:
+        """Rows written by micro-batches, one ``batch_id`` folder each."""
+        return f"{self.root}/batches/{table}"
+
+    def settings(self, table: str) -> str:
+        return f"{self.root}/settings/{table}"
 
 
 def bucket_of(meter: Column, buckets: int = BUCKETS) -> Column:
@@ -51,8 +58,37 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType,
         raise
 
 
-def read_table(spark: SparkSession, layout: Layout, table: str) -> DataFrame:
-    return read_parquet(spark, layout.silver(table), schema_of(table))
+def read_table(spark: SparkSession, layout: Layout, table: str, absent_is_empty: bool = False) -> DataFrame:
+    """All rows of a table: those appended and those that micro-batches wrote.
+
+    The two kinds of writers have folders of their own, since Spark would not see plain files beside
+    partition folders. A table that was never written raises, unless ``absent_is_empty``.
+    """
+    schema = schema_of(table)
+    streamed = read_parquet(spark, layout.batches(table), schema, absent_is_empty=True).select(*schema.names)
+    appended = read_parquet(spark, layout.silver(table), schema, absent_is_empty=absent_is_empty or bool(streamed.inputFiles()))
+    return appended.unionByName(streamed)
+
+
+def stored_buckets(spark: SparkSession, layout: Layout, table: str) -> int | None:
+    """The bucket count a table was first written with; None before that."""
+    rows = read_parquet(spark, layout.settings(table), T.StructType([T.StructField("buckets", T.IntegerType())]),
+                        absent_is_empty=True).distinct().collect()
+    if len(rows) > 1:
+        raise ValueError(f"{table}: several bucket counts {sorted(r.buckets for r in rows)}")
+    return rows[0].buckets if rows else None
+
+
+def agreed_buckets(spark: SparkSession, layout: Layout, table: str, buckets: int | None,
+                   store: bool = False) -> int:
+    """The stored bucket count; another one is refused. A writer stores the first one."""
+    stored = stored_buckets(spark, layout, table)
+    if stored is not None and buckets not in (None, stored):
+        raise ValueError(f"{table} has {stored} buckets, not {buckets}")
+    if stored is None and store:
+        spark.createDataFrame([(buckets or BUCKETS,)], "buckets int").coalesce(1).write.mode(
+            "errorifexists").parquet(layout.settings(table))
+    return stored or buckets or BUCKETS
 
 
 def read_registry(spark: SparkSession, layout: Layout, version: str) -> DataFrame:
@@ -82,9 +118,10 @@ def read_measures(spark: SparkSession, layout: Layout) -> DataFrame:
                         _bucketed(schema_of("donnees_mesures")), absent_is_empty=True)
 
 
-def read_meter(spark: SparkSession, layout: Layout, id_pdl: str, buckets: int = BUCKETS) -> DataFrame:
+def read_meter(spark: SparkSession, layout: Layout, id_pdl: str, buckets: int | None = None) -> DataFrame:
     """Measurements of one meter: one bucket directory, row groups skipped by id."""
     rows = read_measures(spark, layout)
+    buckets = agreed_buckets(spark, layout, "donnees_mesures", buckets)
     return rows.where(
         (F.col("bucket") == bucket_of(F.lit(id_pdl), buckets)) & (F.col("id_pdl") == id_pdl)
     ).drop("bucket")

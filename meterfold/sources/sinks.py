@@ -9,7 +9,9 @@ from meterfold.functions.dates import parse_day, show_typed_stamp, stamp_literal
 from meterfold.operators.merge import merge_rows
 from meterfold.operators.dedup import keep_first, last_arrived
 from meterfold.operators.quality import require_valid
-from meterfold.sources.lake import BUCKETS, Layout, bucket_of, read_measures, read_parquet
+from meterfold.sources.lake import (
+    Layout, agreed_buckets, bucket_of, read_measures, read_parquet, read_table,
+)
 from meterfold.sources.schemas import KEYS, list_columns, schema_of
 
 MEASURE_INPUT = ["id_pdl", "label", "val", "ts", "date_debut", "date_fin", "fmt", "uuid", "misc"]
@@ -72,25 +74,30 @@ def write_measures(
     layout: Layout,
     now: datetime,
     arrival: str,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
+    null_safe: bool = False,
 ) -> int:
     """Keep-latest merge on (meter, label, ts); returns the number of rows merged in.
 
-    Only buckets that receive rows are read and rewritten.
+    Only buckets that receive rows are read and rewritten. The bucket count is stored with the table;
+    another one is refused. With ``null_safe`` a null label or stamp is a value like any other, so
+    that writing the same rows again changes nothing.
     """
     keys = KEYS["donnees_mesures"]
+    buckets = agreed_buckets(measures.sparkSession, layout, "donnees_mesures", buckets, store=True)
     require_valid(prepare_measures(measures, now), "donnees_mesures")
     bucket = bucket_of(F.col("id_pdl"), buckets)
     # At most ``buckets`` integers, from one narrow column.
     touched = [r.bucket for r in measures.select(bucket.alias("bucket")).distinct().collect()]
     if not touched:
         return 0
-    incoming = prepare_measures(last_arrived(measures, keys, arrival), now)
+    incoming = prepare_measures(last_arrived(measures, keys, arrival, null_safe), now)
     stored = read_measures(measures.sparkSession, layout).where(F.col("bucket").isin(touched))
     merged = merge_rows(
         stored.withColumn("incoming", F.lit(False)),
         incoming.withColumns({"bucket": bucket, "incoming": F.lit(True)}),
         ["bucket", *keys],
+        null_safe=null_safe,
     )
     seen = Observation()
     rows = merged.observe(seen, F.count_if("incoming").alias("n")).drop("incoming")
@@ -184,10 +191,11 @@ def log_history_requests(
     if ignore_known:
         stored = read_parquet(rows.sparkSession, layout.silver("demandes_historique"),
                               schema_of("demandes_historique"), absent_is_empty=True)
-        rows = rows.dropDuplicates(["id_affaire"]).join(
+        order = [F.col(c).asc_nulls_last() for c in sorted(rows.columns)]
+        rows = keep_first(rows, [F.col("id_affaire")], order).join(
             stored.select("id_affaire"), "id_affaire", "left_anti")
     return append_rows(rows, layout, "demandes_historique")
 
 
 def count_rows(spark: SparkSession, layout: Layout, table: str) -> int:
-    return read_parquet(spark, layout.silver(table), schema_of(table), absent_is_empty=True).count()
+    return read_table(spark, layout, table, absent_is_empty=True).count()

@@ -43,7 +43,7 @@ def upsert_measures(
     """Keep-latest measurements; the latest is the last to arrive and nothing is ever too late."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_measures(batch, layout, now, arrival, buckets)
+        write_measures(batch, layout, now, arrival, buckets, null_safe=True)
 
     return _start(stream, handle, checkpoint, available_now)
 
@@ -83,7 +83,8 @@ def apply_commands(
     A batch first logs its outcomes, the state changes and then a completion mark; only then is
     the registry touched. A rerun finds the mark and only repeats the (idempotent) registry
     write; without the mark the registry is still untouched and the batch is computed afresh.
-    A command seen before (same id and seq) is skipped. Only buckets with changes are rewritten.
+    A command seen before (same id and seq) is skipped; creations without an id are commands of their
+    own and all get their outcome. Only buckets with changes are rewritten.
     """
     outcomes_at, changes_at, marks_at = (
         log_path(layout, book, kind) for kind in ("outcomes", "changes", "marks"))
@@ -93,11 +94,15 @@ def apply_commands(
         stored = read_registry(spark, layout, book, registry_schema)
         key = F.col(book.KEY)
         if not _is_logged(spark, marks_at, batch_id):
-            asked = keep_first(ops.addressed(batch, book), ["id", "seq"], [F.col("op")])
+            asked = ops.addressed(batch, book)
+            # Of several bodies under one id and seq the same one is kept in every run.
+            total = [F.col("op"), F.to_json(F.array_sort(F.map_entries("body")))]
+            asked = keep_first(asked.where(F.col("id").isNotNull()), ["id", "seq"], total).unionByName(
+                asked.where(F.col("id").isNull()))
             seen_schema = T.StructType([batch.schema["id"], batch.schema["seq"]])
             seen = stored_batches(spark, outcomes_at, seen_schema).where(
                 F.col("batch_id") < batch_id)
-            same = F.col("a.id").eqNullSafe(F.col("s.id")) & (F.col("a.seq") == F.col("s.seq"))
+            same = (F.col("a.id") == F.col("s.id")) & (F.col("a.seq") == F.col("s.seq"))
             fresh = asked.alias("a").join(seen.alias("s"), same, "left_anti")
             outcomes, changes = ops.fold(fresh, stored.drop("bucket"), book, now)
             _write_batch(outcomes, outcomes_at, batch_id)
@@ -138,6 +143,7 @@ def suppress_requests(
         oldest = rows.agg(F.min("datetime_requete").alias("t")).head().t
         if oldest is None:
             return
+        # Late requests look back from their own time, so nothing older than the oldest one matters.
         horizon = F.lit(oldest).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS")
         earlier = stored_batches(batch.sparkSession, path, rows.schema).where(
             (F.col("batch_id") < batch_id) & (F.col("datetime_requete") >= horizon)
@@ -157,15 +163,17 @@ def quarantine(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        valid, bad = split_valid(batch, table)
-        errors = bad.select(
-            F.coalesce("id_pdl", F.lit("")).alias("id_pdl"), code.alias("code_erreur"),
-            F.array_join("row_errors", ",").alias("message_erreur"),
-            F.lit(service).alias("service_appele"),
-        )
-        _write_batch(valid, layout.silver(table), batch_id)
-        _write_batch(bad, f"{layout.root}/quarantine/{table}", batch_id)
-        _write_batch(error_log_rows(errors, now), layout.silver("log_erreur"), batch_id)
-        batch.unpersist()
+        try:
+            valid, bad = split_valid(batch, table)
+            errors = bad.select(
+                F.coalesce("id_pdl", F.lit("")).alias("id_pdl"), code.alias("code_erreur"),
+                F.array_join("row_errors", ",").alias("message_erreur"),
+                F.lit(service).alias("service_appele"),
+            )
+            _write_batch(valid, layout.batches(table), batch_id)
+            _write_batch(bad, f"{layout.root}/quarantine/{table}", batch_id)
+            _write_batch(error_log_rows(errors, now), layout.batches("log_erreur"), batch_id)
+        finally:
+            batch.unpersist()
 
     return _start(stream, handle, checkpoint, available_now)

@@ -134,3 +134,34 @@ def test_migration(spark, tmp_path):
     assert sinks.migrate(done, layout, "pdl", "platform_code", "2", apply=True) is None
     with pytest.raises(ValueError):
         sinks.migrate(old, layout, "pdl", "platform_code", "3", value="x" * 11)
+
+
+def test_appends_batches_and_snapshots_of_one_table_stay_apart(spark, tmp_path):
+    layout = lake.Layout(str(tmp_path))
+    error = lambda i: spark.createDataFrame([(i, "S1", "m", "s")], "id_pdl string, code_erreur string, message_erreur string, service_appele string")  # noqa: E731,E501
+    sinks.log_errors(error("1"), layout, NOW)
+    batch = sinks.error_log_rows(error("2"), NOW).withColumn("batch_id", F.lit(0))
+    sinks.write_partitions(batch, layout.batches("log_erreur"), "batch_id")
+    sinks.write_snapshot(sinks.error_log_rows(error("3"), NOW), layout, "log_erreur", "1")
+    sinks.log_errors(error("4"), layout, NOW)
+    assert sorted(r.id_pdl for r in lake.read_table(spark, layout, "log_erreur").collect()) == ["1", "2", "4"]
+    assert sinks.count_rows(spark, layout, "log_erreur") == 3
+
+
+def test_bucket_count_is_stored_with_the_table(spark, tmp_path):
+    layout = lake.Layout(str(tmp_path))
+    rows = measures(spark, ("00000000000001", "TOTAL", 1.0))
+    sinks.write_measures(rows, layout, NOW, "arrival", buckets=16)
+    assert lake.read_meter(spark, layout, "00000000000001").count() == 1
+    with pytest.raises(ValueError, match="16 buckets"):
+        lake.read_meter(spark, layout, "00000000000001", buckets=8)
+    with pytest.raises(ValueError, match="16 buckets"):
+        sinks.write_measures(rows, layout, NOW, "arrival", buckets=8)
+
+
+def test_null_keys_can_be_written_twice(spark, tmp_path):
+    layout = lake.Layout(str(tmp_path))
+    rows = measures(spark, ("00000000000001", None, 1.0), ("00000000000002", None, 2.0))
+    for _ in range(2):
+        sinks.write_measures(rows, layout, NOW, "arrival", buckets=4, null_safe=True)
+        assert len(stored(spark, layout)) == 2

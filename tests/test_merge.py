@@ -124,13 +124,15 @@ def test_insert_if_absent(spark):
     assert sorted((r.seq, r.existing_status) for r in conflicts.collect()) == [(1, "Active"), (3, "n2")]
 
 
-def test_spread_join_cuts_busy_keys(spark):
-    rows = spark.range(1000).selectExpr("IF(id % 3 = 0, 'HOT', CAST(id AS STRING)) AS k", "id AS seq")
-    per_key = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first"))
-    joined = merge.spread_join(rows, per_key, "k", "seq", "n", rows_per_part=50)
-    want = rows.join(per_key, "k")
-    assert joined.columns == want.columns
-    assert joined.exceptAll(want).isEmpty() and want.exceptAll(joined).isEmpty()
+def test_insert_accounts_for_rows_without_an_id(spark):
+    target = spark.createDataFrame([("A", "Active")], "id string, etat string")
+    rows = spark.createDataFrame([(1, "A", "n1"), (2, None, "n2"), (3, "", "n3"), (4, "B", "n4")],
+                                 "seq int, id string, etat string")
+    table, conflicts = merge.insert_if_absent(target, rows, "id", "seq", "etat")
+    errors = merge.insert_errors(rows, "id")
+    assert sorted(r.id for r in table.collect()) == ["A", "B"]
+    assert [r.seq for r in conflicts.collect()] == [1]
+    assert sorted(r.seq for r in errors.collect()) == [2, 3]
 
 
 def test_update_and_delete(spark):

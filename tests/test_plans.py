@@ -8,13 +8,16 @@ from conftest import plan_of
 
 import __spark_entry__ as entry
 import check_oracle
+from meterfold.plans.oracle import ORACLES
+from meterfold.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(SMALL), reason="benchmark tables absent")
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @needs_data
@@ -24,8 +27,8 @@ def test_entry(spark):
 
 @needs_data
 def test_no_cross_joins_and_no_python_in_the_plans(spark):
-    eager = {name for name in entry.queries() if name.startswith("stream_")} | {"accept_spaced"}
-    for name, query in entry.queries().items():
+    eager = {name for name in QUERIES if name.startswith("stream_")} | {"accept_spaced"}
+    for name, query in QUERIES.items():
         if name in eager:
             continue
         plan = plan_of(query(spark, SMALL))

@@ -90,3 +90,19 @@ def test_quarantine_stream(spark, tmp_path):
                     f"{tmp_path}/progress").awaitTermination()
     bad = spark.read.parquet(f"{layout.root}/quarantine/log_erreur")
     assert sorted(r.row_errors[0] for r in bad.collect()) == ["id_pdl:max_length", "id_pdl:not_null"]
+
+
+def test_creations_without_an_id_all_get_an_outcome(spark, tmp_path):
+    layout = Layout(f"{tmp_path}/lake")
+    body = {"partner": "ifpeb"}
+    rows = spark.createDataFrame(
+        [(1, None, "create", {**body, "code_postal": str(i)}) for i in range(3)],
+        "seq bigint, id string, op string, body map<string,string>")
+    empty = spark.createDataFrame([], schemas.GAS_REGISTRY)
+    jobs.write_registry(empty, layout, gas, 4)
+    path = f"{tmp_path}/in"
+    rows.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    jobs.apply_commands(stream, layout, gas, empty.schema, NOW, f"{tmp_path}/progress", 4).awaitTermination()
+    logged = spark.read.parquet(jobs.log_path(layout, gas, "outcomes"))
+    assert logged.count() == 3
