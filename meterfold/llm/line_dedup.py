@@ -56,7 +56,9 @@ class LineRuns:
     def _union(self, names: list[str]) -> DataFrame | None:
         runs = None
         for name in names:
-            run = self.spark.table(name)
+            # Computed keys: a union of bucketed scans is taken for bucketed, but reads them one after
+            # another, so a sum over it without a shuffle would leave a key in several rows.
+            run = self.spark.table(name).withColumns({k: F.coalesce(k, F.lit(0)) for k in KEY})
             runs = run if runs is None else runs.unionByName(run)
         return runs
 

@@ -96,14 +96,16 @@ class Shard:
             mid = (lo[open_] + hi[open_]) >> 1
             at, below, undecided = self.order[mid], np.zeros(len(open_), bool), np.arange(len(open_))
             for k in range(grams.shape[1]):
-                undecided = undecided[sizes[open_[undecided]] > k]
+                # A gram that ends here equals the prefix: it is below the upper bound only.
+                ended = sizes[open_[undecided]] <= k
+                below[undecided[ended]] = upper
+                undecided = undecided[~ended]
                 if not len(undecided):
                     break
                 x, y = padded[at[undecided] + k], grams[open_[undecided], k]
                 below[undecided[x < y]] = True
                 undecided = undecided[x == y]
-            if upper:
-                below[undecided] = True
+            below[undecided] = upper
             lo[open_[below]] = mid[below] + 1
             hi[open_[~below]] = mid[~below]
 
