@@ -26,6 +26,7 @@ from meterfold.llm.common import fold_of, written
 
 FOLDS, HELD_OUT = 5, 0
 SAMPLE = 10_000
+SPREAD = 64
 LEAST_EVIDENCE = 30.0
 LEAST_SUPPORT = 4
 LEAST_WEIGHT = 3.0
@@ -60,7 +61,8 @@ def learn(sample: DataFrame) -> dict:
     model = {"weights": {}, "exceptions": [], "intercept": -30.0, "slope": 0.0}
     if not n.get(0) or not n.get(1):
         return model
-    counted = sample.mapInArrow(
+    # Spread over tasks of its own, so the neighbour pairs a task holds stay few whatever the file sizes.
+    counted = sample.repartition(SPREAD, F.xxhash64("text")).mapInArrow(
         kernels.word_counts, "word string, clean long, toxic long, contexts array<string>")
     words = counted.groupBy("word").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"),
