@@ -182,9 +182,9 @@ def _fold_cut(commands: DataFrame, registry: DataFrame, book, now: datetime, chu
 
     Every chunk first assumes the stored state. Each round hands a chunk the exit state of its
     predecessor and reruns only the chunks whose entry changed; it ends when none changed. After
-    round n the first n chunks of a meter are final, so the result is exact. A chunk that
-    overwrites what later commands read makes its successors independent of the past, which is
-    why a few rounds are enough in practice.
+    round n the first n chunks of a meter are final, so the result is exact. A chunk that overwrites
+    the whole state makes its successors independent of the past; a field that is set early and
+    never again travels one chunk a round, so there may be as many rounds as a meter has chunks.
     """
     chunks = _entry(_cut(commands, book, chunk_rows), registry, book)
     solved = chunks.withColumn(

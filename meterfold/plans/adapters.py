@@ -347,6 +347,20 @@ ACCESS_LOG = ("events", {
         "WHEN 6 THEN '2001:DB8:1:0:0:0:0:' || CAST(event_id % 100 AS STRING) ELSE 'localhost' END",
 })
 ALLOWED_IPS = "10.0.1.0/24, 90.80.0.0/25,8.8.8.8, 10.0.2.77/32, 2001:db8::/64, pas-une-ip, 300.1.1.1"
+MANY_IPS = ",".join([
+    *[f"10.0.{i}.{j}" for i in range(4) for j in range(0, 256, 2)],
+    *[f"8.8.{k}.0/24" for k in range(0, 256, 3)],
+    *[f"172.{i}.{j}.0/24" for i in range(16, 32) for j in range(64)],
+])
+JSON_BODIES = ("lineitem", {
+    "l_orderkey": "l_orderkey",
+    "l_linenumber": "l_linenumber",
+    "body":
+        "'{' || CASE WHEN l_partkey % 5 = 0 THEN '\"code_postal\": \"' || " + _pad("l_partkey % 100000", 5)
+        + " || '\", ' ELSE '' END || CASE l_suppkey % 3 WHEN 0 THEN '\"nom_titulaire\": null, ' "
+        "WHEN 1 THEN '\"nom_titulaire\": \"Nom ' || CAST(l_suppkey AS STRING) || '\", ' ELSE '' END "
+        "|| '\"perim_donnees_publiees\": ' || CASE WHEN l_partkey % 2 = 0 THEN 'true' ELSE '\"non\"' END || '}'",
+})
 PAYLOADS = ("events", {
     "event_id": "event_id",
     "raw": "CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN ' Champ manquant ' WHEN 2 THEN 'NULL' ELSE '  ' END",

@@ -671,10 +671,13 @@ def _bool_dialects() -> str:
       {words("'true','vrai','1','yes'", "'false','faux','0','no'")} AS "input",
       {words("'true','vrai','1'", "'false','faux','0'")} AS "view",
       coalesce({w} IN ('true', 'vrai', '1'), FALSE) AS existing,
-      {words("'true'", "'false'")} AS existing_text FROM {cte(a.WORDS)}"""
+      {words("'true'", "'false'")} AS existing_text,
+      CASE WHEN {w} IN ('true','vrai','1','yes') THEN 'true' WHEN {w} IN ('false','faux','0','no')
+           THEN 'false' ELSE 'true' END AS stored_text FROM {cte(a.WORDS)}"""
 
 
-def _access_audit() -> str:
+def _access_audit(allowed: str | None = None, v6: str = "coalesce(host LIKE '2001:db8::%', FALSE)") -> str:
+    """``allowed``: SQL condition over the address number ``ip``; the short list when left out."""
     last = "nullif(trim(split_part(x_forwarded_for, ',', -1)), '')"
     host = f"""CASE WHEN {last} LIKE '[%' THEN regexp_extract({last}, '^\\[([^\\]]*)', 1)
       WHEN length({last}) - length(replace({last}, ':', '')) = 1 THEN split_part({last}, ':', 1)
@@ -686,7 +689,7 @@ def _access_audit() -> str:
     n = lambda ip: sum(int(o) << s for o, s in zip(ip.split("."), (24, 16, 8, 0)))
     ranges = [(n("10.0.1.0"), n("10.0.1.255")), (n("90.80.0.0"), n("90.80.0.127")),
               (n("8.8.8.8"), n("8.8.8.8")), (n("10.0.2.77"), n("10.0.2.77"))]
-    inside = " OR ".join(f"ip BETWEEN {lo} AND {hi}" for lo, hi in ranges)
+    inside = allowed or " OR ".join(f"ip BETWEEN {lo} AND {hi}" for lo, hi in ranges)
     # The log has two spellings of IPv6 addresses: shortened and with all eight groups.
     short_hex = "'20010db8' || repeat('0', 20) || lpad(split_part(host, '::', 2), 4, '0')"
     full_hex = "'20010db80001' || repeat('0', 16) || lpad(split_part(host, ':', 8), 4, '0')"
@@ -694,7 +697,7 @@ def _access_audit() -> str:
       CASE WHEN ip IS NOT NULL THEN lpad(lower(to_hex(ip)), 8, '0')
            WHEN host LIKE '2001:db8::%' THEN {short_hex}
            WHEN host LIKE '2001:DB8:1:%' THEN {full_hex} END AS client_hex,
-      coalesce({inside}, FALSE) OR coalesce(host LIKE '2001:db8::%', FALSE) AS allowed
+      coalesce({inside}, FALSE) OR {v6} AS allowed
     FROM (SELECT *, CASE WHEN {v4} THEN {num} END AS ip FROM (
       SELECT event_id, {host} AS host FROM {cte(a.ACCESS_LOG)}))"""
 
@@ -710,6 +713,9 @@ _ELEC_RULES = (a.ELEC_CREATE, _elec_create, fv.ELEC_CREATE_FIELDS, "statut")
 ORACLES = {
     "consumption_contained": f"""SELECT {_SHOWN_PERIOD} FROM {_PERIODS}
       WHERE provider = 'enedis' AND d1 >= DATE '2024-01-05' AND d2 <= DATE '2024-02-05'""",
+    "meter_periods": f"""SELECT {_SHOWN_PERIOD} FROM {_PERIODS} WHERE provider = 'enedis'
+      AND sensor_id = '00000000000007' AND d1 >= DATE '2024-01-03' AND d2 <= DATE '2024-02-20'""",
+    "measure_conventions": f"SELECT arrival, ts, uuid, fmt FROM {cte(a.MEASURES)}",
     "consumption_union": f"SELECT {_SHOWN_PERIOD} FROM {_PERIODS}",
     "consumption_requests": _consumption_requests(),
     "consumption_outcome": _consumption_outcome(),
@@ -723,6 +729,13 @@ ORACLES = {
         coalesce(date_debut_droit_acces, '') DESC, coalesce(date_creation, '') DESC, input_ord) = 1
       UNION ALL SELECT * FROM f WHERE id_pce IS NULL OR id_pce = ''""",
     "registry_upsert_partial": _registry_upsert(),
+    "upsert_one": f"""WITH r AS {_REG},
+      s AS (SELECT * FROM (VALUES ('PCE00000000007'), ('NEUF')) AS v(id_pce))
+      SELECT coalesce(r.id_pce, s.id_pce) AS id_pce, r.partner,
+        CASE WHEN s.id_pce IS NULL THEN r.nom_titulaire END AS nom_titulaire,
+        CASE WHEN s.id_pce IS NOT NULL THEN 'essai' END AS motif,
+        CASE WHEN s.id_pce IS NOT NULL THEN '{_NOW_ISO}' ELSE r.derniere_maj END AS derniere_maj
+      FROM r FULL JOIN s ON r.id_pce = s.id_pce""",
     "registry_upsert_stats": f"""WITH f AS {_feed()}, r AS {_REG},
       u AS (SELECT DISTINCT id_pce FROM f WHERE id_pce <> '')
       SELECT (SELECT count(*) FROM u WHERE id_pce NOT IN (SELECT id_pce FROM r)) AS created,
@@ -821,14 +834,25 @@ ORACLES = {
       coalesce({clean('raw')} LIKE '{{%', FALSE) AS is_json,
       CASE WHEN {clean('raw')} LIKE '{{%' THEN json_extract_string(raw, '$.k') END AS k
       FROM {cte(a.PAYLOADS)}""",
+    "json_commands": f"""SELECT l_orderkey, l_linenumber, json_extract_string(body, '$.code_postal') AS code_postal,
+      json_extract_string(body, '$.nom_titulaire') AS nom_titulaire,
+      list_contains(json_keys(body), 'nom_titulaire') AS has_nom,
+      json_extract_string(body, '$.perim_donnees_publiees') AS perim_donnees_publiees
+      FROM {cte(a.JSON_BODIES)}""",
+    "lenient_days": f"""SELECT event_id, CASE WHEN regexp_matches({clean('raw')}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
+      THEN CAST(try_cast(left({clean('raw')}, 10) AS DATE) AS VARCHAR) END AS day FROM {cte(a.STAMPS)}""",
     "format_timestamps": f"SELECT event_id, {shown('raw')} AS shown FROM {cte(a.STAMPS)}",
     "bool_dialects": _bool_dialects(),
     "migrate_backfill": f"SELECT id_pdl, 'LEGACY' AS platform_code, statut FROM {_PDL}",
-    "bronze_archive": f"""SELECT 'lake/bronze/enedis/' || endpoint || '/' || id_pdl || '/2026-06-16T09-03-16'
+    "bronze_archive": f"""SELECT 'lake/bronze/enedis/' || endpoint || '/' || id_pdl || '/{_NOW_SHOWN.replace(' ', 'T').replace(':', '-')}'
         || CASE WHEN suffix <> '' THEN '__' || suffix ELSE '' END || '.xml' AS blob_path, arrival,
         md5(xml) AS xml_md5 FROM {cte(a.RESPONSES)}
       QUALIFY row_number() OVER (PARTITION BY blob_path ORDER BY arrival) = 1""",
     "access_audit": _access_audit(),
+    # 10.0.0-3.even, and 8.8.k.* for every third k.
+    "access_audit_many": _access_audit(
+        "(ip BETWEEN 167772160 AND 167773183 AND ip % 2 = 0) OR "
+        "(ip // 65536 = 2056 AND (ip // 256) % 256 % 3 = 0)", "FALSE"),
     "stream_measures": f"""SELECT id_pdl, label, val, ts, date_debut, date_fin, fmt, uuid, misc,
       '{_NOW_SHOWN}' AS ingestion_ts FROM {cte(a.MEASURES)} {_LATEST}""",
     "stream_commands": fold(_GAS, final=True),

@@ -6,8 +6,11 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from meterfold import fixed_values as fv
-from meterfold.functions.booleans import parse_bool
-from meterfold.functions.dates import show_stamp, show_typed_stamp, stamp_literal
+from meterfold.functions.booleans import bool_text, parse_bool
+from meterfold.functions.dates import (
+    lenient_iso_day, measure_format, measure_stamp, measure_uuid, show_stamp, show_typed_stamp,
+    stamp_literal,
+)
 from meterfold.functions.payload import is_json_payload, payload_field, payload_text
 from meterfold.operators import (
     access, commands, consumption, dedup, electricity, gas, merge, quality, registry, requests,
@@ -15,7 +18,7 @@ from meterfold.operators import (
 from meterfold.plans import adapters as a
 from meterfold.session import scratch_root
 from meterfold.sources import sinks
-from meterfold.sources.lake import Layout, read_measures, read_meter, read_registry, read_table
+from meterfold.sources.lake import Layout, read_commands, read_measures, read_meter, read_registry, read_table
 from meterfold.streaming import jobs
 
 NOW = datetime.fromisoformat(a.NOW)
@@ -38,6 +41,19 @@ def consumption_contained(spark: SparkSession, sf: str) -> DataFrame:
     return consumption.present(kept).select(*consumption.SHAPE)
 
 
+def meter_periods(spark, sf):
+    """TOTAL periods of one meter inside a window, by their start as text."""
+    return consumption.meter_periods(
+        a.build(spark, sf, a.MEASURES), "00000000000007", "2024-01-03", "2024-02-20")
+
+
+def measure_conventions(spark, sf):
+    """Stamp, uuid and format of every measurement, derived from its meter and its last day."""
+    return a.build(spark, sf, a.MEASURES).select(
+        "arrival", measure_stamp(F.col("date_fin")).alias("ts"),
+        measure_uuid(F.col("id_pdl")).alias("uuid"), measure_format().cast("int").alias("fmt"))
+
+
 def _periods(spark, sf):
     return a.build(spark, sf, a.GAS_PERIODS), a.build(spark, sf, a.MEASURES)
 
@@ -101,6 +117,14 @@ def registry_upsert_partial(spark, sf):
     return merged.select("id_pce", "partner", *a.UPSERT_FIELDS, "derniere_maj")
 
 
+def upsert_one(spark, sf):
+    """One record for a stored meter, then one for a new meter."""
+    rows, fields = a.build(spark, sf, a.GAS_REGISTRY), {"nom_titulaire": None, "motif": "essai"}
+    for id_pce in ("PCE00000000007", "NEUF"):
+        rows = merge.upsert_one(rows, id_pce, fields, NOW)
+    return rows.select("id_pce", "partner", "nom_titulaire", "motif", "derniere_maj")
+
+
 def registry_upsert_stats(spark, sf):
     return merge.upsert_stats(a.build(spark, sf, a.GAS_REGISTRY), _upsert_feed(spark, sf))
 
@@ -400,13 +424,28 @@ def error_payload(spark, sf):
         payload_field(raw, "k").alias("k"))
 
 
+def json_commands(spark, sf):
+    """Request bodies from JSON: an absent field differs from a null one."""
+    body = F.col("body")
+    return read_commands(a.build(spark, sf, a.JSON_BODIES)).select(
+        "l_orderkey", "l_linenumber", body["code_postal"].alias("code_postal"),
+        body["nom_titulaire"].alias("nom_titulaire"),
+        F.map_contains_key(body, "nom_titulaire").alias("has_nom"),
+        body["perim_donnees_publiees"].alias("perim_donnees_publiees"))
+
+
+def lenient_days(spark, sf):
+    return a.build(spark, sf, a.STAMPS).select("event_id", lenient_iso_day(F.col("raw")).alias("day"))
+
+
 def format_timestamps(spark, sf):
     return a.build(spark, sf, a.STAMPS).select("event_id", show_stamp(F.col("raw")).alias("shown"))
 
 
 def bool_dialects(spark, sf):
     return a.build(spark, sf, a.WORDS).select(
-        "doc_id", *[parse_bool(F.col("word"), d).alias(d) for d in fv.BOOLEAN_DIALECTS])
+        "doc_id", *[parse_bool(F.col("word"), d).alias(d) for d in fv.BOOLEAN_DIALECTS],
+        bool_text(F.col("word"), F.lit("true")).alias("stored_text"))
 
 
 # --- migration, archive, access ------------------------------------------------------------
@@ -427,6 +466,12 @@ def access_audit(spark, sf):
     return audited.select("event_id", "client_hex", "allowed")
 
 
+def access_audit_many(spark, sf):
+    """The audit with a list of more than a thousand networks."""
+    audited = access.audit_access(a.build(spark, sf, a.ACCESS_LOG), a.MANY_IPS)
+    return audited.select("event_id", "client_hex", "allowed")
+
+
 # --- streams: each reads a benchmark file as a stream and returns what the job stored --------
 
 def _stream(spark, sf, table, *columns):
@@ -488,6 +533,8 @@ def stream_quarantine(spark, sf):
 
 QUERIES = {
     "consumption_contained": consumption_contained,
+    "meter_periods": meter_periods,
+    "measure_conventions": measure_conventions,
     "consumption_union": consumption_union,
     "consumption_requests": consumption_requests,
     "consumption_outcome": consumption_outcome,
@@ -495,6 +542,7 @@ QUERIES = {
     "measures_merge_stats": measures_merge_stats,
     "rights_dedup": rights_dedup,
     "registry_upsert_partial": registry_upsert_partial,
+    "upsert_one": upsert_one,
     "registry_upsert_stats": registry_upsert_stats,
     "insert_if_absent": insert_if_absent,
     "insert_conflicts": insert_conflicts,
@@ -544,11 +592,14 @@ QUERIES = {
     "error_log": error_log,
     "history_requests": history_requests,
     "error_payload": error_payload,
+    "json_commands": json_commands,
+    "lenient_days": lenient_days,
     "format_timestamps": format_timestamps,
     "bool_dialects": bool_dialects,
     "migrate_backfill": migrate_backfill,
     "bronze_archive": bronze_archive,
     "access_audit": access_audit,
+    "access_audit_many": access_audit_many,
     "stream_measures": stream_measures,
     "stream_commands": stream_commands,
     "stream_suppress": stream_suppress,
