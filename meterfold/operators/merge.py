@@ -1,9 +1,9 @@
 """Merges as DataFrame algebra: partial upsert, full-row merge, insert-if-absent, update, delete.
 
 Joins are on keys that are unique on both sides (after deduplication), so no key can skew them.
-Whole-row merges keep the incoming side where Spark may broadcast it after its own size check: with
-a small input the target is scanned in place and not shuffled. Partial merges read each side once
-in a full outer join; writers hand them only the buckets that receive rows.
+The incoming side of an upsert or a merge is where Spark may broadcast it after its own size check:
+with a small input the target is scanned in place and not shuffled. ``outer_merge`` is for incoming
+rows that are costly to compute: it reads each side once in a full outer join.
 """
 
 from datetime import datetime
@@ -53,7 +53,28 @@ def partial_upsert(
             return F.col("s._in")
         return F.col("s._in") & F.array_contains(F.col(f"s.{fields_set}"), c)
 
-    return outer_merge(target, records, key, {c: given(c) for c in fields})
+    overwrite = {c: given(c) for c in fields}
+    t, s = target.alias("t"), records.withColumn("_in", F.lit(True)).alias("s")
+    same = F.col(f"t.{key}") == F.col(f"s.{key}")
+    stored = t.join(s, same, "left").select(
+        F.col(f"t.{key}").alias(key), *_merged_columns(target, key, overwrite))
+    # The rows of new ids: an id column of the target is all that is read again.
+    new = s.join(target.select(key).alias("t"), same, "left_anti").select(
+        F.col(f"s.{key}").alias(key),
+        *[F.when(overwrite[c], F.col(f"s.{c}")).alias(c) if c in overwrite
+          else F.lit(None).cast(target.schema[c].dataType).alias(c)
+          for c in stored.columns if c != key])
+    return stored.unionByName(new)
+
+
+def _merged_columns(target: DataFrame, key: str, overwrite: dict) -> list[Column]:
+    """The columns but the key: the source's where its condition holds, else the target's."""
+    stored = lambda c: F.col(f"t.{c}") if c in target.columns else F.lit(None)
+    kept = [F.col(f"t.{c}") for c in target.columns if c != key and c not in overwrite]
+    return kept + [
+        F.when(condition, F.col(f"s.{c}")).otherwise(stored(c)).alias(c)
+        for c, condition in overwrite.items()
+    ]
 
 
 def outer_merge(target: DataFrame, source: DataFrame, key: str, overwrite: dict) -> DataFrame:
@@ -62,14 +83,8 @@ def outer_merge(target: DataFrame, source: DataFrame, key: str, overwrite: dict)
     ``overwrite`` maps source column -> condition over ``s`` (``s._in`` marks a source row).
     """
     t, s = target.alias("t"), source.withColumn("_in", F.lit(True)).alias("s")
-    stored = lambda c: F.col(f"t.{c}") if c in target.columns else F.lit(None)
-    columns = [F.coalesce(f"t.{key}", f"s.{key}").alias(key)]
-    columns += [F.col(f"t.{c}") for c in target.columns if c != key and c not in overwrite]
-    columns += [
-        F.when(condition, F.col(f"s.{c}")).otherwise(stored(c)).alias(c)
-        for c, condition in overwrite.items()
-    ]
-    return t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full_outer").select(*columns)
+    return t.join(s, F.col(f"t.{key}") == F.col(f"s.{key}"), "full_outer").select(
+        F.coalesce(f"t.{key}", f"s.{key}").alias(key), *_merged_columns(target, key, overwrite))
 
 
 def upsert_stats(target: DataFrame, records: DataFrame, key: str = "id_pce") -> DataFrame:

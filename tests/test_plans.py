@@ -2,12 +2,14 @@
 
 import os
 import re
+from datetime import datetime
 
 import pytest
 from conftest import plan_of
 
 import __spark_entry__ as entry
 import check_oracle
+from meterfold.operators import merge
 from meterfold.plans.oracle import ORACLES
 from meterfold.plans.queries import QUERIES
 
@@ -44,6 +46,16 @@ def test_scans_read_only_what_they_need(spark):
     assert "o_totalprice" not in plan and "o_orderpriority" not in plan
 
 
+@needs_data
+def test_a_small_upsert_feed_leaves_the_registry_in_place(spark):
+    rows = spark.read.parquet(f"{SMALL}/orders.parquet").selectExpr(
+        "CAST(o_orderkey AS STRING) AS id_pce", "o_orderstatus AS etat_droit_acces")
+    feed = spark.sql("SELECT * FROM VALUES ('1', 'x'), ('new', 'y') AS v(id_pce, etat_droit_acces)")
+    merged = merge.partial_upsert(rows, feed, datetime(2024, 1, 1), arrival=None)
+    left = plan_of(merged.where("etat_droit_acces IS NOT NULL"))
+    assert "BroadcastHashJoin" in left and "SortMergeJoin" not in left and "FullOuter" not in left
+
+
 @needs_data
 @pytest.mark.parametrize("name", [
     "consumption_outcome", "rights_dedup", "registry_upsert_partial", "insert_conflicts", "dq_report",
