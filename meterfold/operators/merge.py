@@ -108,8 +108,9 @@ def upsert_one(target: DataFrame, id_value: str, fields: dict, now: datetime,
     """Partial upsert of a single record given as literals."""
     spark = target.sparkSession
     known = {c: target.schema[c].dataType for c in target.columns}
-    row = spark.range(1).select(
-        F.lit(id_value).alias(key),
+    # The id is a row of a table: a literal would turn the join into a nested loop.
+    row = spark.createDataFrame([(id_value,)], f"{key} string").select(
+        key,
         *[F.lit(v).cast(known[c]).alias(c) if c in known else F.lit(v).alias(c)
           for c, v in fields.items()],
     )
