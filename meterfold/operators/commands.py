@@ -144,11 +144,10 @@ def _fold_whole(commands: DataFrame, registry: DataFrame, book, now: datetime) -
 
 
 def _cut(commands: DataFrame, book, chunk_rows: int) -> DataFrame:
-    """Cut long command sequences into linked chunks of at most ``chunk_rows`` commands.
+    """Cut long command sequences into chunks of at most ``chunk_rows`` commands, ordered by (part, block).
 
     A range sort on (id, seq) spreads one meter over many tasks; a chunk is a run of rows inside
-    one of those tasks. Each chunk knows its predecessor: the block before it in the same task,
-    or the meter's last block in the nearest earlier task that has the meter.
+    one of those tasks.
     """
     placed = (
         commands.repartitionByRange("place", "seq").sortWithinPartitions("place", "seq")
@@ -158,54 +157,81 @@ def _cut(commands: DataFrame, book, chunk_rows: int) -> DataFrame:
         .drop("at")
     )
     cut = with_facts(placed, book, "place", "part", "block")
-    chunks = _gather(cut, ["place", "id", "part", "block"]).checkpoint()
-    # At most one row per meter and sort task, so this window stays small.
-    spans = chunks.groupBy("id", "part").agg(
-        F.min("block").alias("first_block"), F.max("block").alias("last_block")
-    )
-    by_part = Window.partitionBy("id").orderBy("part")
-    spans = spans.select(
-        "id", "part", "first_block",
-        F.lag("part").over(by_part).alias("before_part"),
-        F.lag("last_block").over(by_part).alias("before_block"),
-    )
-    inside = F.col("block") > F.col("first_block")
-    return chunks.join(spans, ["id", "part"]).select(
-        "place", "id", "part", "block", "commands",
-        F.when(inside, F.col("part")).otherwise(F.col("before_part")).alias("prev_part"),
-        F.when(inside, F.col("block") - 1).otherwise(F.col("before_block")).alias("prev_block"),
-    )
+    return _gather(cut, ["place", "id", "part", "block"]).checkpoint()
+
+
+def _exit_state(commands: Column, entry: Column, book, now: datetime) -> Column:
+    """State after an ordered array of commands."""
+    return F.aggregate(commands, entry, lambda state, c: bind(
+        _verdict(c["f"], state, book), lambda o: book.next_state(c["f"], state, o, now)))
+
+
+def _handed(rows: DataFrame, book) -> DataFrame:
+    """Add to each chunk the state its predecessors leave it, ``carried``.
+
+    Per field that is the exit value of the last earlier chunk known to write it, else the stored
+    one. The last writer is sought among the chunks of the same sort task, then among the tasks
+    before it, so no window holds all chunks of a meter.
+    """
+    fields = [f.name for f in book.STATE_TYPE]
+    wrote = rows.select("*", *[
+        F.when(F.col("written")[c], F.struct(F.col("exit")[c].alias("v"))).alias(f"w_{c}") for c in fields])
+    before = (Window.unboundedPreceding, -1)
+    near = Window.partitionBy("id", "part").orderBy("block").rowsBetween(*before)
+    far = Window.partitionBy("id").orderBy("part").rowsBetween(*before)
+    ends = wrote.groupBy("id", "part").agg(*[
+        F.max_by(f"w_{c}", F.when(F.col(f"w_{c}").isNotNull(), F.col("block"))).alias(f"w_{c}") for c in fields])
+    ends = ends.select("id", "part", *[F.last(f"w_{c}", True).over(far).alias(f"far_{c}") for c in fields])
+    inside = wrote.select(*rows.columns, *[F.last(f"w_{c}", True).over(near).alias(f"near_{c}") for c in fields])
+    carried = [F.coalesce(f"near_{c}", f"far_{c}", F.struct(F.col("stored")[c].alias("v")))["v"].alias(c)
+               for c in fields]
+    return inside.join(ends, ["id", "part"]).select(*rows.columns, F.struct(*carried).alias("carried"))
+
+
+def _written(book, *known: Column) -> Column:
+    """Fields a chunk is known to write: its exit differed from its entry, now or in a round before."""
+    return F.struct(*[
+        F.coalesce(*[F.when(k[f.name], True) for k in known],
+                   ~F.col("exit")[f.name].eqNullSafe(F.col("entry")[f.name])).alias(f.name)
+        for f in book.STATE_TYPE])
 
 
 def _fold_cut(commands: DataFrame, registry: DataFrame, book, now: datetime, chunk_rows: int):
     """Meters with long sequences: solve all chunks at once, then repair entry states.
 
-    Every chunk first assumes the stored state. Each round hands a chunk the exit state of its
-    predecessor and reruns only the chunks whose entry changed; it ends when none changed. After
-    round n the first n chunks of a meter are final, so the result is exact. A chunk that overwrites
-    the whole state makes its successors independent of the past; a field that is set early and
-    never again travels one chunk a round, so there may be as many rounds as a meter has chunks.
+    Every chunk first assumes the stored state. Each round hands all chunks the state that the
+    writes known so far leave them, and reruns only those whose entry changed; it ends when none
+    changed. After round n the first n chunks of a meter are final, so the result is exact. An
+    accepted write travels to all later chunks in one round, so further rounds are needed only
+    where acceptance itself hangs on earlier chunks. The loop rewrites states, not commands or
+    outcomes. Returns (id, part, block, state, outcomes).
     """
-    chunks = _entry(_cut(commands, book, chunk_rows), registry, book)
-    solved = chunks.withColumn(
-        "r", _run(F.col("commands"), F.col("state"), book, now)
-    ).withColumnRenamed("state", "entry").checkpoint()
+    keys = ["id", "part", "block"]
+    chunks = _cut(commands, book, chunk_rows)
+    run = _run(F.col("commands"), F.col("state"), book, now)
+    first = _entry(chunks, registry, book).withColumn("r", run).select(
+        *keys, F.col("state").alias("entry"), F.col("r.state").alias("exit"), "r.outcomes").checkpoint()
+    rows = first.select(*keys, F.col("entry").alias("stored"), "entry", "exit").withColumn(
+        "written", _written(book))
+    commands_of = chunks.select(*keys, "commands")
     while True:
-        exits = solved.select(
-            F.col("id"), F.col("part").alias("prev_part"), F.col("block").alias("prev_block"),
-            F.col("r.state").alias("carried"),
-        )
-        handed = solved.join(exits, ["id", "prev_part", "prev_block"], "left").withColumn(
-            "stale", F.col("prev_part").isNotNull() & ~F.col("carried").eqNullSafe(F.col("entry"))
-        )
-        if handed.where("stale").isEmpty():
-            return solved
-        rerun = _run(F.col("commands"), F.col("carried"), book, now)
-        solved = handed.select(
-            "id", "part", "block", "prev_part", "prev_block", "commands",
-            F.when(F.col("stale"), F.col("carried")).otherwise(F.col("entry")).alias("entry"),
-            F.when(F.col("stale"), rerun).otherwise(F.col("r")).alias("r"),
-        ).checkpoint()
+        handed = _handed(rows, book).checkpoint()
+        stale = ~F.col("carried").eqNullSafe(F.col("entry"))
+        if handed.where(stale).isEmpty():
+            break
+        rerun = handed.where(stale).join(commands_of, keys).select(
+            *keys, F.struct(_exit_state(F.col("commands"), F.col("carried"), book, now).alias("x")).alias("new"))
+        rows = handed.join(rerun, keys, "left").select(
+            *keys, "stored", F.col("carried").alias("entry"),
+            F.when(F.col("new").isNotNull(), F.col("new.x")).otherwise(F.col("exit")).alias("exit"),
+            "written",
+        ).withColumn("written", _written(book, F.col("written")))
+    same = first.join(handed.select(*keys, F.col("entry").alias("final")), keys)
+    kept = F.col("final").eqNullSafe(F.col("entry"))
+    again = same.where(~kept).select(*keys, "final").join(commands_of, keys).select(
+        *keys, _run(F.col("commands"), F.col("final"), book, now).alias("r"))
+    return same.where(kept).select(*keys, F.col("exit").alias("state"), "outcomes").unionByName(
+        again.select(*keys, "r.state", "r.outcomes")).checkpoint()
 
 
 def fold(
@@ -238,7 +264,6 @@ def fold(
         ensure_checkpoint_dir(commands.sparkSession)
         short = _fold_whole(asked.join(long, "id", "left_anti"), registry, book, now)
         cut = _fold_cut(asked.join(long, "id", "left_semi"), registry, book, now, chunk_rows)
-        cut = cut.select("id", "part", "block", "r.outcomes", "r.state")
         last = cut.groupBy("id").agg(
             F.max_by("state", F.struct("part", "block")).alias("state"),
             F.max(accepted).alias("accepted"),

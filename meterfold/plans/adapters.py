@@ -194,6 +194,9 @@ _LINE_SEQ, _ORDER_LINE_SEQ = f"{{struct: {_LINE}}}", f"{{struct: l_orderkey, {_L
 LINE_OP = "CASE l_returnflag WHEN 'A' THEN 'revoke' WHEN 'R' THEN 'retry' ELSE 'patch' END"
 GAS_LINES = ("lineitem", _LINE_SEQ, f"'PCE' || {_pad('l_orderkey', 11)}")
 ELEC_LINES = ("lineitem", _LINE_SEQ, _pad("l_orderkey", 14))
+# One meter gets a hundredth of all commands.
+GAS_HOT = ("lineitem", _ORDER_LINE_SEQ,
+           f"CASE WHEN l_partkey % 100 = 0 THEN 'PCE00000000007' ELSE 'PCE' || {_pad('l_orderkey', 11)} END")
 # Every third line addresses a meter that is not registered.
 GAS_STRAYS = ("lineitem", _ORDER_LINE_SEQ,
               f"CASE WHEN l_partkey % 3 = 0 THEN 'XX' || {_pad('l_orderkey', 11)} "

@@ -365,9 +365,9 @@ def judge(book, op: str) -> str:
     SELECT {_outcome(book, r, 'd')} FROM d"""
 
 
-def fold(book, final: bool = False) -> str:
+def fold(book, final: bool = False, lines: tuple | None = None) -> str:
     r = Rules()
-    facts = _facts_cte(book, r, commands_cte(book.lines, book.body, a.LINE_OP), True)
+    facts = _facts_cte(book, r, commands_cte(lines or book.lines, book.body, a.LINE_OP), True)
     code = _code_sql(book, r, "w")
     carried = (book.status, *book.carried)
     extra = ("nb_tentatives_declare", "message_erreur_declare") if final else ()
@@ -813,6 +813,7 @@ ORACLES = {
     "command_fold": fold(_GAS),
     "command_fold_state": fold(_GAS, final=True),
     "command_fold_elec": fold(_ELEC),
+    "command_fold_hot": fold(_GAS, lines=a.GAS_HOT),
     "recent_request": _recent("left"),
     "suppress_recent": _recent("anti"),
     "accept_spaced": _accept_spaced(),

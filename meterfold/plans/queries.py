@@ -305,6 +305,12 @@ def command_fold(spark, sf):
     return outcomes.select("seq.*", *RESULT)
 
 
+def command_fold_hot(spark, sf):
+    """One meter gets a hundredth of all commands: its sequence is cut into chunks."""
+    _, (outcomes, _) = _folded(gas, a.GAS_HOT, a.GAS_PATCH, spark, sf)
+    return outcomes.select("seq.*", *RESULT)
+
+
 def command_fold_state(spark, sf):
     """Registry after all commands."""
     rows, (_, changes) = _folded(gas, a.GAS_LINES, a.GAS_PATCH, spark, sf)
@@ -582,6 +588,7 @@ QUERIES = {
     "command_fold": command_fold,
     "command_fold_state": command_fold_state,
     "command_fold_elec": command_fold_elec,
+    "command_fold_hot": command_fold_hot,
     "recent_request": recent_request,
     "suppress_recent": suppress_recent,
     "accept_spaced": accept_spaced,

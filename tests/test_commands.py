@@ -298,6 +298,26 @@ def test_fold_equals_the_sequential_model(spark, chunk_rows):
     assert final["HOT"].derniere_collecte_publiee == "gardé"
 
 
+def test_an_early_write_reaches_all_chunks_in_few_rounds(spark, monkeypatch):
+    """One postal code, then only addresses: the rounds do not grow with the chunks."""
+    rounds = []
+    handed = ops._handed
+    monkeypatch.setattr(ops, "_handed", lambda *args: rounds.append(1) or handed(*args))
+    asked = [(0, "HOT", "patch", {"code_postal": "75001"})] + [
+        (i, "HOT", "patch", {"courriel_titulaire": f"u{i}@mail.example"}) for i in range(1, 400)]
+    asked += [(400, "NEUF", "retry", {})] + [
+        (401 + i, "HOT", op, {}) for i, op in enumerate(["revoke", "retry", "patch"])]
+    registry = gas_registry(spark, {"id_pce": "HOT", "etat_droit_acces": "Active", "nom_titulaire": "N",
+                                    "perim_donnees_publiees": True})
+    rows = spark.createDataFrame(asked, COMMANDS).repartition(5)
+    outcomes, changes = ops.fold(rows, registry, gas, NOW, 10)
+    assert len(rounds) <= 4
+    got = {r.seq: r.http_status for r in outcomes.collect()}
+    assert len(got) == len(asked) and {got[i] for i in range(400)} == {200}
+    row = changes.head()
+    assert (row.code_postal, row.courriel_titulaire) == ("75001", "u399@mail.example")
+
+
 def test_fold_keeps_refused_creations_apart(spark):
     asked = [(i, None, "create", {}) for i in range(30)] + [(40, None, "create", ELEC_BODY)]
     outcomes, changes = ops.fold(
