@@ -7,7 +7,8 @@ the candidates of a block are evaluated in the order of that bound, until the k-
 exceeds the next bound. Results are exact whatever the pivots; they only decide how early it stops.
 
 The queries are a stated set that meets all rows in blocks: query blocks (copied, packed) are joined
-by block number with candidate blocks. Each pair of blocks returns at most k rows a query, and a window
+by candidate block and lane with candidate blocks; query blocks are dealt to lanes, so that few candidate
+blocks keep all cores at work. Each pair of blocks returns at most k rows a query, and a window
 keeps the k best over all blocks.
 
 Pivots are chosen farthest-first among the ``SAMPLE`` rows with the smallest hashes.
@@ -66,12 +67,22 @@ def top_k(embeddings: DataFrame, k: int = K, every: int = EVERY, block: int = BL
 
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.least("copies", F.lit(k + 1)))).alias("copies")
     candidates = written(packed(rows.select("vec_id", "key", "v", each), n_blocks))
+    # Candidate blocks travel once per lane: few blocks still make work for every core.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    lanes = min(n_queries, -(-2 * cores // n_blocks))
     queries = packed(rows.where(F.col("vec_id") % every == 0), n_queries).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("block"),
-        *[F.col(c).alias(f"q_{c}") for c in ("ids", "copies", "keys", "vectors", "near")])
-    # One row per pair of blocks; each row is a task's unit of work.
-    pairs = queries.repartition(max(n_blocks * n_queries, 1), "block", F.xxhash64("q_ids")).join(
-        candidates, "block")
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))).alias("other"),
+        F.pmod("block", F.lit(lanes)).alias("lane"),
+        *[F.col(c).alias(f"q_{c}") for c in ("ids", "copies", "keys", "vectors", "near")]
+    ).withColumnRenamed("other", "block")
+    dealt = candidates.withColumn(
+        "lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+    # A stated number of partitions, so that small but costly pairs are not merged into one task.
+    unit = ["block", "lane"]
+    n_tasks = min(4 * n_blocks * lanes, max(16 * cores, int(
+        rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    pairs = queries.repartition(n_tasks, *unit).join(
+        dealt.repartition(n_tasks, *unit).hint("shuffle_merge"), unit)
     found = pairs.mapInArrow(
         kernels.search(k, width, len(chosen)),
         "query_id long, query_key long, copies long, vec_id long, score long")
