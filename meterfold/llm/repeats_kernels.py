@@ -35,7 +35,8 @@ class Level:
 
     A symbol with dependence [low, high) stands at the same place in every text that holds the words
     low..high: what made it, and what kept its neighbours from joining it, lies inside. Texts stand
-    in one array, a border symbol after each; what depends on a border can be relied on nowhere.
+    in one array, a border symbol before the first and after each; what depends on a border can be
+    relied on nowhere.
     """
 
     def __init__(self, name, start, low, high, border):
@@ -103,17 +104,17 @@ def least(lo, hi, value, n, longest):
 
 
 class Texts:
-    """Several texts as one array of word names, a border after each."""
+    """Several texts as one array of word names, a border before the first and after each."""
 
     def __init__(self, names, window):
         self.window = window
         self.sizes = np.array([len(x) for x in names])
-        self.begins = np.cumsum(self.sizes + 1) - self.sizes - 1
+        self.begins = np.cumsum(self.sizes + 1) - self.sizes
         zero = np.zeros(1, np.uint64)
-        self.names = np.concatenate([x for n in names for x in (n, zero)])
+        self.names = np.concatenate([zero, *(x for n in names for x in (n, zero))])
         self.border = np.zeros(len(self.names), bool)
-        self.border[self.begins + self.sizes] = True
-        self.text_of = np.repeat(np.arange(len(names)), self.sizes + 1)
+        self.border[0] = self.border[self.begins + self.sizes] = True
+        self.text_of = np.concatenate(([0], np.repeat(np.arange(len(names)), self.sizes + 1)))
 
     def anchors(self, rounds):
         """(anchor, valid) for the window that starts at each word.
@@ -125,7 +126,7 @@ class Texts:
         n, window = len(self.names), self.window
         last = (self.begins + self.sizes - window)[self.text_of]
         at = np.arange(n)
-        valid = at <= last
+        valid = (at <= last) & ~self.border
         anchor, free = np.full(n, NONE), valid.copy()
         far = np.iinfo(np.int64).max
         level = Level(self.names, at, np.where(self.border, -1, at), np.where(self.border, far, at + 1), self.border)

@@ -370,3 +370,27 @@ def test_repeats(docs, rows, none):
     assert sum(w[2] for w in want) > 500
     assert multiset(repeats.repeat_report(docs).collect()) == multiset(want)
     assert not repeats.repeat_report(none).count()
+
+
+def test_anchors_are_the_same_in_the_first_text_of_a_group():
+    from meterfold.llm.repeats_kernels import ROUNDS, Texts, names_of
+    rng = random.Random(17)
+    for _ in range(150):
+        passage, before = (names_of([str(rng.randrange(40)).encode() for _ in range(n)]) for n in (50, 60))
+        want = Texts([before, np.concatenate((before, passage))], 50).anchors(ROUNDS)[0][-51]
+        for group, at in (([passage], 1), ([passage, before], 1), ([before, passage], 62)):
+            anchor, valid = Texts(group, 50).anchors(ROUNDS)
+            assert valid[at] and anchor[at] == want
+            assert valid.sum() == sum(len(t) - 49 for t in group)
+
+
+def test_repeats_finds_passages_that_open_a_batch(spark):
+    rng = random.Random(23)
+    texts = []
+    for k in range(60):
+        passage = " ".join(rng.choices(["ba", "ko", "ti", "re", "mos", "vi", "da", "ser"], k=50))
+        texts += [(k, passage + f" end{k}"), (100 + k, f"{prose(20, rng)} {passage} {prose(9, rng)}")]
+    # A partition for every row: each text is the first of its batch.
+    frame = spark.createDataFrame(spark.sparkContext.parallelize(texts, len(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.n_removed for r in repeats.repeat_report(frame).collect()}
+    assert got == {i: 50 if i >= 100 else 0 for i, _ in texts}
