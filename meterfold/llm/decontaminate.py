@@ -8,8 +8,8 @@ are long enough for a window; a suffix with a foreign word inside its window mat
 
 The benchmark is the query set. It travels to the tasks in blocks of at most ``BLOCK_CHARS``
 characters of text: its size is summed before anything is fetched, and a larger benchmark is searched
-block by block over all documents, whose results meet in one row per document. The documents are
-never shuffled for a benchmark of one block.
+block by block over all documents; the results meet per distinct (doc_id, text) and are joined back to
+the rows, so any size gives the same result. Documents are never shuffled for a benchmark of one block.
 
 Defined cases: a null or wordless text has no words and no hits; an item without words is no window;
 items without an id are searched and their hits count, but they are not listed; items with one id
@@ -17,7 +17,7 @@ are listed once; repeated documents are judged row by row; without any item noth
 columns are ignored by ``contamination`` and kept by ``clean``.
 """
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from meterfold.llm import suffix_kernels as kernels
 from meterfold.llm.common import written
@@ -43,7 +43,7 @@ def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS):
         yield [(k, r.text) for k, r in enumerate(items)], [r.item for r in items]
 
 
-def _run(documents: DataFrame, benchmark: DataFrame, kernel, schema: str, window: int, limit: int):
+def _run(documents: DataFrame, benchmark: DataFrame, kernel, schema, window: int, limit: int):
     found = None
     for items, names in blocks(benchmark, limit):
         part = documents.mapInArrow(kernel(items, window, names), schema)
@@ -51,44 +51,53 @@ def _run(documents: DataFrame, benchmark: DataFrame, kernel, schema: str, window
     return found
 
 
+def _hits_schema(rows: DataFrame) -> T.StructType:
+    return T.StructType([
+        T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()),
+        T.StructField("hit_from", T.ArrayType(T.LongType())), T.StructField("hit_to", T.ArrayType(T.LongType())),
+        T.StructField("items", T.ArrayType(T.StringType()))])
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                   limit: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, n_words, hit ranges (hit_from, hit_to) and the items found, one row per document."""
+    """doc_id, n_words, hit ranges (hit_from, hit_to) and the distinct items found, one row per row."""
     rows = documents.select("doc_id", "text")
-    schema = (f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, "
-              "hit_from array<long>, hit_to array<long>, items array<string>")
+    listed = F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull()))).alias("items")
     total = benchmark.agg(F.sum(F.length("text"))).head()[0] or 0
     if total <= limit:
-        return _run(rows, benchmark, kernels.hits, schema, window, limit)
-    rows = rows.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h")))
-    schema = schema.replace("doc_id ", f"doc_id {rows.schema['doc_id'].dataType.simpleString()} #", 1).split("#")
-    found = _run(rows, benchmark, kernels.hits, schema[0] + schema[1][schema[1].index(","):], window, limit)
-    met = found.groupBy("doc_id").agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"),
-        F.array_sort(F.flatten(F.collect_list(F.arrays_zip("hit_from", "hit_to")))).alias("ranges"))
-    # Ranges of different blocks may overlap; each starts where the ones before it end at the latest.
+        return _run(rows, benchmark, kernels.hits, _hits_schema(rows), window, limit).select(
+            "doc_id", "n_words", "hit_from", "hit_to", listed)
+    keyed = rows.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
+    found = _run(keyed, benchmark, kernels.hits, _hits_schema(keyed), window, limit)
+    # Equal rows give equal results in a block, which the sets hold once.
+    hit = F.when(F.size("hit_from") > 0, F.struct(F.arrays_zip("hit_from", "hit_to").alias("ranges"), "items"))
+    met = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set(hit).alias("hits")).select(
+        F.col("doc_id").alias("_key"), "n_words", F.flatten("hits.items").alias("items"),
+        F.array_sort(F.flatten("hits.ranges")).alias("ranges"))
+    # Ranges of different blocks that overlap or touch are one range, as in a single block.
+    pair = "struct<hit_from:bigint,hit_to:bigint>"
     merged = F.aggregate(
-        "ranges", F.struct(F.array().cast("array<struct<hit_from:bigint,hit_to:bigint>>").alias("out"),
-                           F.lit(0).cast("long").alias("end")),
-        lambda acc, r: F.struct(
-            F.array_append(acc["out"], F.struct(
-                F.greatest(r["hit_from"], acc["end"]).alias("hit_from"),
-                F.greatest(r["hit_to"], acc["end"]).alias("hit_to"))).alias("out"),
-            F.greatest(r["hit_to"], acc["end"]).alias("end")), lambda acc: acc["out"])
-    return met.withColumn("r", merged).select(
-        "doc_id.doc_id", "n_words", F.col("r.hit_from").alias("hit_from"),
-        F.col("r.hit_to").alias("hit_to"), "items")
+        "ranges", F.struct(F.array().cast(f"array<{pair}>").alias("out"), F.lit(None).cast(pair).alias("last")),
+        lambda acc, r: F.when(acc["last"].isNull(), F.struct(acc["out"].alias("out"), r.alias("last"))).when(
+            r["hit_from"] <= acc["last"]["hit_to"], F.struct(acc["out"].alias("out"), F.struct(
+                acc["last"]["hit_from"].alias("hit_from"),
+                F.greatest(acc["last"]["hit_to"], r["hit_to"]).alias("hit_to")).alias("last"))).otherwise(
+            F.struct(F.array_append(acc["out"], acc["last"]).alias("out"), r.alias("last"))),
+        lambda acc: F.when(acc["last"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], acc["last"])))
+    met = met.select("_key", "n_words", merged.alias("r"), listed)
+    same = F.struct("doc_id", F.xxhash64("text").alias("h")) == F.col("_key")
+    return rows.join(met, same).select(
+        "doc_id", "n_words", F.col("r.hit_from").alias("hit_from"), F.col("r.hit_to").alias("hit_to"), "items")
 
 
 def contamination_report(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = contamination(documents, benchmark, **options)
-    items = F.array_sort(F.array_distinct(F.filter("items", lambda x: x.isNotNull())))
     lengths = F.zip_with("hit_from", "hit_to", lambda a, b: b - a)
     n_hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x)
-    return found.withColumn("_items", items).select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"))
 
 

@@ -394,3 +394,36 @@ def test_repeats_finds_passages_that_open_a_batch(spark):
     frame = spark.createDataFrame(spark.sparkContext.parallelize(texts, len(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.n_removed for r in repeats.repeat_report(frame).collect()}
     assert got == {i: 50 if i >= 100 else 0 for i, _ in texts}
+
+
+def test_decontaminate_is_the_same_for_any_block_size(spark, docs, rows):
+    ws = (rows[15][1] or "").split()
+    items = [(1, " ".join(ws[20:34])), (2, " ".join(ws[26:52])), (2, " ".join(ws[30:41])), (3, "ab ab AB"), (4, None),
+             (None, "one"), (6, "x y z x y z x y z x"), (7, (rows[-4][1] or "")[:120])]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    grams = defaultdict(set)
+    for item, text in items:
+        w = word.findall(lower(text or ""))
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1) if n else ():
+            grams[tuple(w[i:i + n])].add(item)
+    want, clean = [], []
+    for row in rows:
+        w, hit, found = word.findall(lower(row[1] or "")), set(), set()
+        for n in {len(g) for g in grams}:
+            for i in range(len(w) - n + 1):
+                if owners := grams.get(tuple(w[i:i + n])):
+                    hit.update(range(i, i + n))
+                    found |= {str(x) for x in owners if x is not None}
+        want.append((row[0], len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+        clean += [] if hit else [row]
+    assert sum(w[-1] for w in want if w[0] == 100) == 2 and any(w[3] > 1 for w in want)
+    for limit in (30, 200, decontaminate.BLOCK_CHARS):
+        assert multiset(decontaminate.contamination_report(docs, bench, limit=limit).collect()) == multiset(want)
+        kept = decontaminate.clean(docs, bench, limit=limit)
+        assert kept.columns == docs.columns and multiset(kept.collect()) == multiset(clean)
+    one, many = (multiset((r.doc_id, r.n_words, tuple(r.hit_from), tuple(r.hit_to), tuple(r["items"]))
+                          for r in decontaminate.contamination(docs, bench, limit=limit).collect())
+                 for limit in (decontaminate.BLOCK_CHARS, 30))
+    assert one == many
