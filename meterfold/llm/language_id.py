@@ -4,10 +4,12 @@ One byte context tree of order 3 per language is counted over every whole traini
 and frozen; a text's code length in a language is exact under that tree, with escape probabilities of
 method C, and the shortest code names the language. Texts are folded first: lower case, any digit 0.
 
-Counting is one pass: a task sends each (language, context, byte) once, Spark adds them up. The trees
-are pruned to the ``MAX_NODES`` most frequent leaves per language and ``MAX_LANGS`` languages with the
-most text, so what travels to every task has a fixed bound; the window that prunes keeps at most
-that many rows per task and language before its shuffle. Scoring is a map over the documents.
+Counting is one pass: a task sends each (language, context, byte) once, Spark adds them up, and nothing
+is pruned. Languages are dealt, in order, to models of at most ``MAX_WIDTH`` languages and ``MAX_CELLS``
+costs (leaves times languages; a language whose own tree is larger is a model by itself). One model, the usual case, is a
+map over the documents. Several are built and scored one after the other over documents that carry a
+row number; every pass writes one row of the best language so far per document, and the least code
+length of all passes is joined back, so a task holds one model at a time however many languages there are.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; null ids and null langs are
 not trained on; ties go to the first language in order; with no training text all is ``und``;
@@ -15,16 +17,20 @@ repeated rows are scored alike; further columns are ignored by ``identify``, kep
 The score is the posterior probability of the language under equal priors.
 """
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from meterfold.llm import ppm_kernels as kernels
 from meterfold.llm.common import fold_of, written
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
-MAX_NODES = 65_536
-MAX_LANGS = 64
+MAX_CELLS = 1 << 23
+MAX_WIDTH = 16
 LEAST_SCORE = 0.5
 
 
@@ -35,31 +41,54 @@ def count_contexts(training: DataFrame) -> DataFrame:
         F.sum("n").alias("n"))
 
 
-def train(training: DataFrame, max_nodes: int = MAX_NODES, max_langs: int = MAX_LANGS):
-    """A function that builds the frozen model; it carries at most max_nodes * max_langs counts."""
-    counts = written(count_contexts(training))
-    langs = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(
-        F.desc("n"), "lang").limit(max_langs).select("lang")
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
-    kept = counts.join(langs, "lang").withColumn("_r", F.row_number().over(best)).where(
-        F.col("_r") <= max_nodes).select("lang", "code", "n").toPandas()
-    names = sorted(kept["lang"].unique(), key=lambda x: x.encode())
-    number = {x: k for k, x in enumerate(names)}
-    lang = kept["lang"].map(number).to_numpy(np.int64) if names else np.array([], np.int64)
-    packed = (lang.astype(np.uint8), kept["code"].to_numpy(np.uint32), kept["n"].to_numpy(np.int64))
+def blocks(counts: DataFrame, max_cells: int = MAX_CELLS):
+    """Runs of languages, in order: at most MAX_WIDTH whose models have ``max_cells`` costs (or one language)."""
+    out, leaves = [], 0
+    for r in counts.groupBy("lang").agg(F.count("*").alias("leaves")).orderBy("lang").collect():
+        if out and (len(out) == MAX_WIDTH or (leaves + r.leaves) * (len(out) + 1) > max_cells):
+            yield out
+            out, leaves = [], 0
+        out.append(r.lang)
+        leaves += r.leaves
+    if out:
+        yield out
+
+
+def model(counts: DataFrame, langs: list):
+    """A function that builds the frozen model of ``langs``, a run of the languages in order."""
+    kept = counts.where(F.col("lang").between(langs[0], langs[-1]) if langs else F.lit(False)).select(
+        "lang", "code", "n").toArrow()
+    packed = (pc.index_in(kept["lang"], pa.array(langs, pa.string())).to_numpy(),
+              kept["code"].to_numpy().astype(np.uint32), kept["n"].to_numpy())
 
     def make():
-        return kernels.Model(names, *packed)
+        return kernels.Model(langs, *packed)
 
     return make
 
 
-def identify(docs: DataFrame, training: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(
-        kernels.predict(train(training), UNKNOWN),
-        f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    columns = "lang_pred string, score double, bits_per_byte double, bits double"
+    counts = written(count_contexts(training))
+    runs = list(blocks(counts, max_cells))
+    if len(runs) <= 1:
+        return docs.select("doc_id", "text").mapInArrow(
+            kernels.predict(model(counts, runs[0] if runs else []), UNKNOWN), f"doc_id {kind}, {columns}").drop("bits")
+    rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    texts = rows.select(F.col("row").alias("doc_id"), "text")
+    found = reduce(DataFrame.unionByName, (
+        written(texts.mapInArrow(kernels.predict(model(counts, run), UNKNOWN), f"doc_id long, {columns}"))
+        for run in runs)).withColumnRenamed("doc_id", "row")
+    # Equal lengths go to the first language; a pass's score is 2 ** -bits over the sum of its languages.
+    met = found.groupBy("row").agg(
+        F.min(F.struct("bits", "lang_pred", "bits_per_byte")).alias("best"),
+        F.array_sort(F.collect_list(F.struct("bits", "score"))).alias("passes"))
+    total = F.aggregate("passes", F.lit(0.0), lambda a, x: a + F.pow(F.lit(2.0), F.col("best.bits") - x["bits"]) / x["score"])
+    score = F.when(F.col("best.bits").isNull(), 0.0).otherwise(1 / total)
+    return rows.select("doc_id", "row").join(met, "row").select(
+        "doc_id", "best.lang_pred", score.alias("score"), "best.bits_per_byte")
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

@@ -165,12 +165,13 @@ class Model:
 
 
 def predict(make, unknown):
-    """Batches of (doc_id, text) to (doc_id, lang_pred, score, bits_per_byte)."""
+    """Batches of (doc_id, text) to (doc_id, lang_pred, score, bits_per_byte, bits)."""
 
     def run(batches):
         model = make()
         for batch in batches:
             preds, scores, rates = [unknown] * batch.num_rows, [0.0] * batch.num_rows, [None] * batch.num_rows
+            lengths = [None] * batch.num_rows
             texts, rows, group, size = batch.column("text"), [], [], 0
 
             def settle():
@@ -183,7 +184,7 @@ def predict(make, unknown):
                 share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(axis=1)
                 for i, k in enumerate(rows):
                     preds[k], scores[k] = model.langs[best[i]], float(share[i])
-                    rates[k] = float(least[i] / len(group[i]))
+                    rates[k], lengths[k] = float(least[i] / len(group[i])), float(least[i])
 
             for k in range(batch.num_rows):
                 text = texts[k].as_py()
@@ -199,7 +200,8 @@ def predict(make, unknown):
             settle()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(preds, pa.string()), pa.array(scores, pa.float64()),
-                 pa.array(rates, pa.float64())], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+                 pa.array(rates, pa.float64()), pa.array(lengths, pa.float64())],
+                names=["doc_id", "lang_pred", "score", "bits_per_byte", "bits"])
 
     return run
 

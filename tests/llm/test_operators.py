@@ -427,3 +427,40 @@ def test_decontaminate_is_the_same_for_any_block_size(spark, docs, rows):
                           for r in decontaminate.contamination(docs, bench, limit=limit).collect())
                  for limit in (decontaminate.BLOCK_CHARS, 30))
     assert one == many
+
+
+def test_language_id_keeps_every_language_and_leaf(spark):
+    rng = random.Random(31)
+    known = [(i, f"{chr(0x4E00 + 40 * k)}{chr(0x4E01 + 40 * k)}{chr(0x4E02 + 40 * k)} " * (4 if k < 66 else 2), f"l{k:02}")
+             for k in range(70) for i in range(4 * k, 4 * k + 4)]
+    wide = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(40_000))
+    known += [(1000, wide, "wide"), (1001, wide[500:900], None), (None, None, "l00"), (1002, "12 ?", "l01")]
+    frame = spark.createDataFrame(known, "doc_id bigint, text string, lang string").repartition(5)
+    train = [(t, x) for _, t, x in known if t and x]
+    langs = sorted({x for _, x in train})
+    counted = Counter()
+    for text, lang in train:
+        data = b"\n\n\n" + ppm_kernels.folded(text)
+        counted.update((langs.index(lang), int.from_bytes(data[j - 3:j + 1], "big")) for j in range(3, len(data)))
+    assert sum(k == langs.index("wide") for k, _ in counted) > 65_536 and len(langs) > 64
+    model = ppm_kernels.Model(langs, *(np.array(x) for x in (
+        [k for k, _ in counted], np.array([c for _, c in counted], np.uint32), list(counted.values()))))
+    want = {}
+    for i, text, _ in known:
+        if i is not None and i != 1002:
+            bits = model.lengths(ppm_kernels.folded(text))
+            least = bits.min()
+            want[i] = (langs[int(bits.argmin())], 1 / np.exp2(least - bits).sum(), least / len(ppm_kernels.folded(text)))
+    got = {r.doc_id: r for r in language_id.identify(frame, frame).collect()}
+    assert len(got) == len(known) and {want[i][0] for i in want} == set(langs)
+    for i, (lang, score, rate) in want.items():
+        assert got[i].lang_pred == lang
+        assert (got[i].score, got[i].bits_per_byte) == (pytest.approx(score), pytest.approx(rate))
+    assert all((got[i].lang_pred, got[i].score, got[i].bits_per_byte) == ("und", 0, None) for i in (None, 1002))
+
+
+def test_language_id_is_the_same_in_several_passes(docs, rows):
+    by_pass = [{(r.doc_id, r.lang_pred, round(r.score, 9), round(r.bits_per_byte or 0, 9)) for r in
+                language_id.identify(docs, docs.withColumn("lang", docs.text.substr(1, 1)), max_cells=cells).collect()}
+               for cells in (1, 1 << 30)]
+    assert by_pass[0] == by_pass[1] and len({r[1] for r in by_pass[0]}) > 3
