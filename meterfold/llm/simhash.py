@@ -14,12 +14,13 @@ become all their pairs. Components are then found by alternating star contractio
 
 Defined cases: a text without words has fingerprint zero and links like any other; null ids take
 part (a component's id is its smallest non-null doc_id); repeated rows are copies; further columns
-are ignored by ``near_duplicates`` and kept by ``keep_first_of_group``.
+are ignored by ``near_duplicates`` and kept by the others. ``keep_first_of_group`` drops by doc_id alone, so rows
+without an id and rows that repeat the smallest one stay; ``keep_one_of_group`` (the pipeline's) leaves one row.
 """
 
 from itertools import product
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from meterfold.llm import simhash_kernels as kernels
 from meterfold.llm.common import cut, written
@@ -116,3 +117,18 @@ def keep_first_of_group(docs: DataFrame, **options) -> DataFrame:
     """The documents without those that a smaller doc_id of their group stands for."""
     copies = near_duplicates(docs, **options).where(F.col("doc_id") != F.col("component_id"))
     return docs.join(copies.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+
+
+def keep_one_of_group(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group: the smallest by (doc_id, nulls last, text hash), once if it is repeated."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    rows = docs.withColumn("_key", key)
+    found = written(near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), **options).select(
+        F.col("doc_id").alias("_key"), F.col("component_id").alias("_first")))
+    copies = found.where("_key <> _first").select("_key").distinct()
+    again = written(found.where("_key = _first").groupBy("_key").count().where("count > 1").select("_key"))
+    kept = rows.join(copies, "_key", "left_anti")
+    # Only rows whose id and text are repeated are numbered.
+    order = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
+    once = kept.join(again, "_key", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return kept.join(again, "_key", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

@@ -21,3 +21,17 @@ def test_stages_keep_the_columns_and_run_agrees(spark):
     assert mixed.columns[:len(columns)] == columns
     kept = {r.doc_id for r in docs.select("doc_id").collect()}
     assert {r.doc_id for r in mixed.select("doc_id").collect()} <= kept
+
+
+def test_near_copy_stage_keeps_one_document_of_each_group(spark):
+    words = [" ".join(f"{stem}{k}" for k in range(40)) for stem in ("a", "b", "c", "d", "e")]
+    rows = [(None, words[0], "s"), (None, words[0], "s"), (None, words[0].upper(), "t"),  # copies without ids
+            (5, words[1], "s"), (5, words[1], "s"), (None, words[1], "s"),  # a repeated row and one without an id
+            (1, words[2], "s"), (7, words[2], "s"), (7, words[3], "s"),  # another text under a dropped copy's id
+            (9, words[4], "s"), (None, None, "s"), (None, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), (r.text or "").lower()) for r in kept.collect())
+    assert got == sorted([("None", words[0]), ("5", words[1]), ("1", words[2]), ("7", words[3]), ("9", words[4]),
+                          ("None", "")])
