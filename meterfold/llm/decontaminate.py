@@ -24,6 +24,7 @@ from meterfold.llm.common import written
 
 WINDOW = 10
 BLOCK_CHARS = 16 << 20
+WORDS = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
 
 def blocks(benchmark: DataFrame, limit: int = BLOCK_CHARS):
@@ -103,13 +104,17 @@ def contamination_report(documents: DataFrame, benchmark: DataFrame, **options)
 
 def longest_matches(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     limit: int = BLOCK_CHARS) -> DataFrame:
-    """Every test suffix (item, item_pos) that occurs: its longest verbatim match and where.
+    """Every test suffix (item, item_pos) that occurs with at least ``least`` words: its longest match and where.
 
-    Of equally long matches the one in the smallest (doc_id, doc_pos) is given.
+    ``least`` is the length of the shortest window of the whole benchmark: ``window``, or the words of
+    the shortest item if it has fewer. Shorter matches are not given. Of equally long matches the one in the smallest (doc_id, doc_pos) is given.
     """
     rows = documents.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    found = _run(rows, benchmark, kernels.longest,
+    words = F.regexp_count("text", F.lit(WORDS))
+    shortest = benchmark.where(words > 0).agg(F.min(words)).head()[0] or window
+    least = min(window, shortest)
+    found = _run(rows, benchmark, lambda *block: kernels.longest(*block, least),
                  f"item string, item_pos long, length long, doc_id {kind}, doc_pos long", window, limit)
     best = Window.partitionBy("item", "item_pos").orderBy(F.desc("length"), "doc_id", "doc_pos")
     return found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")

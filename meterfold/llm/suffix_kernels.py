@@ -120,8 +120,11 @@ class Shard:
         place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         return which, self.home[self.order[place]]
 
-    def longest(self, tests, depth):
-        """For the suffix at every test position: (length, position in the shard) of its longest match."""
+    def longest(self, tests, depth, rank):
+        """For the suffix at every test position: (length, position in the shard) of its longest match.
+
+        ``rank``: a number per position of the shard; of equally long matches the least is given.
+        """
         n = len(tests.text)
         if not len(self.order) or not n:
             return np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -139,11 +142,32 @@ class Shard:
                 if not alive.any():
                     break
                 size += alive
-            better = size > best
-            best[better], where[better] = size[better], self.home[place[better]]
+            best = np.maximum(best, size)
+        met = np.flatnonzero(best)
+        if len(met):
+            prefix = np.where(np.arange(depth) < best[met, None], grams[met], 0)
+            lo = self._bound(prefix, best[met], False)
+            hi = self._bound(prefix, best[met], True)
+            by_rank = np.argsort(rank, kind="stable")
+            turn = np.empty(len(rank), np.int64)
+            turn[by_rank] = np.arange(len(rank))
+            where[met] = by_rank[_least(turn[self.home[self.order]], lo, hi)]
         return best, where
 
 
+def _least(values, lo, hi):
+    """The least of values[lo:hi] for every (not empty) range."""
+    power = np.frexp((hi - lo).astype(np.float64))[1] - 1  # 2 ** power <= hi - lo
+    out = np.zeros(len(lo), np.int64)
+    for k in range(int(power.max()) + 1):
+        if k:
+            half = 1 << (k - 1)
+            values = np.minimum(values[:-half], values[half:])
+        q = np.flatnonzero(power == k)
+        out[q] = np.minimum(values[lo[q]], values[hi[q] - (1 << k)])
+    return out
+
+
 def shards(batch, tests):
     """(rows, ids, starts): groups of a batch's documents as word numbers, a zero after each."""
     rows, parts, starts, size, at = [], [], [], 0, 0
@@ -205,8 +229,8 @@ def hits(items, window, names):
     return run
 
 
-def longest(items, window, names):
-    """Batches of documents to the longest match of every test suffix in every shard."""
+def longest(items, window, names, least):
+    """Batches of documents to the longest match, of ``least`` words or more, of every test suffix in every shard."""
 
     def run(batches):
         tests = TestSet(items, window)
@@ -215,8 +239,12 @@ def longest(items, window, names):
             out = [[], [], [], [], []]
             ids_of = batch.column("doc_id").to_pylist()
             for rows, ids, begins in shards(batch, tests):
-                size, at = Shard(ids, tests.least).longest(tests, depth)
-                for q in np.flatnonzero(size >= max(1, tests.least)):
+                # Positions in the order of (doc_id, doc_pos), null ids first.
+                number = {x: i for i, x in enumerate(sorted({ids_of[k] for k in rows}, key=lambda x: (x is not None, x)))}
+                doc = np.repeat(np.array([number[ids_of[k]] for k in rows]), np.diff(begins))
+                rank = doc * (len(ids) + 1) + np.arange(len(ids)) - np.repeat(begins[:-1], np.diff(begins))
+                size, at = Shard(ids, least).longest(tests, depth, rank)
+                for q in np.flatnonzero(size >= max(1, least)):
                     k = int(np.searchsorted(begins, at[q], side="right") - 1)
                     row = (names[tests.item_at[q]], int(tests.place[q]), int(size[q]),
                            ids_of[rows[k]], int(at[q] - begins[k]))

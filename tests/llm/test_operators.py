@@ -464,3 +464,30 @@ def test_language_id_is_the_same_in_several_passes(docs, rows):
                 language_id.identify(docs, docs.withColumn("lang", docs.text.substr(1, 1)), max_cells=cells).collect()}
                for cells in (1, 1 << 30)]
     assert by_pass[0] == by_pass[1] and len({r[1] for r in by_pass[0]}) > 3
+
+
+def test_longest_matches_give_the_smallest_place_for_any_block_size(spark):
+    rng = random.Random(41)
+    texts = [(i, " ".join(rng.choices("abc", k=60))) for i in (9, 3, 7, 1, 5, 8, 2)] + [(4, None), (6, "z z a b c")]
+    items = [(1, " ".join(rng.choices("abc", k=18))), (2, "a b c z"), (3, " ".join(rng.choices("abcz", k=30))), (4, "é")]
+    frame = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    for bench in (items, items[:1] + items[2:3]):
+        least = min(10, min(len(t.split()) for _, t in bench))
+        want = {}
+        for item, text in bench:
+            ws = text.split()
+            for at in range(len(ws)):
+                found = []
+                for doc, body in texts:
+                    bs = (body or "").split()
+                    for p in range(len(bs)):
+                        n = 0
+                        while at + n < len(ws) and p + n < len(bs) and ws[at + n] == bs[p + n]:
+                            n += 1
+                        found.append((-n, doc, p))
+                if -min(found)[0] >= least:
+                    want[str(item), at] = (-min(found)[0], *min(found)[1:])
+        for limit in (20, decontaminate.BLOCK_CHARS):
+            got = decontaminate.longest_matches(
+                frame, spark.createDataFrame(bench, "item_id bigint, text string"), limit=limit).collect()
+            assert {(r.item, r.item_pos): (r.length, r.doc_id, r.doc_pos) for r in got} == want
