@@ -45,12 +45,20 @@ def _blocked_before(asked: DataFrame, accepted: DataFrame, days: int) -> DataFra
     both = asked.select(*columns, F.lit(True).alias("_asked")).unionByName(
         accepted.join(asked.select(*PAIR).distinct(), PAIR, "left_semi").select(
             *columns, F.lit(False).alias("_asked")))
-    # At equal times the accepted one comes first (false sorts before true).
-    until = Window.partitionBy(*PAIR).orderBy("datetime_requete", "_asked").rowsBetween(
-        Window.unboundedPreceding, 0)
-    last = F.max(F.when(~F.col("_asked"), F.col("datetime_requete"))).over(until)
+    # At equal times the accepted one comes first (false sorts before true). The running maximum is taken
+    # inside each sort task, and each task hands on one maximum per pair, so no window holds a whole pair.
+    order = ["datetime_requete", "_asked"]
+    rows = both.repartitionByRange(*PAIR, *order).withColumn("_part", F.spark_partition_id()).withColumn(
+        "_at", F.when(~F.col("_asked"), F.col("datetime_requete"))).checkpoint()
+    near = Window.partitionBy(*PAIR, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    far = Window.partitionBy(*PAIR).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*PAIR, "_part").agg(F.max("_at").alias("_end")).select(
+        *PAIR, "_part", F.max("_end").over(far).alias("_far"))
+    last = F.greatest("_near", "_far")
     free = last.isNull() | (F.col("datetime_requete") > last + F.expr(f"INTERVAL {days} DAYS"))
-    return both.withColumn("_free", free).where("_asked AND _free").select(*columns)
+    # A left join: a request without a meter or code meets no accepted one and is free.
+    return rows.withColumn("_near", F.max("_at").over(near)).where("_asked").join(
+        ends, [*PAIR, "_part"], "left").where(free).select(*columns)
 
 
 def accept_spaced(asked: DataFrame, accepted: DataFrame, days: int = RECENT_DAYS) -> DataFrame:

@@ -236,3 +236,22 @@ def test_empty_allowlist(spark):
     log = spark.createDataFrame([("1.2.3.4",)], "x_forwarded_for string")
     assert access.audit_access(log, " , ").head().allowed is True
     assert access.audit_access(log, "", allow_all_when_unset=False).head().allowed is False
+
+
+def test_blocking_holds_no_whole_pair_in_a_window(spark):
+    rng = random.Random(12)
+    rows = [("P1" if k % 2 else f"P{k % 5}", "A", NOW + timedelta(hours=rng.randrange(3000)), k) for k in range(1200)]
+    rows += [(None, "A", NOW, 5000), ("P1", None, NOW, 5001)]
+    before = [("P1" if k % 2 else f"P{k % 5}", "A", NOW + timedelta(hours=rng.randrange(3000)), 9000 + k) for k in range(20)]
+    asked, accepted = (spark.createDataFrame(
+        [(p, c, t, str(k)) for p, c, t, k in x],
+        "id_pdl string, code_prestation string, datetime_requete timestamp, id_affaire string") for x in (rows, before))
+    requests.ensure_checkpoint_dir(spark)
+    free = requests._blocked_before(asked, accepted, 7)
+    want = sorted(str(k) for p, c, t, k in rows if not any(
+        (p, c) == (q, d) and s <= t <= s + timedelta(days=7) for q, d, s, _ in before))
+    assert sorted(r.id_affaire for r in free.collect()) == want and 0 < len(want) < len(rows)
+    # Rows of a pair are sorted by time inside one sort task only.
+    for line in plan_of(free).splitlines():
+        if "windowspecdefinition" in line and "datetime_requete" in line.split("windowspecdefinition")[1]:
+            assert "_part" in line.split("windowspecdefinition")[1].split("datetime_requete")[0]
