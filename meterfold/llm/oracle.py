@@ -76,4 +76,49 @@ SELECT d.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLES = {"op1_decontaminate": OP1, "op2_topk": OP2, "op6_line_dedup": OP6, "op10_repeats": OP10}
+# bits: crc32 of the id, bit by bit; same: equal words at most a quarter of the text apart.
+OP13 = r"""
+WITH RECURSIVE bits AS (
+  SELECT doc_id, CAST(doc_id AS VARCHAR) AS s, 0 AS k, CAST(4294967295 AS UBIGINT) AS c FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL
+  SELECT doc_id, s, k + 1, CASE WHEN k % 9 = 0 THEN xor(c, CAST(ord(s[k // 9 + 1]) AS UBIGINT))
+    WHEN c % 2 = 1 THEN xor(c // 2, CAST(3988292384 AS UBIGINT)) ELSE c // 2 END
+  FROM bits WHERE k < 9 * length(s)),
+h AS (SELECT doc_id, CAST(xor(c, CAST(4294967295 AS UBIGINT)) AS BIGINT) AS h FROM bits WHERE k = 9 * length(s)),
+d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (
+  SELECT d.doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted,
+    CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a, 3 + (h // 10) % 8 AS part FROM d LEFT JOIN h USING (doc_id)),
+v AS (
+  SELECT doc_id, n, CASE WHEN planted
+    THEN [CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // part) + 1] END FOR i IN range(n)]
+    ELSE w END AS w FROM g),
+word AS (SELECT doc_id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM v),
+same AS (
+  SELECT x.doc_id, y.i - x.i AS q, y.i FROM word x JOIN word y
+    ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+stretch AS (
+  SELECT doc_id, q, min(i) - q AS s, max(i) + 1 AS e FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM same)
+  GROUP BY doc_id, q, island),
+run AS (
+  SELECT doc_id, s AS start, e - s AS length, min(q) AS period FROM stretch
+  WHERE e - s >= greatest(6, 4 * q) GROUP BY doc_id, s, e),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DECIMAL(38, 0)) * 1000000000000 // period DESC, start, period) AS k
+  FROM run),
+listed AS (
+  SELECT doc_id, count(*) AS k, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t
+  FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT v.doc_id, coalesce(listed.k, 0) AS n_runs, start, length, period, length * 1000 // period AS exponent_milli,
+  sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM v LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+LEFT JOIN (SELECT * FROM best WHERE best.k = 1) b USING (doc_id)
+"""
+
+ORACLES = {"op1_decontaminate": OP1, "op2_topk": OP2, "op6_line_dedup": OP6, "op10_repeats": OP10,
+           "op13_periodic_runs": OP13}
