@@ -29,7 +29,7 @@ from meterfold.llm.common import written
 from meterfold.session import scratch_root
 
 END_ID = 1
-SHARD_CHARS = 1 << 28
+SHARD_CHARS = 1 << 26
 BUCKET_KEYS = 2048
 FILE_BUCKETS = 1024
 

@@ -11,13 +11,15 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 
 from meterfold.llm.common import ship
 
 GROUP_KEYS = 4  # keys that share a pilot, on average
 TRIALS = 256  # pilots tried at once
-CACHE_WORDS = 1 << 19
+CACHE_WORDS = 1 << 20
+LINE_WORDS = 64
 READ_BYTES = 1 << 22
 ENTRY = np.dtype([("fingerprint", "<u8"), ("shard", "<u4"), ("offset", "<u8"), ("start", "<u8"), ("n", "<u8")])
 
@@ -45,11 +47,11 @@ def _finish(fs, temporary, name):
 
 # --- encoding ------------------------------------------------------------------------------
 
-def _encoder(tokenizer_path, kind, words_apart):
-    """texts -> their ids as bytes.
+def _encoder(tokenizer_path, kind, end_id, words_apart):
+    """texts (Arrow strings) -> ids of all texts, the end id after each, and how many each text has.
 
     With ``words_apart`` (a tokenizer whose tokens never reach over ASCII white space) the library
-    encodes every distinct word once, in a bounded cache.
+    encodes every distinct word once, in a bounded cache, and the ids of the texts are gathered from those.
     """
     import os
 
@@ -59,35 +61,52 @@ def _encoder(tokenizer_path, kind, words_apart):
     tokenizer = Tokenizer.from_file(tokenizer_path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
+    end = np.array([end_id], kind)
 
-    def plain(texts):
-        return [np.array(e.ids, kind).tobytes()
-                for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(texts):
+        ids = [np.array(e.ids, kind) for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([part for x in ids for part in (x, end)]), np.array([len(x) + 1 for x in ids])
 
-    if not words_apart:
-        return plain
     cache = {}
 
+    def learn(words):
+        """Encode new words, some to a line: a token belongs to the word in which it starts."""
+        groups = [words[i:i + LINE_WORDS] for i in range(0, len(words), LINE_WORDS)]
+        for group, line in zip(groups, tokenizer.encode_batch(list(map(" ".join, groups)), add_special_tokens=False)):
+            ids = np.array(line.ids, kind).tobytes()
+            starts = np.fromiter((o[0] for o in line.offsets), np.int64, len(line))
+            cuts = (np.searchsorted(starts, np.cumsum([0, *(len(w) + 1 for w in group)])) * kind.itemsize).tolist()
+            cache.update((w, ids[x:y]) for w, x, y in zip(group, cuts[:-1], cuts[1:]))
+
     def by_words(texts):
+        split = pc.ascii_split_whitespace(texts)
+        found = split.flatten().dictionary_encode()
+        words = found.dictionary.to_pylist()
         if len(cache) > CACHE_WORDS:
             cache.clear()
-        split = [t.encode().split() for t in texts]
-        new = list({w for words in split for w in words if w not in cache})
-        cache.update(zip(new, plain([w.decode() for w in new])))
-        return [b"".join(map(cache.__getitem__, words)) for words in split]
-
-    return by_words
-
-
-def _portions(texts, limit=1 << 22):
-    """Slices of neighbouring texts of about ``limit`` characters."""
-    begin, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > limit:
-            yield begin, texts[begin:i]
-            begin, held = i, 0
-        held += len(text)
-    yield begin, texts[begin:]
+        learn([w for w in words if w not in cache])
+        known = [*map(cache.__getitem__, words), end.tobytes()]
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // kind.itemsize
+        flat, starts = np.frombuffer(b"".join(known), kind), np.cumsum(lengths) - lengths
+        ends = np.cumsum(np.asarray(split.value_lengths(), np.int64))
+        which = np.insert(found.indices.to_numpy(), ends, len(words))
+        n = lengths[which]
+        total = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(starts[which] - total[:-1], n) + np.arange(total[-1])]
+        return ids, np.diff(total[ends + np.arange(1, len(ends) + 1)], prepend=0)
+
+    return by_words if words_apart else whole
+
+
+def _portions(texts, limit=1 << 23):
+    """Slices of neighbouring texts of about ``limit`` bytes."""
+    size = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+    begin = 0
+    while begin < len(texts):
+        held = size[begin - 1] if begin else 0
+        until = max(begin + 1, int(np.searchsorted(size, held + limit, "right")))
+        yield texts.slice(begin, until - begin)
+        begin = until
 
 
 def write_ids(root, tokenizer_path, end_id, width, words_apart):
@@ -101,7 +120,7 @@ def write_ids(root, tokenizer_path, end_id, width, words_apart):
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encode, end = _encoder(tokenizer_path, kind, words_apart), np.array([end_id], kind).tobytes()
+        encode = _encoder(tokenizer_path, kind, end_id, words_apart)
         fs, path = _opened(root)
         temporary = f"{path}/part-{uuid.uuid4().hex}"
         offset, nth, last, sink = 0, -1, None, None
@@ -111,12 +130,12 @@ def write_ids(root, tokenizer_path, end_id, width, words_apart):
             if sink is None:
                 fs.create_dir(path)
                 sink = fs.open_output_stream(temporary)
-            counts = np.zeros(batch.num_rows, np.int64)
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for begin, part in _portions(texts):
-                ids = encode(part)
-                counts[begin:begin + len(part)] = [len(x) // width + 1 for x in ids]
-                sink.write(end.join([*ids, b""]))
+            counts = []
+            for part in _portions(batch.column("text").fill_null("")):
+                ids, n = encode(part)
+                sink.write(ids.tobytes())
+                counts.append(n)
+            counts = np.concatenate(counts)
             nths = []
             for key in batch.column("doc_id").to_pylist():
                 nth = nth + 1 if nth >= 0 and key == last else 0
