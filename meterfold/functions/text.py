@@ -26,10 +26,6 @@ def clean(c: Column) -> Column:
     return F.nullif(strip(c.cast("string")), F.lit(""))
 
 
-def is_missing(c: Column) -> Column:
-    return clean(c).isNull()
-
-
 def is_filled(c: Column) -> Column:
     return clean(c).isNotNull()
 
@@ -53,9 +49,14 @@ def is_postal_code(c: Column) -> Column:
     return F.coalesce(c.rlike(POSTAL_CODE_PATTERN), F.lit(False))
 
 
+def whole_number(c: Column) -> Column:
+    """The text as a whole number, else null."""
+    return F.when(strip(c).rlike(r"^[+-]?[0-9]+$"), strip(c).try_cast("bigint"))
+
+
 def bounded_int(c: Column, low: int, high: int | None = None) -> Column:
     """Whole number within bounds, else null."""
-    n = F.when(strip(c).rlike(r"^[+-]?[0-9]+$"), strip(c).try_cast("bigint"))
+    n = whole_number(c)
     inside = n >= low if high is None else n.between(low, high)
     return F.when(inside, n)
 

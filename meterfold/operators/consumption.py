@@ -4,7 +4,7 @@ Periods: provider, sensor_id, date_debut, date_fin, consommation, unite (dates a
 Requests: req_id, provider, sensor_id, from, to (all text but req_id, unique).
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from meterfold import fixed_values as fv
@@ -116,41 +116,91 @@ def check_requests(requests: DataFrame) -> DataFrame:
     )
 
 
-def _window_years(good: DataFrame) -> DataFrame:
-    """One row per request and calendar year its window touches."""
-    return good.withColumn("start_year", F.explode(F.sequence(F.year("low"), F.year("high"))))
+def _asked_bounds(windows: DataFrame) -> DataFrame:
+    """Per asked sensor the earliest and the latest day of all its windows: what a period can count for."""
+    return windows.groupBy(*SENSOR).agg(F.min("low").alias("from_day"), F.max("high").alias("to_day"))
+
+
+def _in_reach(periods: DataFrame, windows: DataFrame) -> DataFrame:
+    """Periods of asked sensors that lie inside the span of all their windows.
+
+    One row per sensor meets the periods, so the periods are the side that adaptive execution may split.
+    """
+    return periods.join(_asked_bounds(windows), SENSOR).where(contained(F.col("from_day"), F.col("to_day")))
 
 
 def requested_periods(requests: DataFrame, periods: DataFrame) -> DataFrame:
     """Periods inside the window of each valid request, one row per request and period.
 
-    Joining on the start year as well spreads a busy sensor over its years and pairs a request
-    only with years it asks for.
+    Joining on the start year as well spreads a busy sensor over its years and pairs a request only with
+    years it asks for. Windows are cut to the years that the sensor has periods in, so a window without
+    end costs no more rows than one that fits.
     """
-    good = _window_years(check_requests(requests).where(F.col("err").isNull()))
+    good = check_requests(requests).where(F.col("err").isNull())
     dated = periods.withColumn("start_year", F.year("first_day"))
-    found = good.join(dated, [*SENSOR, "start_year"]).where(contained(F.col("low"), F.col("high")))
+    stored = dated.select(*SENSOR, "start_year").distinct()
+    years = good.join(stored, SENSOR).where(F.col("start_year").between(F.year("low"), F.year("high")))
+    found = years.join(dated, [*SENSOR, "start_year"]).where(contained(F.col("low"), F.col("high")))
     return present(found).select("req_id", *SHAPE)
 
 
-def kept_counts(requests: DataFrame, periods: DataFrame) -> DataFrame:
-    """Number of periods inside each valid request's window (requests with none are absent).
+# --- counting by a sweep -------------------------------------------------------------------
+#
+# How many periods start at or after ``low`` and end by ``high`` is a dominance count. End days are
+# numbered from the sensor's first asked day; a prefix [0, n) of those numbers is a disjoint union of nodes
+# (level, node) with 2**level days each, one per bit set in n. A period lies in one node of every level, so
+# summing the nodes' running counts, taken over start days from the last to the first, answers every
+# window exactly: (periods + windows) * log(days) rows and no pair of a window and a period.
+
+def _node_counts(reached: DataFrame) -> DataFrame:
+    """Periods per (sensor, level, node, start day), combined per task; a node has one row per start day at most."""
+    end = F.greatest(F.datediff("last_day", "from_day"), F.lit(0))
+    level = F.explode(F.sequence(F.lit(0), _levels()))
+    return reached.select(*SENSOR, F.col("first_day").alias("day"), end.alias("end"), level.alias("level")).groupBy(
+        *SENSOR, "level", F.expr("shiftright(end, level)").alias("node"), "day").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _levels():
+    """The level whose single node holds every end day of the sensor."""
+    return F.length(F.bin(F.datediff("to_day", "from_day")))
 
-    Equal windows are answered once and equal periods are summed per task first, so the join
-    sees distinct (sensor, window) against distinct (sensor, period) rows only.
+
+def _window_nodes(windows: DataFrame) -> DataFrame:
+    """The nodes that make up each window's end days; a window up to the last asked day has one."""
+    n = F.datediff("high", "from_day") + 1
+    whole = F.array(F.struct(_levels().alias("level"), F.lit(0).alias("node")))
+    bits = F.filter(F.sequence(F.lit(0), _levels()), lambda b: F.call_function("bit_get", F.col("n"), b) == 1)
+    nodes = F.transform(bits, lambda b: F.struct(
+        b.alias("level"), (F.call_function("shiftright", F.col("n"), b) - 1).alias("node")))
+    cut = windows.join(_asked_bounds(windows), SENSOR).withColumn("n", n)
+    return cut.select(*SENSOR, "low", "high", F.inline(
+        F.when(F.col("high") == F.col("to_day"), whole).otherwise(nodes)))
+
+
+def window_counts(windows: DataFrame, periods: DataFrame) -> DataFrame:
+    """(sensor, low, high, n_kept) of distinct windows; those that hold no period are absent.
+
+    A sensor's node holds one row per start day and one per asked ``low``, so the sweep's windows are
+    bounded by the calendar, however many periods and requests a sensor has.
     """
+    nodes = _window_nodes(windows)
+    unit = [*SENSOR, "level", "node"]
+    asked = nodes.select(*unit, F.col("low").alias("day"), F.lit(None).cast("bigint").alias("n")).distinct()
+    # At one day the periods come first: a window holds what starts on its first day.
+    order = Window.partitionBy(*unit).orderBy(F.desc("day"), F.col("n").isNull()).rowsBetween(
+        Window.unboundedPreceding, 0)
+    swept = _node_counts(_in_reach(periods, windows)).select(*unit, "day", "n").unionByName(asked).withColumn(
+        "n_kept", F.sum("n").over(order))
+    answers = swept.where(F.col("n").isNull() & F.col("n_kept").isNotNull()).select(
+        *unit, F.col("day").alias("low"), "n_kept")
+    return nodes.join(answers, [*unit, "low"]).groupBy(*SENSOR, "low", "high").agg(F.sum("n_kept").alias("n_kept"))
+
+
+def kept_counts(requests: DataFrame, periods: DataFrame) -> DataFrame:
+    """Number of periods inside each valid request's window (requests with none are absent)."""
     good = check_requests(requests).where(F.col("err").isNull())
     window = [*SENSOR, "low", "high"]
-    period_counts = periods.groupBy(*SENSOR, "first_day", "last_day").agg(
-        F.count(F.lit(1)).alias("n")
-    ).withColumn("start_year", F.year("first_day"))
-    asked = _window_years(good.select(*window).distinct())
-    per_window = (
-        asked.join(period_counts, [*SENSOR, "start_year"])
-        .where(contained(F.col("low"), F.col("high")))
-        .groupBy(*window).agg(F.sum("n").alias("n_kept"))
-    )
-    return good.join(per_window, window).select("req_id", "n_kept")
+    return good.join(window_counts(good.select(*window).distinct(), periods), window).select("req_id", "n_kept")
 
 
 def request_outcomes(requests: DataFrame, periods: DataFrame, known: DataFrame) -> DataFrame:
@@ -161,7 +211,9 @@ def request_outcomes(requests: DataFrame, periods: DataFrame, known: DataFrame)
     """
     checked = check_requests(requests)
     good = checked.where(F.col("err").isNull())
-    existing = known.select(*SENSOR).distinct().withColumn("known", F.lit(True))
+    # What is stored is narrowed to the asked sensors before it is made distinct.
+    existing = known.select(*SENSOR).join(good.select(*SENSOR), SENSOR, "left_semi").distinct().withColumn(
+        "known", F.lit(True))
     kept = kept_counts(requests, periods)
     found = F.col("known").isNotNull()
     judged = good.join(existing, SENSOR, "left").join(kept, "req_id", "left").select(

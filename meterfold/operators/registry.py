@@ -1,33 +1,34 @@
 """Registry reads and bookkeeping: filters, views, pages, status updates, collection stamps."""
 
-from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from meterfold import fixed_values as fv
 from meterfold.functions.booleans import parse_bool
 from meterfold.functions.dates import iso_stamp, show_stamp, show_typed_stamp, stamp_literal
 from meterfold.functions.payload import build_error, payload
-from meterfold.functions.text import clean, strip, truncate
+from meterfold.functions.text import bounded_int, clean, strip, truncate, whole_number
 from meterfold.operators.merge import partial_upsert, update_where
+from meterfold.operators.outcomes import error, first_error, invalid
 
 # --- filters -------------------------------------------------------------------------------
 
 def filter_by(df: DataFrame, column: str, operator: str, value) -> DataFrame:
     """One comparison; the value takes the column's type so the filter reaches the files."""
     stored, typed = F.col(column), F.lit(value).cast(df.schema[column].dataType)
-    match operator:
-        case "=":
-            return df.where(stored == typed)
-        case "!=":  # a null differs from any value
-            return df.where(~stored.eqNullSafe(typed))
-        case "<" | "<=":
-            return df.where(stored < typed if operator == "<" else stored <= typed)
-        case ">" | ">=":
-            return df.where(stored > typed if operator == ">" else stored >= typed)
-    raise ValueError(fv.TEXT["operator_choice"].format(operator=operator, choices=fv.OPERATORS))
+    comparisons = {
+        "=": stored == typed,
+        "!=": ~stored.eqNullSafe(typed),  # a null differs from any value
+        "<": stored < typed,
+        "<=": stored <= typed,
+        ">": stored > typed,
+        ">=": stored >= typed,
+    }
+    if operator not in comparisons:
+        raise ValueError(fv.TEXT["operator_choice"].format(operator=operator, choices=fv.OPERATORS))
+    return df.where(comparisons[operator])
 
 
 def select_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -113,43 +114,39 @@ def dump_view(df: DataFrame) -> DataFrame:
 class InvalidParameter(ValueError):
     """A refused listing parameter; carries the outcome fields."""
 
-    def __init__(self, champ: str, message: str):
+    def __init__(self, erreur: str, champ: str, message: str):
         super().__init__(message)
-        self.erreur, self.champ, self.message = fv.INVALID_FIELD, champ, message
-
-
-@dataclass(frozen=True)
-class PageRequest:
-    statut: str | None
-    limit: int
-    offset: int
-
-
-def _bounded(raw, champ: str, low: int, high: int | None, default: int) -> int:
-    text = "" if raw is None else str(raw).strip()
-    if not text:
-        return default
-    bound = f"≥ {low}" if high is None else f"entre {low} et {high}"
-    try:
-        value = int(text)
-    except ValueError:
-        raise InvalidParameter(
-            champ, fv.TEXT["int_between"].format(champ=champ, bound=bound)) from None
-    if value < low or (high is not None and value > high):
-        raise InvalidParameter(champ, fv.TEXT["int_bound"].format(champ=champ, bound=bound))
-    return value
-
-
-def page_request(statut=None, limit=None, offset=None, states=fv.GAS_STATES) -> PageRequest:
-    """Checked listing parameters."""
-    wanted = statut.strip() if isinstance(statut, str) else statut
-    if wanted and wanted not in states:
-        raise InvalidParameter("statut", fv.TEXT["status_choice"].format(choices=", ".join(states)))
-    return PageRequest(
-        wanted or None,
-        _bounded(limit, "limit", 1, fv.PAGE_LIMIT_MAX, fv.PAGE_LIMIT_DEFAULT),
-        _bounded(offset, "offset", 0, None, 0),
-    )
+        self.erreur, self.champ, self.message = erreur, champ, message
+
+
+def check_listings(requests: DataFrame, states=fv.GAS_STATES) -> DataFrame:
+    """Listing requests (req_id, statut, limit, offset as text) with typed parameters and ``err``.
+
+    ``err`` is the first broken rule, null when fine; blank parameters take their defaults.
+    """
+    texts = requests.select("req_id", *[clean(F.col(c)).alias(c) for c in ("statut", "limit", "offset")])
+    statut = F.col("statut")
+    rules = [F.when(~statut.isin(*states), error(
+        fv.INVALID_FIELD, "statut", fv.TEXT["status_choice"].format(choices=", ".join(states))))]
+    numbers = {}
+    for c, (low, high, default, bound) in {
+        "limit": (1, fv.PAGE_LIMIT_MAX, fv.PAGE_LIMIT_DEFAULT, f"entre 1 et {fv.PAGE_LIMIT_MAX}"),
+        "offset": (0, None, 0, "≥ 0"),
+    }.items():
+        given = F.col(c)
+        rules += [invalid(given.isNotNull() & whole_number(given).isNull(), c, "int_between", bound=bound),
+                  invalid(given.isNotNull() & bounded_int(given, low, high).isNull(), c, "int_bound", bound=bound)]
+        numbers[c] = F.when(given.isNull(), F.lit(default)).otherwise(bounded_int(given, low, high)).cast("bigint")
+    return texts.select("req_id", "statut", *[v.alias(c) for c, v in numbers.items()], first_error(*rules).alias("err"))
+
+
+def page_request(spark: SparkSession, statut=None, limit=None, offset=None, states=fv.GAS_STATES) -> Row:
+    """The checked parameters of one request: statut, limit, offset."""
+    asked = spark.createDataFrame([(0, statut, limit, offset)], "req_id int, statut string, limit string, offset string")
+    checked = check_listings(asked, states).head()
+    if checked.err is not None:
+        raise InvalidParameter(**checked.err.asDict())
+    return checked
 
 
 def gas_listing(df: DataFrame, statut: str | None) -> DataFrame:
@@ -161,7 +158,7 @@ def elec_listing(df: DataFrame, statut: str | None) -> DataFrame:
     return df if statut is None else df.where(F.col("statut") == statut)
 
 
-def page(df: DataFrame, order: list[Column], request: PageRequest) -> DataFrame:
+def page(df: DataFrame, order: list[Column], request: Row) -> DataFrame:
     """Offset/limit slice of an ordered listing: a top-k, no full sort for shallow pages."""
     return df.orderBy(*order).offset(request.offset).limit(request.limit)
 
@@ -186,14 +183,15 @@ def elec_order() -> list[Column]:
     return [F.col("id_pdl").asc_nulls_last()]
 
 
-def gas_page(df: DataFrame, statut=None, limit=None, offset=None) -> DataFrame:
-    request = page_request(statut, limit, offset, fv.GAS_STATES)
-    return gas_view(page(gas_listing(df, request.statut), gas_order(), request), light=True)
+def gas_page(df: DataFrame, request: Row) -> DataFrame:
+    """The asked page of the gas list, with the row count of the whole list."""
+    listing = gas_listing(df, request.statut)
+    return with_total(gas_view(page(listing, gas_order(), request), light=True), listing)
 
 
-def elec_page(df: DataFrame, statut=None, limit=None, offset=None) -> DataFrame:
-    request = page_request(statut, limit, offset, fv.ELEC_STATES)
-    return elec_view(page(elec_listing(df, request.statut), elec_order(), request))
+def elec_page(df: DataFrame, request: Row) -> DataFrame:
+    listing = elec_listing(df, request.statut)
+    return with_total(elec_view(page(listing, elec_order(), request)), listing)
 
 
 # --- bookkeeping by the collecting jobs -----------------------------------------------------

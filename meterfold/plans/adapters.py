@@ -318,6 +318,16 @@ UPSERT_FEED = ("lineitem", {
     "input_ord": _ORDER_LINE_SEQ,
 })
 
+LISTINGS = ("customer", {
+    "req_id": "c_custkey",
+    "statut": "CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN ' Active ' WHEN 3 THEN 'nouveau' "
+              "WHEN 4 THEN 'Cloturé' ELSE 'Révoquée' END",
+    "limit": "CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 1 THEN ' 20 ' WHEN 2 THEN '-4' WHEN 3 THEN '101' "
+             "WHEN 4 THEN 'dix' WHEN 5 THEN '' ELSE CAST(c_custkey % 130 AS STRING) END",
+    "offset": "CASE c_custkey % 5 WHEN 0 THEN '-1' WHEN 1 THEN NULL WHEN 2 THEN '1.5' "
+              "ELSE CAST(c_custkey AS STRING) END",
+})
+
 HISTORY = ("events", {
     "id_affaire": f"'AFF' || {_pad('event_id', 12)}",
     "id_pdl": _pad("user_id", 14),
@@ -342,17 +352,17 @@ CALLS = ("events", {
 ACCESS_LOG = ("events", {
     "event_id": "event_id",
     "x_forwarded_for":
-        "CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '10.0.0.1, ' "
-        "WHEN 2 THEN '1.2.3.4, 10.0.' || CAST(user_id % 4 AS STRING) || '.' || CAST(event_id % 256 AS STRING) || ':55012' "
-        "WHEN 3 THEN '90.80.0.' || CAST(event_id % 256 AS STRING) "
-        "WHEN 4 THEN '10.0.0.1, 8.8.' || CAST(event_id % 300 AS STRING) || '.8:1234' "
+        "CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '192.0.2.1, ' "
+        "WHEN 2 THEN '192.0.2.7, 198.51.' || CAST(100 + user_id % 4 AS STRING) || '.' || CAST(event_id % 256 AS STRING) || ':49152' "
+        "WHEN 3 THEN '203.0.113.' || CAST(event_id % 256 AS STRING) "
+        "WHEN 4 THEN '192.0.2.9, 100.64.' || CAST(event_id % 300 AS STRING) || '.8:8080' "
         "WHEN 5 THEN '[2001:db8::' || CAST(event_id % 100 AS STRING) || ']:443' "
         "WHEN 6 THEN '2001:DB8:1:0:0:0:0:' || CAST(event_id % 100 AS STRING) ELSE 'localhost' END",
 })
-ALLOWED_IPS = "10.0.1.0/24, 90.80.0.0/25,8.8.8.8, 10.0.2.77/32, 2001:db8::/64, pas-une-ip, 300.1.1.1"
+ALLOWED_IPS = "198.51.101.0/24, 203.0.113.0/25,100.64.8.8, 198.51.102.77/32, 2001:db8::/64, pas-une-ip, 300.1.1.1"
 MANY_IPS = ",".join([
-    *[f"10.0.{i}.{j}" for i in range(4) for j in range(0, 256, 2)],
-    *[f"8.8.{k}.0/24" for k in range(0, 256, 3)],
+    *[f"198.51.{100 + i}.{j}" for i in range(4) for j in range(0, 256, 2)],
+    *[f"100.64.{k}.0/24" for k in range(0, 256, 3)],
     *[f"172.{i}.{j}.0/24" for i in range(16, 32) for j in range(64)],
 ])
 JSON_BODIES = ("lineitem", {

@@ -476,6 +476,25 @@ def _checked_requests() -> tuple[str, Rules]:
             f"{low} AS low, {high} AS high, {number} AS broken FROM {cte(a.REQUESTS)})"), r
 
 
+def _listing_checks() -> str:
+    r, states = Rules(), fv.GAS_STATES
+    whole = lambda c: f"regexp_full_match({c}, '[+-]?[0-9]+')"
+    number = r.case(
+        (f"statut NOT IN ({', '.join(lit(x) for x in states)})", "statut", t("status_choice", choices=", ".join(states))),
+        (f"NOT {whole('lim')}", "limit", t("int_between", "limit", bound="entre 1 et 100")),
+        ("CAST(lim AS BIGINT) NOT BETWEEN 1 AND 100", "limit", t("int_bound", "limit", bound="entre 1 et 100")),
+        (f"NOT {whole('off')}", "offset", t("int_between", "offset", bound="≥ 0")),
+        ("CAST(off AS BIGINT) < 0", "offset", t("int_bound", "offset", bound="≥ 0")))
+    return f"""
+    SELECT req_id, statut,
+      CASE WHEN lim IS NULL THEN 50 WHEN {whole('lim')} AND CAST(lim AS BIGINT) BETWEEN 1 AND 100 THEN CAST(lim AS BIGINT) END AS "limit",
+      CASE WHEN off IS NULL THEN 0 WHEN {whole('off')} AND CAST(off AS BIGINT) >= 0 THEN CAST(off AS BIGINT) END AS "offset",
+      CASE WHEN broken IS NOT NULL THEN '{fv.INVALID_FIELD}' END AS erreur, {r.pick('broken', 2)} AS champ,
+      {r.pick('broken', 3)} AS message
+    FROM (SELECT *, {number} AS broken FROM (
+      SELECT req_id, {clean('statut')} AS statut, {clean('"limit"')} AS lim, {clean('"offset"')} AS off FROM {cte(a.LISTINGS)}))"""
+
+
 def _consumption_requests() -> str:
     q, _ = _checked_requests()
     return f"""SELECT req_id, {_SHOWN_PERIOD} FROM (
@@ -687,8 +706,8 @@ def _access_audit(allowed: str | None = None, v6: str = "coalesce(host LIKE '200
     part = lambda i: f"CAST(split_part(host, '.', {i}) AS BIGINT)"
     num = f"({part(1)} * 16777216 + {part(2)} * 65536 + {part(3)} * 256 + {part(4)})"
     n = lambda ip: sum(int(o) << s for o, s in zip(ip.split("."), (24, 16, 8, 0)))
-    ranges = [(n("10.0.1.0"), n("10.0.1.255")), (n("90.80.0.0"), n("90.80.0.127")),
-              (n("8.8.8.8"), n("8.8.8.8")), (n("10.0.2.77"), n("10.0.2.77"))]
+    ranges = [(n("198.51.101.0"), n("198.51.101.255")), (n("203.0.113.0"), n("203.0.113.127")),
+              (n("100.64.8.8"), n("100.64.8.8")), (n("198.51.102.77"), n("198.51.102.77"))]
     inside = allowed or " OR ".join(f"ip BETWEEN {lo} AND {hi}" for lo, hi in ranges)
     # The log has two spellings of IPv6 addresses: shortened and with all eight groups.
     short_hex = "'20010db8' || repeat('0', 20) || lpad(split_part(host, '::', 2), 4, '0')"
@@ -789,6 +808,7 @@ ORACLES = {
     "list_page_elec": f"""WITH l AS (SELECT * FROM {_PDL} WHERE statut = 'traite'),
       p AS (SELECT * FROM l ORDER BY id_pdl LIMIT 50 OFFSET 120)
       SELECT v.*, (SELECT count(*) FROM l) AS total FROM ({_elec_view('p')}) v""",
+    "listing_checks": _listing_checks(),
     "list_after_key": f"""SELECT {_DUMP} FROM {_REG} WHERE id_pce > 'PCE00000000700'
       ORDER BY id_pce LIMIT 50""",
     "count_by_status": f"""SELECT coalesce(etat_droit_acces, 'None') AS etat_droit_acces, count(*) AS n
@@ -850,10 +870,10 @@ ORACLES = {
         md5(xml) AS xml_md5 FROM {cte(a.RESPONSES)}
       QUALIFY row_number() OVER (PARTITION BY blob_path ORDER BY arrival) = 1""",
     "access_audit": _access_audit(),
-    # 10.0.0-3.even, and 8.8.k.* for every third k.
+    # 198.51.100-103.even, and 100.64.k.* for every third k.
     "access_audit_many": _access_audit(
-        "(ip BETWEEN 167772160 AND 167773183 AND ip % 2 = 0) OR "
-        "(ip // 65536 = 2056 AND (ip // 256) % 256 % 3 = 0)", "FALSE"),
+        f"(ip // 1024 = {((198 * 256 + 51) * 256 + 100) // 4} AND ip % 2 = 0) OR "
+        f"(ip // 65536 = {100 * 256 + 64} AND (ip // 256) % 256 % 3 = 0)", "FALSE"),
     "stream_measures": f"""SELECT id_pdl, label, val, ts, date_debut, date_fin, fmt, uuid, misc,
       '{_NOW_SHOWN}' AS ingestion_ts FROM {cte(a.MEASURES)} {_LATEST}""",
     "stream_commands": fold(_GAS, final=True),

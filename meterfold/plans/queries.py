@@ -223,18 +223,20 @@ def active_without_field(spark, sf):
 
 def list_page(spark, sf):
     rows = a.build(spark, sf, a.GAS_REGISTRY)
-    wanted = registry.page_request(" Active ", "100", "40")
-    listing = registry.gas_listing(rows, wanted.statut)
-    view = registry.gas_view(registry.page(listing, registry.gas_order(), wanted), light=True)
-    return registry.with_total(_plain_payload(view), listing)
+    wanted = registry.page_request(spark, " Active ", "100", "40")
+    return _plain_payload(registry.gas_page(rows, wanted))
 
 
 def list_page_elec(spark, sf):
     rows = a.build(spark, sf, a.PDL)
-    wanted = registry.page_request("traite", None, "120", fv.ELEC_STATES)
-    listing = registry.elec_listing(rows, wanted.statut)
-    view = registry.elec_view(registry.page(listing, registry.elec_order(), wanted))
-    return registry.with_total(_plain_payload(view), listing)
+    wanted = registry.page_request(spark, "traite", None, "120", fv.ELEC_STATES)
+    return _plain_payload(registry.elec_page(rows, wanted))
+
+
+def listing_checks(spark, sf):
+    """The parameters of listing requests, checked as a table."""
+    checked = registry.check_listings(a.build(spark, sf, a.LISTINGS))
+    return checked.select("req_id", "statut", "limit", "offset", "err.*")
 
 
 def list_after_key(spark, sf):
@@ -567,6 +569,7 @@ QUERIES = {
     "active_without_field": active_without_field,
     "list_page": list_page,
     "list_page_elec": list_page_elec,
+    "listing_checks": listing_checks,
     "list_after_key": list_after_key,
     "count_by_status": count_by_status,
     "row_counts": row_counts,

@@ -122,10 +122,10 @@ def test_addresses_equal_the_standard_library(spark):
 
 
 def test_last_hop(spark):
-    headers = ["1.2.3.4, 10.0.0.1:55012", "10.0.0.1, 8.8.8.8:1234", "90.80.0.5:10", "[::1]:443", "::1",
+    headers = ["192.0.2.4, 198.51.100.1:49152", "192.0.2.1, 203.0.113.8:8080", "100.64.0.5:10", "[::1]:443", "::1",
                "1.2.3.4, ", None, ""]
     assert column(spark, headers, net.last_hop) == [
-        "10.0.0.1", "8.8.8.8", "90.80.0.5", "::1", "::1", None, None, None]
+        "198.51.100.1", "203.0.113.8", "100.64.0.5", "::1", "::1", None, None, None]
 
 
 def test_prefix_key_matches_networks(spark):

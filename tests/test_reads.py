@@ -65,6 +65,36 @@ def test_request_outcomes(spark):
     assert out[3].erreur == fv.SENSOR_NOT_FOUND
 
 
+def test_counting_by_a_sweep_equals_the_model(spark):
+    rng = random.Random(6)
+    day = lambda: date(2020, 1, 1) + timedelta(rng.randint(0, 500))
+    periods = []
+    for i in range(2500):  # most rows are of one sensor; some bounds are missing or in the wrong order
+        first = day()
+        periods.append(("enedis", "hot" if i % 3 else f"s{rng.randint(0, 4)}", rng.choice([first] * 30 + [None]),
+                        rng.choice([first + timedelta(rng.randint(-3, 40))] * 30 + [None])))
+    windows = {("enedis", "hot" if i % 2 else f"s{rng.randint(0, 6)}", *sorted((day(), day() + timedelta(2)))) for i in range(400)}
+    endless = [("enedis", s, date(1, 1, 1), date(9999, 12, 31)) for s in ("hot", "s1", "none")]
+    windows |= {*endless, ("enedis", "s2", date(1, 1, 1), date(2020, 6, 1)), ("enedis", "s2", date(2020, 6, 1), date(9999, 12, 31))}
+    asked = spark.createDataFrame(sorted(windows), "provider string, sensor_id string, low date, high date")
+    stored = spark.createDataFrame(periods, "provider string, sensor_id string, first_day date, last_day date")
+    got = {(r.sensor_id, r.low, r.high): r.n_kept for r in consumption.window_counts(asked, stored).collect()}
+    counts = {(s, a, b): sum(1 for _, t, f, e in periods if t == s and f and e and a <= f and e <= b) for _, s, a, b in windows}
+    assert got == {w: n for w, n in counts.items() if n} and len(got) > 300
+    # A window without end is one node; the others are as many as their length has bits.
+    nodes = consumption._window_nodes(asked).groupBy("sensor_id", "low", "high").count().collect()
+    assert all(r["count"] == 1 for r in nodes if r.high == date(9999, 12, 31)) and max(r["count"] for r in nodes) <= 22
+    # Windows meet periods only at the nodes: every join is on one row per sensor, or on whole nodes.
+    rows = consumption._node_counts(consumption._in_reach(stored, asked)).count()
+    assert rows <= len(periods) * 23 < len(periods) * len(windows) / 2
+
+
+def test_a_window_without_end_reads_stored_years_only(spark):
+    asked = ask(spark, ("grdf", "GI1", "0001-01-01", "9999-12-31"))
+    found = consumption.requested_periods(asked, consumption.all_periods(gas_periods(spark), measures(spark)))
+    assert found.count() > 3 and "sequence" not in plan_of(found)
+
+
 def test_one_provider_prunes_the_other(spark):
     both = consumption.all_periods(gas_periods(spark), measures(spark)).where("provider = 'enedis'")
     assert plan_of(both).count("Scan") == 1
@@ -90,10 +120,9 @@ def test_paging(spark):
     df = rights(spark, 10).withColumns({c: F.lit(None).cast("string") for c in (
         "partner", "platform_code", "date_debut_droit_acces", "date_fin_droit_acces", "date_creation",
         "derniere_maj", "message_erreur_declare", *fv.GAS_PERIMETERS)})
-    page = registry.gas_page(df, limit="3", offset="6")
-    assert [r.id_pce for r in page.collect()] == ["PCE06", "PCE07", "PCE08"]
-    assert len(page.columns) == 11 and len(registry.gas_view(df).columns) == 13
-    assert registry.with_total(page, df).head().total == 10
+    page = registry.gas_page(df, registry.page_request(spark, limit="3", offset="6"))
+    assert [(r.id_pce, r.total) for r in page.collect()] == [("PCE06", 10), ("PCE07", 10), ("PCE08", 10)]
+    assert len(page.columns) == 12 and len(registry.gas_view(df).columns) == 13
     assert [r.id_pce for r in registry.page_after(df, "id_pce", "PCE07", 5).collect()] == ["PCE08", "PCE09"]
     assert registry.gas_view(df.withColumn("etat_droit_acces", F.lit(" "))).head().statut == "nouveau"
     assert registry.gas_listing(df, "nouveau").count() == 0
@@ -102,14 +131,15 @@ def test_paging(spark):
 @pytest.mark.parametrize("given,champ", [
     ({"limit": "0"}, "limit"), ({"limit": "500"}, "limit"), ({"limit": "abc"}, "limit"), ({"limit": "-3"}, "limit"),
     ({"offset": "-1"}, "offset"), ({"statut": "Cloturé"}, "statut")])
-def test_refused_parameters(given, champ):
+def test_refused_parameters(spark, given, champ):
     with pytest.raises(registry.InvalidParameter) as refused:
-        registry.page_request(**given)
-    assert refused.value.champ == champ
+        registry.page_request(spark, **given)
+    assert (refused.value.erreur, refused.value.champ) == (fv.INVALID_FIELD, champ)
 
 
-def test_default_parameters():
-    assert registry.page_request(" ", "", None) == registry.PageRequest(None, 50, 0)
+def test_default_parameters(spark):
+    checked = registry.page_request(spark, " ", "", None)
+    assert (checked.statut, checked.limit, checked.offset) == (None, 50, 0)
 
 
 def test_active_without(spark):
@@ -204,6 +234,21 @@ def test_accept_spaced_equals_the_model(spark):
     assert sorted(r.id_affaire for r in got.collect()) == spaced(rows, before, 7)
 
 
+def test_accept_spaced_takes_rounds_by_the_logarithm_of_the_chain(spark, monkeypatch):
+    rng = random.Random(4)
+    hours = rng.sample(range(3 * 365 * 24), 3000)  # three years of one pair
+    rows = [("HOT", "x", NOW + timedelta(hours=h), f"{k:05d}") for k, h in enumerate(hours)] + [
+        ("HOT", "x", NOW + timedelta(hours=hours[0]), "00000b"), ("B", "x", NOW, "b"), (None, "x", NOW, "c")]
+    asked = spark.createDataFrame(rows, HISTORY)
+    made, checkpoint = [], type(asked).checkpoint
+    monkeypatch.setattr(type(asked), "checkpoint", lambda self, *a, **k: made.append(1) or checkpoint(self, *a, **k))
+    got = requests.accept_spaced(asked, asked.limit(0), 7)
+    kept = spaced(rows, [], 7)
+    assert sorted(r.id_affaire for r in got.collect()) == kept and len(kept) > 140
+    # 2 for each of the 8 doublings of a chain of some 150 links, and a few before and at the end.
+    assert len(made) <= 2 * 8 + 7
+
+
 # --- access --------------------------------------------------------------------------------
 
 def test_access_audit_equals_the_standard_library(spark):
