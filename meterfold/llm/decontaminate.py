@@ -128,5 +128,5 @@ def clean(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     rows = documents.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h")))
     hit = contamination(rows, benchmark, **options).where(F.size("hit_from") > 0).select(
         F.col("doc_id.doc_id").alias("hit_id"), F.col("doc_id.h").alias("hit_h")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_h"))
-    return documents.join(hit, same, "left_anti").select(*documents.columns)
+    same = F.col("d.doc_id").eqNullSafe(F.col("h.hit_id")) & (F.xxhash64("d.text") == F.col("h.hit_h"))
+    return documents.alias("d").join(hit.alias("h"), same, "left_anti").select("d.*")

@@ -15,10 +15,13 @@ the size of the corpus (blocks grow instead), so the windows over blocks and dra
 number of rows per source, while documents only meet them in a join on (source, block): a source
 with a third of all rows is spread over all its blocks.
 
-Only DataFrame functions. Documents are taken whole; the words missing where a
-target ends are filled with the one free document of nearest size, if that brings the source nearer. Defined cases: a null source is a source of its own, last in order; null
-or blank texts have size 0 and are never taken; rows with the same doc_id fall into the same block
-and are rows of their own (a null id counts as one id, told apart by size and text); the seed fixes all choices, so reruns agree.
+Only DataFrame functions. Documents are taken whole. The last pass leaves out documents longer than what it
+is to take; where its end falls inside a block, documents that still fit are taken in ``CUTS`` sweeps, and
+then single free documents of nearest size, one after another, as long as one brings the source nearer.
+
+Defined cases: a null source is a source of its own, last in order; null or blank texts have size 0 and are
+never taken; rows with the same doc_id and text fall into the same block and are rows of their own, but are not
+used to fill (they could not be told apart); the seed fixes all choices, so reruns agree.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -29,6 +32,7 @@ WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 MAX_BLOCKS = 8192
 SHARDS = 16
+CUTS = 3
 SEED = 42
 
 
@@ -100,21 +104,30 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return node.select("_key", F.col("lo").alias("shard"), "quota")
 
 
+def _passes() -> Column:
+    """Whole passes over a source; none over one without words."""
+    return F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("int")
+
+
+def _rest() -> Column:
+    """Words that the last pass takes."""
+    return F.col("target") - _passes() * F.col("source_size")
+
+
 def draw_blocks(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
-    """(_key, block, draws, limit) from (_key, block, words, source_size, target).
+    """(_key, block, draws, limit) from (_key, block, fit, source_size, target).
 
     draws: the (pass, shard) in which the block is taken; limit: the words that the last pass takes
-    from it, null if all of them.
+    from it, null if all of those in documents that fit.
     """
     by_source = Window.partitionBy("_key")
-    passes = F.floor(F.col("target") / F.col("source_size")).cast("int")
-    rest = F.col("target") - passes * F.col("source_size")
+    passes, rest = _passes(), _rest()
     permuted = _hash(seed, 3, "pass", "_key", "block")
     last = blocks.withColumns({"pass": passes, "rest": rest}).withColumn(
-        "until", F.sum("words").over(by_source.orderBy(permuted, "block").rowsBetween(
+        "until", F.sum("fit").over(by_source.orderBy(permuted, "block").rowsBetween(
             Window.unboundedPreceding, 0)))
-    before = F.col("until") - F.col("words")
-    last = last.where(before < F.col("rest")).select(
+    before = F.col("until") - F.col("fit")
+    last = last.where((F.col("fit") > 0) & (before < F.col("rest"))).select(
         "_key", "block", "pass",
         F.when(F.col("until") > F.col("rest"), F.col("rest") - before).alias("limit"))
     whole = blocks.where(passes > 0).select(
@@ -141,38 +154,60 @@ def _sized(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def _placed(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     return sized.join(targets, "_key").withColumns({
-        "block": F.pmod(_hash(seed, 1, "doc_id"), F.col("blocks")).cast("int"),
-        "inner": _hash(seed, 2, "doc_id")})
+        "block": F.pmod(_hash(seed, 1, "doc_id", "text_hash"), F.col("blocks")).cast("int"),
+        "inner": _hash(seed, 2, "doc_id", "text_hash")})
 
 
 def _met(placed: DataFrame, plan: DataFrame) -> DataFrame:
-    """Documents with the draws of their block; where its target ends, only those that fit."""
+    """Documents with the draws of their block; the last pass takes only those that fit."""
     none = F.array().cast(plan.schema["draws"].dataType)
+    in_last = F.filter("draws", lambda d: d["pass"] < _passes())
     met = placed.join(plan, ["_key", "block"], "left").withColumn(
-        "draws", F.when((F.col("size") > 0) & F.col("draws").isNotNull(), F.col("draws")).otherwise(none))
+        "draws", F.when((F.col("size") > 0) & F.col("draws").isNotNull(), F.col("draws")).otherwise(none)
+    ).withColumn("draws", F.when(F.col("size") <= _rest(), F.col("draws")).otherwise(in_last))
     # Only the one block per source in which its target ends is ordered document by document.
-    order = Window.partitionBy("_key").orderBy("inner", "doc_id", "size", "text_hash")
-    until = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    cut_off = met.where(F.col("limit").isNotNull()).withColumn("until", until).withColumn(
-        "draws", F.when(F.col("until") <= F.col("limit"), F.col("draws"))
-        .otherwise(F.slice("draws", F.lit(1), F.greatest(F.size("draws") - 1, F.lit(0))))).drop("until")
-    return met.where(F.col("limit").isNull()).unionByName(cut_off)
+    by_source = Window.partitionBy("_key")
+    order = by_source.orderBy("inner", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    cut_off = met.where(F.col("limit").isNotNull()).withColumns({"_in": F.lit(False), "_missing": F.col("limit")})
+    for _ in range(CUTS):
+        fits = ~F.col("_in") & (F.col("size") <= F.col("_missing"))
+        cut_off = cut_off.withColumn("_until", F.sum(F.when(fits, F.col("size"))).over(order)).withColumn(
+            "_in", F.col("_in") | (fits & (F.col("_until") <= F.col("_missing")))).withColumn(
+            "_missing", F.col("limit") - F.sum(F.when(F.col("_in"), F.col("size")).otherwise(F.lit(0))).over(by_source))
+    cut_off = cut_off.withColumn("draws", F.when(F.col("_in"), F.col("draws")).otherwise(in_last))
+    return met.where(F.col("limit").isNull()).unionByName(cut_off.drop("_in", "_missing", "_until"))
 
 
 def _fills(met: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per source the document, not yet in its last pass, whose size is nearest to what is missing."""
+    """(_key, doc_id, text_hash, end): documents that fill what the last pass still misses.
+
+    Per source and round the free document whose size is nearest to what is missing, if it brings the source
+    nearer. What is missing is less than the shortest free document of the end block, so rounds are few.
+    """
     ends = plan.where(F.col("limit").isNotNull()).select("_key", F.element_at("draws", -1).alias("end"))
-    last = F.exists("draws", lambda d: d["pass"] == F.col("end.pass"))
-    ended = met.where(F.col("limit").isNotNull()).join(ends, "_key").select(
-        "_key", "end", "limit", F.when(last, F.col("size")).otherwise(F.lit(0)).alias("used"))
+    last = F.exists("draws", lambda d: d["pass"] == _passes())
+    used = F.when(last, F.col("size")).otherwise(F.lit(0))
     # One row per source, written: with its size known the documents need no shuffle by source.
-    left = written(ended.groupBy("_key").agg(
-        F.max("end").alias("end"), (F.max("limit") - F.sum("used")).alias("missing")))
-    off = F.abs(F.col("size") - F.col("missing"))
-    free = met.join(left, "_key").where((F.col("size") > 0) & (off < F.col("missing")) & ~last)
-    return free.groupBy("_key").agg(F.min_by(
-        F.struct("doc_id", "text_hash", "end"), F.struct(off, F.col("inner"), F.col("text_hash"))
-    ).alias("fill"))
+    left = written(met.where(F.col("limit").isNotNull()).join(ends, "_key").groupBy("_key").agg(
+        F.max("end").alias("end"), (F.max("limit") - F.sum(used)).alias("missing")))
+    free = written(met.where((F.col("size") > 0) & ~last).join(left.select("_key"), "_key", "left_semi").groupBy(
+        "_key", "doc_id", "text_hash").agg(F.max("size").alias("size"), F.max("inner").alias("inner"),
+                                           F.count(F.lit(1)).alias("rows")).where("rows = 1").drop("rows"))
+    chosen = left.limit(0).select("_key", F.lit(None).cast(met.schema["doc_id"].dataType).alias("doc_id"),
+                                  F.lit(0).cast("long").alias("text_hash"), "end")
+    while True:
+        off = F.abs(F.col("size") - F.col("missing"))
+        near = free.join(left, "_key").where(off < F.col("missing"))
+        best = written(near.groupBy("_key", "end", "missing").agg(F.min_by(
+            F.struct("doc_id", "text_hash", "size"), F.struct(off, "inner", "text_hash")).alias("fill")).select(
+            "_key", "end", "missing", "fill.*"))
+        if best.isEmpty():
+            return chosen
+        chosen = chosen.unionByName(best.select(*chosen.columns))
+        taken = (F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
+                 & (F.col("a._key") == F.col("b._key")))
+        free = free.alias("a").join(best.alias("b"), taken, "left_anti")
+        left = best.select("_key", "end", (F.col("missing") - F.col("size")).alias("missing"))
 
 
 def drawn(docs: DataFrame, keep: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -184,16 +219,19 @@ def drawn(docs: DataFrame, keep: list[str], shards: int = SHARDS, seed: int = SE
     targets = written(source_targets(per_source).select(
         "_key", F.col("size").alias("source_size"), "target", blocks.alias("blocks")))
     placed = _placed(sized, targets, seed)
+    fit = F.when(F.col("size") <= _rest(), F.col("size")).otherwise(F.lit(0))
     sums = placed.where(F.col("size") > 0).groupBy("_key", "block").agg(
-        F.sum("size").alias("words"), F.max("source_size").alias("source_size"),
-        F.max("target").alias("target"))
+        F.sum(fit).alias("fit"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
     plan = written(draw_blocks(sums, shards, seed))
-    fills = written(_fills(_met(placed, plan), plan))
+    fills = written(_fills(_met(placed, plan), plan)).alias("f")
     rows = placed if not keep else _placed(_sized(docs, keep), targets, seed)
-    is_fill = F.col("doc_id").eqNullSafe(F.col("fill.doc_id")) & (
-        F.col("text_hash").eqNullSafe(F.col("fill.text_hash"))) & F.col("fill").isNotNull()
-    return _met(rows, plan).join(fills, "_key", "left").withColumn(
-        "draws", F.when(is_fill, F.array_append("draws", F.col("fill.end"))).otherwise(F.col("draws")))
+    met = _met(rows, plan).alias("d")
+    is_fill = ((F.col("d._key") == F.col("f._key")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
+               & (F.col("d.text_hash") == F.col("f.text_hash")))
+    return met.join(fills, is_fill, "left").select(
+        *[F.col(f"d.{c}") for c in met.columns if c != "draws"],
+        F.when(F.col("f.end").isNotNull(), F.array_append("d.draws", F.col("f.end"))).otherwise(
+            F.col("d.draws")).alias("draws"))
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:

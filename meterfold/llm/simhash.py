@@ -23,7 +23,7 @@ from itertools import product
 from pyspark.sql import DataFrame, Window, functions as F
 
 from meterfold.llm import simhash_kernels as kernels
-from meterfold.llm.common import cut, written
+from meterfold.llm.common import cut, free_name, written
 
 WIDTH = 3
 RADIUS = 3
@@ -122,13 +122,16 @@ def keep_first_of_group(docs: DataFrame, **options) -> DataFrame:
 def keep_one_of_group(docs: DataFrame, **options) -> DataFrame:
     """One document of each group: the smallest by (doc_id, nulls last, text hash), once if it is repeated."""
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
-    rows = docs.withColumn("_key", key)
-    found = written(near_duplicates(rows.select(F.col("_key").alias("doc_id"), "text"), **options).select(
-        F.col("doc_id").alias("_key"), F.col("component_id").alias("_first")))
-    copies = found.where("_key <> _first").select("_key").distinct()
-    again = written(found.where("_key = _first").groupBy("_key").count().where("count > 1").select("_key"))
-    kept = rows.join(copies, "_key", "left_anti")
+    # Names that no column of the documents has.
+    name, place = free_name(docs, "_key"), free_name(docs, "_n")
+    rows = docs.withColumn(name, key)
+    found = written(near_duplicates(rows.select(F.col(name).alias("doc_id"), "text"), **options).select(
+        F.col("doc_id").alias(name), F.col("component_id").alias("first")))
+    is_first = F.col(name) == F.col("first")
+    copies = found.where(~is_first).select(name).distinct()
+    again = written(found.where(is_first).groupBy(name).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(name))
+    kept = rows.join(copies, name, "left_anti")
     # Only rows whose id and text are repeated are numbered.
-    order = Window.partitionBy("_key").orderBy(F.xxhash64(*docs.columns))
-    once = kept.join(again, "_key", "left_semi").withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return kept.join(again, "_key", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+    order = Window.partitionBy(name).orderBy(F.xxhash64(*docs.columns))
+    once = kept.join(again, name, "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return kept.join(again, name, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))

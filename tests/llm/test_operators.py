@@ -261,6 +261,34 @@ def test_line_runs_compact(spark):
     runs.close()
 
 
+def mixed_words(spark, rows):
+    """Words taken per source, after looking at every document's limit."""
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    out = mixing.mix_report(df).collect()
+    assert len(out) == len(rows) and all(r.taken in (0, r.size, 2 * r.size, 3 * r.size) for r in out)
+    taken, targets = Counter(), {}
+    for r in out:
+        taken[r.source_size] += r.taken
+        targets[r.source_size] = r.target
+    return taken, targets
+
+
+def test_mixing_of_repeated_rows(spark):
+    w = lambda n: " ".join(["w"] * n)
+    rows = [(1, w(7), "a")] * 100 + [(i, w(11), "b") for i in range(2, 400)] + [(i, w(13), "c") for i in range(500, 700)]
+    taken, targets = mixed_words(spark, rows)
+    assert all(abs(taken[s] - targets[s]) <= 7 for s in targets)
+
+
+@pytest.mark.parametrize("first", [0, 1000, 5000])
+def test_mixing_of_one_very_long_document(spark, first):
+    w = lambda n: " ".join(["w"] * n)
+    rows = [(first + i, w(300), "a") for i in range(100)] + [(first + 500, w(100_000), "a")]
+    rows += [(first + i + 600, w(250), "b") for i in range(200)] + [(None, None, "c"), (None, " ", None)]
+    taken, targets = mixed_words(spark, rows)
+    assert all(abs(taken[s] - targets[s]) <= 150 for s in targets)
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix_report(docs).collect()
     assert multiset(got) == multiset(mixing.mix_report(docs.repartition(5)).collect())
