@@ -240,13 +240,15 @@ def fold(
     book,
     now: datetime,
     chunk_rows: int = CHUNK_ROWS,
+    store: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Apply all commands of a batch in ``seq`` order per meter.
 
     Returns (outcomes, changes): one outcome per command, and the final state of every meter
     with at least one accepted command. ``seq`` may be of any orderable type, unique per id.
     Meters with at most ``chunk_rows`` commands fold as one array; the others, found by a count
-    with map-side partial sums, are cut into chunks.
+    with map-side partial sums, are cut into chunks. ``store`` checkpoints the fold, for callers that
+    use both results.
     """
     asked = addressed(commands, book)
     long = asked.where(F.col("id").isNotNull()).groupBy("id").agg(
@@ -259,10 +261,14 @@ def fold(
     n_long = long.count()
     if n_long == 0:
         whole = _fold_whole(asked, registry, book, now)
+        if store:
+            ensure_checkpoint_dir(commands.sparkSession)
+            whole = whole.checkpoint()
         pieces, finals = whole, whole.select("id", "state", accepted.alias("accepted"))
     else:
         ensure_checkpoint_dir(commands.sparkSession)
         short = _fold_whole(asked.join(long, "id", "left_anti"), registry, book, now)
+        short = short.checkpoint() if store else short
         cut = _fold_cut(asked.join(long, "id", "left_semi"), registry, book, now, chunk_rows)
         last = cut.groupBy("id").agg(
             F.max_by("state", F.struct("part", "block")).alias("state"),

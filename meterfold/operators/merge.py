@@ -34,12 +34,14 @@ def partial_upsert(
     key: str = "id_pce",
     arrival: str | None = "input_ord",
     fields_set: str = "fields_set",
+    one_pass: bool = False,
 ) -> DataFrame:
     """Overwrite only the fields each record carries; insert records with new ids.
 
     ``fields_set`` names the fields present in a record (a present null overwrites with null);
     without that column every field of the record is present. ``arrival`` orders repeated ids;
-    pass ``None`` when ids are already unique. Records without an id are left out.
+    pass ``None`` when ids are already unique. Records without an id are left out. ``one_pass`` reads
+    the target once in a full join, for targets that are narrowed to what the records touch.
     """
     records = records.where(_has_id(key))
     if arrival is not None:
@@ -54,6 +56,8 @@ def partial_upsert(
         return F.col("s._in") & F.array_contains(F.col(f"s.{fields_set}"), c)
 
     overwrite = {c: given(c) for c in fields}
+    if one_pass:
+        return outer_merge(target, records, key, overwrite)
     t, s = target.alias("t"), records.withColumn("_in", F.lit(True)).alias("s")
     same = F.col(f"t.{key}") == F.col(f"s.{key}")
     stored = t.join(s, same, "left").select(

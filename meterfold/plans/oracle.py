@@ -502,10 +502,13 @@ def _consumption_requests() -> str:
       WHERE q.broken IS NULL AND p.d1 >= q.low AND p.d2 <= q.high)"""
 
 
-def _consumption_outcome() -> str:
+def _consumption_outcome(latest: str = "") -> str:
+    """``latest``: a clause that narrows the measurements before anything is read of them."""
     q, r = _checked_requests()
+    measures = cte(a.MEASURES)
+    periods = _PERIODS.replace(f"FROM {measures} WHERE", f"FROM (SELECT * FROM {measures} {latest}) WHERE")
     return f"""
-    WITH q AS {q}, p AS {_PERIODS},
+    WITH q AS {q}, p AS {periods},
     k AS (SELECT DISTINCT 'grdf' AS provider, id_pce AS sensor_id FROM {cte(a.GAS_PERIODS)}
           UNION SELECT DISTINCT 'enedis', id_pdl FROM {cte(a.MEASURES)}),
     n AS (SELECT q.req_id, count(*) AS n FROM q JOIN p USING (provider, sensor_id)
@@ -738,6 +741,8 @@ ORACLES = {
     "consumption_union": f"SELECT {_SHOWN_PERIOD} FROM {_PERIODS}",
     "consumption_requests": _consumption_requests(),
     "consumption_outcome": _consumption_outcome(),
+    "consumption_lake": _consumption_outcome(_LATEST),
+    "gas_meter": f"SELECT * FROM {cte(a.GAS_PERIODS)} WHERE id_pce = 'PCE00000000007'",
     "measures_keep_latest": f"""{_HALVES}
       SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE {_MATCH}) UNION ALL SELECT * FROM s""",
     "measures_merge_stats": f"""{_HALVES}
@@ -748,6 +753,7 @@ ORACLES = {
         coalesce(date_debut_droit_acces, '') DESC, coalesce(date_creation, '') DESC, input_ord) = 1
       UNION ALL SELECT * FROM f WHERE id_pce IS NULL OR id_pce = ''""",
     "registry_upsert_partial": _registry_upsert(),
+    "lake_upsert": _registry_upsert(),
     "upsert_one": f"""WITH r AS {_REG},
       s AS (SELECT * FROM (VALUES ('PCE00000000007'), ('NEUF')) AS v(id_pce))
       SELECT coalesce(r.id_pce, s.id_pce) AS id_pce, r.partner,

@@ -18,7 +18,9 @@ from meterfold.operators import (
 from meterfold.plans import adapters as a
 from meterfold.session import scratch_root
 from meterfold.sources import sinks
-from meterfold.sources.lake import Layout, read_commands, read_measures, read_meter, read_registry, read_table
+from meterfold.sources.lake import (
+    Layout, read_asked, read_commands, read_gas_meter, read_measures, read_meter, read_registry, read_table,
+)
 from meterfold.streaming import jobs
 
 NOW = datetime.fromisoformat(a.NOW)
@@ -413,6 +415,36 @@ def read_one_meter(spark, sf):
     return read_meter(spark, layout, "00000000000007").select("id_pdl", "label", "val", "ts")
 
 
+def gas_meter(spark, sf):
+    """Gas periods stored by bucket, one meter read back."""
+    layout = Layout(scratch_root(spark))
+    sinks.write_gas_periods(a.build(spark, sf, a.GAS_PERIODS), layout, buckets=16)
+    return read_gas_meter(spark, layout, "PCE00000000007")
+
+
+def consumption_lake(spark, sf):
+    """Request outcomes from stored tables, of which only the asked buckets are read."""
+    layout = Layout(scratch_root(spark))
+    gas_periods, measures = _periods(spark, sf)
+    sinks.write_gas_periods(gas_periods, layout, buckets=32)
+    sinks.write_measures(measures, layout, NOW, "arrival", buckets=32)
+    asked = a.build(spark, sf, a.REQUESTS)
+    sources = read_asked(spark, layout, consumption.check_requests(asked).where("err IS NULL"))
+    return consumption.request_outcomes(
+        asked, consumption.all_periods(*sources), consumption.known_sensors(*sources))
+
+
+def lake_upsert(spark, sf):
+    """A feed of partial records merged into the stored registry, bucket by bucket."""
+    layout, rows = Layout(scratch_root(spark)), a.build(spark, sf, a.GAS_REGISTRY)
+    stored = rows.withColumn("motif", F.lit(None).cast("string"))
+    sinks.agreed_buckets(spark, layout, sinks.registry_table("id_pce"), 16, store=True)
+    sinks.write_registry(stored, layout, "id_pce", 16)
+    sinks.upsert_registry(_upsert_feed(spark, sf), layout, stored.schema, NOW)
+    return jobs.read_registry(spark, layout, gas, stored.schema).select(
+        "id_pce", "partner", *a.UPSERT_FIELDS, "derniere_maj")
+
+
 def history_requests(spark, sf):
     sent = a.build(spark, sf, a.HISTORY).selectExpr(
         "id_affaire", "id_pdl", "code_prestation", "'false' AS mesures_corrigees",
@@ -499,7 +531,7 @@ def stream_measures(spark, sf):
     jobs.upsert_measures(
         _spec_stream(spark, sf, a.MEASURES), layout, NOW, "arrival", f"{layout.root}/progress", 16
     ).awaitTermination()
-    stored = read_measures(spark, layout).drop("bucket")
+    stored = read_measures(spark, layout).drop("bucket", "month")
     return stored.withColumn("ingestion_ts", show_typed_stamp(F.col("ingestion_ts")))
 
 
@@ -558,6 +590,9 @@ QUERIES = {
     "append_log": append_log,
     "snapshot_roundtrip": snapshot_roundtrip,
     "read_one_meter": read_one_meter,
+    "gas_meter": gas_meter,
+    "consumption_lake": consumption_lake,
+    "lake_upsert": lake_upsert,
     "delete_keys": delete_keys,
     "delete_rows": delete_rows,
     "update_rows": update_rows,

@@ -2,10 +2,12 @@
 
 Tables are parquet directories. Large tables are partitioned by ``bucket``, a hash of the meter
 id, instead of one directory per meter: the number of directories stays fixed while a one-meter
-read still opens a single bucket, where min/max statistics on the sorted id skip row groups.
+read still opens a single bucket, where min/max statistics on the sorted id skip row groups. Measurements
+are partitioned by month as well, so that a merge leaves the months alone that it brings nothing for.
 """
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from pyspark.sql.utils import AnalysisException
 from meterfold.sources.schemas import GAS_PERIODS, GAS_REGISTRY, schema_of
 
 BUCKETS = 1024
+GAS_BUCKETS = "consos_publiees_par_bucket"
 
 
 @dataclass(frozen=True)
@@ -43,6 +46,30 @@ def bucket_of(meter: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(meter), F.lit(buckets)).cast("int")
 
 
+def month_of(stamp: Column) -> Column:
+    """Month of a stamp as text; rows without a stamp share one of their own."""
+    return F.coalesce(F.date_format(stamp, "yyyy-MM"), F.lit("none"))
+
+
+def in_buckets(rows: DataFrame, buckets: list[int]) -> DataFrame:
+    """Rows of some buckets: a filter on the partition column, so other buckets are not opened."""
+    return rows.where(F.col("bucket").isin(buckets))
+
+
+def in_months(rows: DataFrame, touched: list[tuple[int, str]]) -> DataFrame:
+    """Rows of exactly these (bucket, month) partitions."""
+    by_month: dict[str, list[int]] = {}
+    for bucket, month in touched:
+        by_month.setdefault(month, []).append(bucket)
+    wanted = [(F.col("month") == month) & F.col("bucket").isin(buckets) for month, buckets in by_month.items()]
+    return rows.where(reduce(lambda a, b: a | b, wanted, F.lit(False)))
+
+
+def asked_buckets(ids: DataFrame, key: str, buckets: int) -> list[int]:
+    """The buckets of some ids: at most ``buckets`` integers."""
+    return [r.bucket for r in ids.select(bucket_of(F.col(key), buckets).alias("bucket")).distinct().collect()]
+
+
 def _missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
@@ -108,14 +135,35 @@ def read_registry(spark: SparkSession, layout: Layout, version: str) -> DataFram
     return stored.select(*declared, *extra)
 
 
-def _bucketed(schema: T.StructType) -> T.StructType:
+def bucketed(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
 
 
 def read_measures(spark: SparkSession, layout: Layout) -> DataFrame:
-    """Bucketed measurement table, with its ``bucket`` column."""
-    return read_parquet(spark, layout.silver("donnees_mesures"),
-                        _bucketed(schema_of("donnees_mesures")), absent_is_empty=True)
+    """Measurement table with its partition columns ``bucket`` and ``month``."""
+    schema = bucketed(schema_of("donnees_mesures")).add(T.StructField("month", T.StringType()))
+    return read_parquet(spark, layout.silver("donnees_mesures"), schema, absent_is_empty=True)
+
+
+def read_gas_buckets(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Published gas periods by bucket, with their ``bucket`` column."""
+    return read_parquet(spark, layout.silver(GAS_BUCKETS), bucketed(GAS_PERIODS), absent_is_empty=True)
+
+
+def read_asked(spark: SparkSession, layout: Layout, ids: DataFrame, key: str = "sensor_id") -> tuple[DataFrame, DataFrame]:
+    """(gas periods, measurements) of the buckets that hold the asked ids; no other bucket is opened."""
+    gas, measures = read_gas_buckets(spark, layout), read_measures(spark, layout)
+    found = []
+    for rows, table in ((gas, GAS_BUCKETS), (measures, "donnees_mesures")):
+        found.append(in_buckets(rows, asked_buckets(ids, key, agreed_buckets(spark, layout, table, None))))
+    return found[0].drop("bucket"), found[1].drop("bucket", "month")
+
+
+def read_gas_meter(spark: SparkSession, layout: Layout, id_pce: str) -> DataFrame:
+    """Periods of one gas meter: one bucket directory; no rows for a meter that is not stored."""
+    buckets = agreed_buckets(spark, layout, GAS_BUCKETS, None)
+    return read_gas_buckets(spark, layout).where(
+        (F.col("bucket") == bucket_of(F.lit(id_pce), buckets)) & (F.col("id_pce") == id_pce)).drop("bucket")
 
 
 def read_meter(spark: SparkSession, layout: Layout, id_pdl: str, buckets: int | None = None) -> DataFrame:
@@ -124,7 +172,7 @@ def read_meter(spark: SparkSession, layout: Layout, id_pdl: str, buckets: int |
     buckets = agreed_buckets(spark, layout, "donnees_mesures", buckets)
     return rows.where(
         (F.col("bucket") == bucket_of(F.lit(id_pdl), buckets)) & (F.col("id_pdl") == id_pdl)
-    ).drop("bucket")
+    ).drop("bucket", "month")
 
 
 def read_meter_directories(spark: SparkSession, path: str, table: str = "donnees_mesures") -> DataFrame:

@@ -5,21 +5,23 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from meterfold import fixed_values as fv
-from meterfold.functions.dates import parse_day, show_typed_stamp, stamp_literal
-from meterfold.operators.merge import merge_rows
-from meterfold.operators.dedup import keep_first, last_arrived
+from meterfold.functions.dates import iso_stamp, parse_day, show_typed_stamp, stamp_literal
+from meterfold.operators.merge import UPDATED_AT, merge_rows, partial_upsert
+from meterfold.operators.dedup import keep_first, last_arrived, latest_right_order
 from meterfold.operators.quality import require_valid
 from meterfold.sources.lake import (
-    Layout, agreed_buckets, bucket_of, read_measures, read_parquet, read_table,
+    GAS_BUCKETS, Layout, agreed_buckets, asked_buckets, bucket_of, bucketed, in_buckets, in_months, month_of,
+    read_measures, read_parquet, read_table,
 )
-from meterfold.sources.schemas import KEYS, list_columns, schema_of
+from meterfold.session import ensure_checkpoint_dir
+from meterfold.sources.schemas import GAS_PERIODS, KEYS, list_columns, schema_of
 
 MEASURE_INPUT = ["id_pdl", "label", "val", "ts", "date_debut", "date_fin", "fmt", "uuid", "misc"]
 
 
-def in_schema_order(df: DataFrame, table: str) -> DataFrame:
-    """Declared columns in declared order and type; extra columns are dropped."""
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(table)])
+def in_schema_order(df: DataFrame, table: str, *extra: Column) -> DataFrame:
+    """Declared columns in declared order and type, then ``extra``; other columns are dropped."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(table)], *extra)
 
 
 def append_rows(df: DataFrame, layout: Layout, table: str, validate: bool = True) -> int:
@@ -44,13 +46,13 @@ def rewrite_snapshot(current: DataFrame, change, layout: Layout, table: str, ver
     return write_snapshot(current.transform(change), layout, table, version)
 
 
-def prepare_measures(measures: DataFrame, now: datetime) -> DataFrame:
-    """Measurement rows in table form: required columns checked, ingestion stamp, extras dropped."""
+def prepare_measures(measures: DataFrame, now: datetime, *extra: Column) -> DataFrame:
+    """Measurement rows in table form: required columns checked, ingestion stamp, other columns dropped."""
     missing = sorted(set(MEASURE_INPUT) - set(measures.columns))
     if missing:
         raise ValueError(f"colonnes manquantes dans les mesures : {missing}")
     stamped = measures.withColumn("ingestion_ts", stamp_literal(now))
-    return in_schema_order(stamped, "donnees_mesures")
+    return in_schema_order(stamped, "donnees_mesures", *extra)
 
 
 def write_partitions(df: DataFrame, path: str, *partitions: str) -> None:
@@ -59,14 +61,14 @@ def write_partitions(df: DataFrame, path: str, *partitions: str) -> None:
         *partitions).parquet(path)
 
 
-def write_buckets(df: DataFrame, path: str, key: str) -> None:
-    """Replace whole buckets.
+def write_buckets(df: DataFrame, path: str, key: str, *partitions: str) -> None:
+    """Replace whole buckets, or whole (bucket, *partitions).
 
     The rebalance lets adaptive execution split a bucket that holds a very busy meter over
     several tasks and files; ids are sorted inside a file so that row groups can be skipped.
     """
-    spread = df.hint("rebalance", "bucket").sortWithinPartitions("bucket", key)
-    write_partitions(spread, path, "bucket")
+    unit = ["bucket", *partitions]
+    write_partitions(df.hint("rebalance", *unit).sortWithinPartitions(*unit, key), path, *unit)
 
 
 def write_measures(
@@ -79,29 +81,76 @@ def write_measures(
 ) -> int:
     """Keep-latest merge on (meter, label, ts); returns the number of rows merged in.
 
-    Only buckets that receive rows are read and rewritten. The bucket count is stored with the table;
-    another one is refused. With ``null_safe`` a null label or stamp is a value like any other, so
-    that writing the same rows again changes nothing.
+    Only (bucket, month) partitions that receive rows are read and rewritten; the batch itself is computed
+    once. The bucket count is stored with the table; another one is refused. With ``null_safe`` a null label or
+    stamp is a value like any other, so that writing the same rows again changes nothing.
     """
     keys = KEYS["donnees_mesures"]
-    buckets = agreed_buckets(measures.sparkSession, layout, "donnees_mesures", buckets, store=True)
-    require_valid(prepare_measures(measures, now), "donnees_mesures")
-    bucket = bucket_of(F.col("id_pdl"), buckets)
-    # At most ``buckets`` integers, from one narrow column.
-    touched = [r.bucket for r in measures.select(bucket.alias("bucket")).distinct().collect()]
+    spark = measures.sparkSession
+    buckets = agreed_buckets(spark, layout, "donnees_mesures", buckets, store=True)
+    ensure_checkpoint_dir(spark)
+    unit = {"bucket": bucket_of(F.col("id_pdl"), buckets), "month": month_of(F.col("ts"))}
+    batch = prepare_measures(measures, now, F.col(arrival).alias("_arrival")).withColumns(unit).checkpoint()
+    require_valid(batch.drop("_arrival", *unit), "donnees_mesures")
+    # The partitions of one feed: at most ``buckets`` for each month it has rows of.
+    touched = [(r.bucket, r.month) for r in batch.select(*unit).distinct().collect()]
     if not touched:
         return 0
-    incoming = prepare_measures(last_arrived(measures, keys, arrival, null_safe), now)
-    stored = read_measures(measures.sparkSession, layout).where(F.col("bucket").isin(touched))
+    incoming = last_arrived(batch, keys, "_arrival", null_safe).drop("_arrival")
+    stored = in_months(read_measures(spark, layout), touched)
     merged = merge_rows(
-        stored.withColumn("incoming", F.lit(False)),
-        incoming.withColumns({"bucket": bucket, "incoming": F.lit(True)}),
-        ["bucket", *keys],
-        null_safe=null_safe,
-    )
+        stored.withColumn("incoming", F.lit(False)), incoming.withColumn("incoming", F.lit(True)),
+        [*unit, *keys], null_safe=null_safe)
     seen = Observation()
     rows = merged.observe(seen, F.count_if("incoming").alias("n")).drop("incoming")
-    write_buckets(rows, layout.silver("donnees_mesures"), "id_pdl")
+    write_buckets(rows, layout.silver("donnees_mesures"), "id_pdl", "month")
+    return seen.get["n"]
+
+
+def write_gas_periods(periods: DataFrame, layout: Layout, buckets: int | None = None) -> None:
+    """Store published gas periods by bucket; buckets that receive rows are replaced whole."""
+    buckets = agreed_buckets(periods.sparkSession, layout, GAS_BUCKETS, buckets, store=True)
+    rows = periods.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in GAS_PERIODS])
+    write_buckets(rows.withColumn("bucket", bucket_of(F.col("id_pce"), buckets)), layout.silver(GAS_BUCKETS), "id_pce")
+
+
+# --- bucketed registry ---------------------------------------------------------------------
+
+def registry_table(key: str) -> str:
+    return f"registry_{key}"
+
+
+def write_registry(registry: DataFrame, layout: Layout, key: str, buckets: int) -> None:
+    """Store registry rows by bucket; buckets that receive rows are replaced whole."""
+    rows = registry.withColumn("bucket", bucket_of(F.col(key), buckets))
+    write_buckets(rows, layout.silver(registry_table(key)), key)
+
+
+def upsert_registry(
+    records: DataFrame, layout: Layout, schema, now: datetime, key: str = "id_pce",
+    arrival: str = "input_ord", buckets: int | None = None,
+) -> int:
+    """Partial upsert into the bucketed registry; returns the number of ids written.
+
+    Only buckets of the feed's ids are read and rewritten, each once, by one full join of what they hold
+    with the feed. ``schema`` is the stored one; fields that it lacks are refused.
+    """
+    spark = records.sparkSession
+    buckets = agreed_buckets(spark, layout, registry_table(key), buckets, store=True)
+    ensure_checkpoint_dir(spark)
+    named = records.where(F.coalesce(F.col(key), F.lit("")) != "")
+    feed = keep_first(named, [F.col(key)], latest_right_order(arrival)).drop(arrival).checkpoint()
+    unknown = sorted(set(feed.columns) - {*schema.names, "fields_set"})
+    if unknown:
+        raise ValueError(f"colonnes inconnues : {unknown}")
+    touched = asked_buckets(feed, key, buckets)
+    if not touched:
+        return 0
+    stored = read_parquet(spark, layout.silver(registry_table(key)), bucketed(schema), absent_is_empty=True)
+    merged = partial_upsert(in_buckets(stored, touched).drop("bucket"), feed, now, key, arrival=None, one_pass=True)
+    seen = Observation()
+    rows = merged.select(*schema.names).observe(seen, F.count_if(F.col(UPDATED_AT) == iso_stamp(now)).alias("n"))
+    write_registry(rows, layout, key, buckets)
     return seen.get["n"]
 
 

@@ -14,8 +14,9 @@ from meterfold.operators import commands as ops
 from meterfold.operators.dedup import keep_first
 from meterfold.operators.quality import split_valid
 from meterfold.operators.requests import PAIR, accept_spaced
-from meterfold.sources.lake import Layout, bucket_of, read_parquet
-from meterfold.sources.sinks import error_log_rows, write_buckets, write_measures, write_partitions
+from meterfold.sources import sinks
+from meterfold.sources.lake import Layout, bucket_of, bucketed, in_buckets, read_parquet
+from meterfold.sources.sinks import error_log_rows, write_measures, write_partitions
 
 
 def _start(stream: DataFrame, handle, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -50,19 +51,14 @@ def upsert_measures(
 
 # --- commands ------------------------------------------------------------------------------
 
-def registry_path(layout: Layout, book) -> str:
-    return layout.silver(f"registry_{book.KEY}")
-
-
 def write_registry(registry: DataFrame, layout: Layout, book, buckets: int) -> None:
     """Store a registry by bucket, as the command stream expects it."""
-    rows = registry.withColumn("bucket", bucket_of(F.col(book.KEY), buckets))
-    write_buckets(rows, registry_path(layout, book), book.KEY)
+    sinks.write_registry(registry, layout, book.KEY, buckets)
 
 
 def read_registry(spark: SparkSession, layout: Layout, book, schema: T.StructType) -> DataFrame:
-    stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
-    return read_parquet(spark, registry_path(layout, book), stored, absent_is_empty=True)
+    path = layout.silver(sinks.registry_table(book.KEY))
+    return read_parquet(spark, path, bucketed(schema), absent_is_empty=True)
 
 
 def log_path(layout: Layout, book, kind: str) -> str:
@@ -104,7 +100,8 @@ def apply_commands(
                 F.col("batch_id") < batch_id)
             same = (F.col("a.id") == F.col("s.id")) & (F.col("a.seq") == F.col("s.seq"))
             fresh = asked.alias("a").join(seen.alias("s"), same, "left_anti")
-            outcomes, changes = ops.fold(fresh, stored.drop("bucket"), book, now)
+            # Stored once: outcomes and changes come from the same fold.
+            outcomes, changes = ops.fold(fresh, stored.drop("bucket"), book, now, store=True)
             _write_batch(outcomes, outcomes_at, batch_id)
             _write_batch(
                 changes.withColumn("bucket", bucket_of(key, buckets)), changes_at, batch_id)
@@ -119,7 +116,7 @@ def apply_commands(
         # At most ``buckets`` integers.
         touched = [r.bucket for r in changes.select("bucket").distinct().collect()]
         if touched:
-            part = stored.where(F.col("bucket").isin(touched)).drop("bucket")
+            part = in_buckets(stored, touched).drop("bucket")
             merged = ops.apply_changes(part, changes.drop("bucket"), book)
             write_registry(merged, layout, book, buckets)
 

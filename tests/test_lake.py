@@ -69,6 +69,71 @@ def test_gas_periods_layout(spark, tmp_path):
     assert lake.read_gas_periods(spark, layout).head().id_pce == "0012"
 
 
+def files_below(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_a_merge_leaves_other_months_alone(spark, tmp_path):
+    layout = lake.Layout(str(tmp_path))
+    rows = spark.range(60).selectExpr(
+        "lpad(CAST(id % 6 AS STRING), 14, '0') AS id_pdl", "'TOTAL' AS label", "CAST(id AS DOUBLE) AS val",
+        "CASE WHEN id % 20 < 18 THEN CAST(DATE '2024-01-15' + CAST(id % 20 AS INT) * 20 AS TIMESTAMP_NTZ) END AS ts",
+        "DATE '2024-01-01' AS date_debut", "DATE '2024-01-02' AS date_fin", "1 AS fmt", "'u' AS uuid", "'m' AS misc", "id AS arrival")
+    sinks.write_measures(rows, layout, NOW, "arrival", buckets=4, null_safe=True)
+    before = files_below(tmp_path / "silver")
+    feed = rows.where("id_pdl LIKE '%3' AND ts = TIMESTAMP_NTZ '2024-01-15 00:00:00'").withColumn("val", F.lit(-1.0))
+    again = rows.where("id_pdl LIKE '%3'").withColumn("ts", F.lit(None).cast("timestamp_ntz")).withColumn("val", F.lit(-2.0)).limit(1)
+    touched = feed.unionByName(again)
+    n = touched.select("ts").distinct().count()
+    sinks.write_measures(touched, layout, NOW, "arrival", null_safe=True)
+    after = files_below(tmp_path / "silver")
+    changed = {f.rsplit("/", 1)[0] for f, _ in before.items() ^ after.items()}
+    assert 0 < len(changed) <= n and all("month=2024-01" in f or "month=none" in f for f in changed)
+    got = {(r.id_pdl, r.ts): r.val for r in lake.read_measures(spark, layout).collect()}
+    want = {(r.id_pdl, r.ts): r.val for r in rows.orderBy("arrival").collect()}
+    want |= {(r.id_pdl, r.ts): r.val for r in touched.orderBy("arrival").collect()}
+    assert got == want
+
+
+def test_requests_open_their_buckets_only(spark, tmp_path):
+    layout = lake.Layout(str(tmp_path))
+    periods = spark.range(200).selectExpr(
+        "lpad(CAST(id AS STRING), 4, '0') AS id_pce", "'2024-01-01' AS date_debut", "'2024-02-01' AS date_fin",
+        "'1M' AS frequence", "CAST(id AS DOUBLE) AS consommation", "'kWh' AS unite")
+    sinks.write_gas_periods(periods, layout, 16)
+    assert lake.read_gas_buckets(spark, layout).drop("bucket").exceptAll(periods).isEmpty()
+    asked = spark.createDataFrame([("0007",), ("0042",), ("absent",)], "sensor_id string")
+    found, measures_found = lake.read_asked(spark, layout, asked)
+    assert {"0007", "0042"} <= {r.id_pce for r in found.collect()} and measures_found.isEmpty()
+    assert "bucket#" in plan_of(found).split("PartitionFilters")[1].split("]")[0]
+    assert found.select("id_pce").distinct().count() < 100
+    assert [r.consommation for r in lake.read_gas_meter(spark, layout, "0042").collect()] == [42.0]
+    assert lake.read_gas_meter(spark, layout, "absent").isEmpty()
+
+
+def test_a_feed_rewrites_only_its_buckets_of_the_registry(spark, tmp_path):
+    layout = lake.Layout(str(tmp_path))
+    schema = schemas.GAS_REGISTRY
+    base = dict.fromkeys(schema.names)
+    rows = spark.createDataFrame(
+        [tuple({**base, "id_pce": f"P{i}", "etat_droit_acces": "Active"}.values()) for i in range(50)], schema)
+    sinks.agreed_buckets(spark, layout, sinks.registry_table("id_pce"), 8, store=True)
+    sinks.write_registry(rows, layout, "id_pce", 8)
+    before = files_below(tmp_path / "silver")
+    feed = spark.createDataFrame(
+        [("P3", "x", None, 1), ("P3", "y", None, 2), ("NEW", "z", "2024-01-01", 3), (None, "w", None, 4), ("", "w", None, 5)],
+        "id_pce string, nom_titulaire string, date_debut_droit_acces string, input_ord int").withColumn(
+        "date_creation", F.lit(None).cast("string")).withColumn("fields_set", F.array(F.lit("nom_titulaire")))
+    assert sinks.upsert_registry(feed, layout, schema, NOW) == 2
+    changed = {f.split("bucket=")[1].split("/")[0] for f, _ in before.items() ^ files_below(tmp_path / "silver").items()}
+    assert len(changed) <= 2
+    got = {r.id_pce: (r.etat_droit_acces, r.nom_titulaire) for r in spark.read.parquet(layout.silver("registry_id_pce")).collect()}
+    assert len(got) == 51 and got["P3"] == ("Active", "x") and got["NEW"] == (None, "z") and got["P4"] == ("Active", None)
+    assert sinks.upsert_registry(feed.limit(0), layout, schema, NOW) == 0
+    with pytest.raises(ValueError, match="inconnu"):
+        sinks.upsert_registry(feed.withColumn("autre", F.lit(1)), layout, schema, NOW)
+
+
 def test_append_and_count(spark, tmp_path):
     layout = lake.Layout(str(tmp_path))
     errors = spark.createDataFrame([("1", "SGT1", "m", "S", None), ("2", "SGT2", "m", "S", datetime(2024, 1, 1))],
