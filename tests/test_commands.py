@@ -254,7 +254,8 @@ def random_commands(rng, ids, n):
         if op == "create":
             body = changed(GAS_BODY, id_pce=meter, date_debut_droit_acces="2021-01-15",
                            date_fin_droit_acces=day(), raison_sociale_du_titulaire=DROP,
-                           perim_donnees_contractuelles="false")
+                           perim_donnees_contractuelles="false", perim_donnees_informatives="false",
+                           perim_donnees_techniques="true", perim_donnees_publiees="true")
             if body["date_fin_droit_acces"] <= "2021-01-15":
                 body["date_fin_droit_acces"] = "2025-01-15"
         elif op == "patch":
