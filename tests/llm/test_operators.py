@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from meterfold.llm import (
     decontaminate, language_id, line_dedup, mixing, pii, ppm_kernels, repeats, simhash, token_counts, topk, toxicity,
@@ -258,9 +259,31 @@ def test_line_runs_compact(spark):
     assert total == {(1, 1): (5, 4), **{(2, k): (1, k) for k in range(5)}}
     batch = spark.createDataFrame([(1, 1), (9, 9)], "h1 bigint, h2 bigint")
     assert [tuple(r) for r in runs.fresh(batch).collect()] == [(9, 9)]
+    held = [(r.h1, r.h2) for name in runs.names for r in spark.table(name).where("is_new").collect()]
+    assert sorted(held) == sorted(total)  # every key is new in one run only
     runs.close()
 
 
+def test_line_totals_rest_on_the_anti_join(spark, monkeypatch):
+    def total():
+        runs = line_dedup.LineRuns(spark, fanout=3)
+        for k in range(5):
+            runs.add(spark.createDataFrame([(1, 1, k)], "h1 bigint, h2 bigint, doc_id bigint"))
+        rows = sorted((r.n_docs, r.last_doc) for r in runs.merged().collect())
+        runs.close()
+        return rows
+
+    assert total() == [(5, 4)]
+    monkeypatch.setattr(line_dedup.LineRuns, "marked", lambda self, batch: batch.withColumn("is_new", F.lit(True)))
+    assert total() != [(5, 4)]
+
+
+def test_line_buckets_follow_the_size(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert line_dedup.LineRuns(spark).buckets == least
+    assert line_dedup.LineRuns(spark, lines=1000 * line_dedup.BUCKET_LINES + 1).buckets == 1001
+
+
 def mixed_words(spark, rows):
     """Words taken per source, after looking at every document's limit."""
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
