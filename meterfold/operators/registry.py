@@ -2,7 +2,7 @@
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window, functions as F
 from pyspark.sql import types as T
 
 from meterfold import fixed_values as fv
@@ -12,6 +12,9 @@ from meterfold.functions.payload import build_error, payload
 from meterfold.functions.text import bounded_int, clean, strip, truncate, whole_number
 from meterfold.operators.merge import partial_upsert, update_where
 from meterfold.operators.outcomes import error, first_error, invalid
+from meterfold.session import ensure_checkpoint_dir
+
+TOP_ROWS = 10_000  # rows a page may bring together as a top-k
 
 # --- filters -------------------------------------------------------------------------------
 
@@ -158,9 +161,40 @@ def elec_listing(df: DataFrame, statut: str | None) -> DataFrame:
     return df if statut is None else df.where(F.col("statut") == statut)
 
 
-def page(df: DataFrame, order: list[Column], request: Row) -> DataFrame:
-    """Offset/limit slice of an ordered listing: a top-k, no full sort for shallow pages."""
-    return df.orderBy(*order).offset(request.offset).limit(request.limit)
+def page(df: DataFrame, place: Column, request: Row) -> DataFrame:
+    """Offset/limit slice of a listing in the order of ``place``.
+
+    A shallow page is a top-k, which brings offset + limit rows of every task together; a deeper one
+    is located by counts, with the same rows.
+    """
+    if request.offset + request.limit > TOP_ROWS:
+        return deep_page(df, place, request)
+    return df.orderBy(place).offset(request.offset).limit(request.limit)
+
+
+def deep_page(df: DataFrame, place: Column, request: Row) -> DataFrame:
+    """The slice found by order statistics: nothing ahead of the page reaches the driver or one task.
+
+    The places are counted and sorted into ranges once. Rows per range tell which ranges the page
+    lies in, only their places are ranked, and whole rows are read for the places on the page alone.
+    Rows of one place have no order among themselves.
+    """
+    first, end = request.offset, request.offset + request.limit
+    ensure_checkpoint_dir(df.sparkSession)
+    # Sort ranges differ from one run to the next, so they are kept before they are counted.
+    places = df.groupBy(place.alias("_at")).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(
+        "_at").withColumn("part", F.spark_partition_id()).checkpoint()
+    ahead = (Window.unboundedPreceding, -1)
+    parts = places.groupBy("part").agg(F.sum("n").alias("held")).withColumn(
+        "before", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(*ahead)), F.lit(0)))
+    parts = parts.where((F.col("before") < end) & (F.col("before") + F.col("held") > first)).drop("held")
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("_at").rowsBetween(*ahead))
+    ranked = places.join(parts, "part").withColumn("less", F.col("before") + F.coalesce(inside, F.lit(0)))
+    shown = ranked.where((F.col("less") < end) & (F.col("less") + F.col("n") > first)).select("_at", "less")
+    rows = df.withColumn("_at", place).join(shown, "_at")
+    rank = F.row_number().over(Window.partitionBy("_at").orderBy("_at"))
+    rows = rows.withColumn("_rank", F.col("less") + rank - 1).where(F.col("_rank").between(first, end - 1))
+    return rows.orderBy("_rank").select(*df.columns)
 
 
 def page_after(df: DataFrame, key: str, last: str | None, limit: int) -> DataFrame:
@@ -175,23 +209,24 @@ def with_total(page_rows: DataFrame, listing: DataFrame) -> DataFrame:
     return page_rows.withColumn("total", total.scalar())
 
 
-def gas_order() -> list[Column]:
-    return [F.coalesce("id_pce", F.lit(""))]
+def gas_place() -> Column:
+    return F.coalesce("id_pce", F.lit(""))
 
 
-def elec_order() -> list[Column]:
-    return [F.col("id_pdl").asc_nulls_last()]
+def elec_place() -> Column:
+    """Rows without an id come last."""
+    return F.struct(F.col("id_pdl").isNull().alias("none"), F.coalesce("id_pdl", F.lit("")).alias("id"))
 
 
 def gas_page(df: DataFrame, request: Row) -> DataFrame:
     """The asked page of the gas list, with the row count of the whole list."""
     listing = gas_listing(df, request.statut)
-    return with_total(gas_view(page(listing, gas_order(), request), light=True), listing)
+    return with_total(gas_view(page(listing, gas_place(), request), light=True), listing)
 
 
 def elec_page(df: DataFrame, request: Row) -> DataFrame:
     listing = elec_listing(df, request.statut)
-    return with_total(elec_view(page(listing, elec_order(), request)), listing)
+    return with_total(elec_view(page(listing, elec_place(), request)), listing)
 
 
 # --- bookkeeping by the collecting jobs -----------------------------------------------------

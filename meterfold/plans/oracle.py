@@ -814,6 +814,12 @@ ORACLES = {
     "list_page_elec": f"""WITH l AS (SELECT * FROM {_PDL} WHERE statut = 'traite'),
       p AS (SELECT * FROM l ORDER BY id_pdl LIMIT 50 OFFSET 120)
       SELECT v.*, (SELECT count(*) FROM l) AS total FROM ({_elec_view('p')}) v""",
+    "list_page_deep": f"""WITH l AS (SELECT * FROM {_REG}),
+      p AS (SELECT * FROM l ORDER BY id_pce LIMIT 100 OFFSET 13500)
+      SELECT v.*, (SELECT count(*) FROM l) AS total FROM ({_gas_view('p', True)}) v""",
+    "list_page_deep_elec": f"""WITH l AS (SELECT * FROM {_PDL}),
+      p AS (SELECT * FROM l ORDER BY id_pdl LIMIT 70 OFFSET 14100)
+      SELECT v.*, (SELECT count(*) FROM l) AS total FROM ({_elec_view('p')}) v""",
     "listing_checks": _listing_checks(),
     "list_after_key": f"""SELECT {_DUMP} FROM {_REG} WHERE id_pce > 'PCE00000000700'
       ORDER BY id_pce LIMIT 50""",

@@ -235,6 +235,18 @@ def list_page_elec(spark, sf):
     return _plain_payload(registry.elec_page(rows, wanted))
 
 
+def list_page_deep(spark, sf):
+    rows = a.build(spark, sf, a.GAS_REGISTRY)
+    wanted = registry.page_request(spark, None, "100", "13500")
+    return _plain_payload(registry.gas_page(rows, wanted))
+
+
+def list_page_deep_elec(spark, sf):
+    rows = a.build(spark, sf, a.PDL)
+    wanted = registry.page_request(spark, None, "70", "14100", fv.ELEC_STATES)
+    return _plain_payload(registry.elec_page(rows, wanted))
+
+
 def listing_checks(spark, sf):
     """The parameters of listing requests, checked as a table."""
     checked = registry.check_listings(a.build(spark, sf, a.LISTINGS))
@@ -604,6 +616,8 @@ QUERIES = {
     "active_without_field": active_without_field,
     "list_page": list_page,
     "list_page_elec": list_page_elec,
+    "list_page_deep": list_page_deep,
+    "list_page_deep_elec": list_page_deep_elec,
     "listing_checks": listing_checks,
     "list_after_key": list_after_key,
     "count_by_status": count_by_status,

@@ -128,6 +128,30 @@ def test_paging(spark):
     assert registry.gas_listing(df, "nouveau").count() == 0
 
 
+@pytest.mark.parametrize("offset", [0, 3, 41, 90, 118, 119, 500])
+def test_deep_page_equals_the_sorted_slice(spark, offset):
+    ids = [f"{(i * 37) % 101:014d}" for i in range(101)] + [None] * 12 + ["00000000000040"] * 6
+    df = spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id_pdl string, n int").repartition(5)
+    wanted = registry.page_request(spark, limit="9", offset=str(offset))
+    got = registry.deep_page(df, registry.elec_place(), wanted)
+    ordered = sorted(ids, key=lambda i: (i is None, i or ""))
+    rows = got.collect()
+    assert got.columns == df.columns
+    assert [r.id_pdl for r in rows] == ordered[offset:offset + 9]
+    assert len({r.n for r in rows}) == len(rows) and all(ids[r.n] == r.id_pdl for r in rows)
+
+
+def test_only_deep_pages_are_located_by_counts(spark, monkeypatch):
+    df = spark.range(50).selectExpr("lpad(cast(id AS string), 4, '0') AS id_pce")
+    plans = []
+    for top in (10, 1000):
+        monkeypatch.setattr(registry, "TOP_ROWS", top)
+        out = registry.page(df, registry.gas_place(), registry.page_request(spark, limit="4", offset="30"))
+        assert [r.id_pce for r in out.collect()] == ["0030", "0031", "0032", "0033"]
+        plans.append(plan_of(out))
+    assert "Offset" not in plans[0] and "TakeOrdered" not in plans[0] and "TakeOrdered" in plans[1]
+
+
 @pytest.mark.parametrize("given,champ", [
     ({"limit": "0"}, "limit"), ({"limit": "500"}, "limit"), ({"limit": "abc"}, "limit"), ({"limit": "-3"}, "limit"),
     ({"offset": "-1"}, "offset"), ({"statut": "Cloturé"}, "statut")])
