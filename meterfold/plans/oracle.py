@@ -862,6 +862,11 @@ ORACLES = {
       DATE '2024-01-05' AS date_debut_demandee, CAST(datetime_requete AS DATE) AS date_fin_demandee,
       '{_NOW_SHOWN}' AS datetime_requete, CAST(NULL AS VARCHAR) AS date_premiere_valeur,
       'false' AS fichier_traite FROM {cte(a.HISTORY)}""",
+    "history_requests_store": f"""SELECT id_affaire, id_pdl, code_prestation, 'false' AS mesures_corrigees,
+      'COURBES' AS mesures_type_code, CAST(NULL AS VARCHAR) AS mesures_pas,
+      DATE '2024-01-05' AS date_debut_demandee, CAST(datetime_requete AS DATE) AS date_fin_demandee,
+      '{_NOW_SHOWN}' AS datetime_requete, CAST(NULL AS VARCHAR) AS date_premiere_valeur,
+      'false' AS fichier_traite FROM {cte(a.HISTORY)}""",
     "error_payload": f"""SELECT event_id, CASE WHEN lower({clean('raw')}) = 'null' THEN NULL
         ELSE {clean('raw')} END AS text,
       coalesce({clean('raw')} LIKE '{{%', FALSE) AS is_json,
@@ -881,6 +886,10 @@ ORACLES = {
         || CASE WHEN suffix <> '' THEN '__' || suffix ELSE '' END || '.xml' AS blob_path, arrival,
         md5(xml) AS xml_md5 FROM {cte(a.RESPONSES)}
       QUALIFY row_number() OVER (PARTITION BY blob_path ORDER BY arrival) = 1""",
+    "migrate_store": f"SELECT id_pdl, 'LEGACY' AS platform_code, statut FROM {_PDL}",
+    "archive_store": f"""SELECT endpoint, id_pdl, arrival, md5(xml) AS xml_md5, '{_NOW_SHOWN[:10]}' AS day
+      FROM {cte(a.RESPONSES)} QUALIFY row_number() OVER (
+        PARTITION BY endpoint, id_pdl, coalesce(suffix, '') ORDER BY arrival % 3 <> 0, arrival) = 1""",
     "access_audit": _access_audit(),
     # 198.51.100-103.even, and 100.64.k.* for every third k.
     "access_audit_many": _access_audit(

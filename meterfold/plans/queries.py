@@ -467,6 +467,19 @@ def history_requests(spark, sf):
     ).withColumn("date_premiere_valeur", show_typed_stamp(F.col("date_premiere_valeur")))
 
 
+def history_requests_store(spark, sf):
+    """Sent requests stored in two batches, the second of which repeats the first."""
+    layout = Layout(scratch_root(spark))
+    sent = a.build(spark, sf, a.HISTORY).selectExpr(
+        "id_affaire", "id_pdl", "code_prestation", "'false' AS mesures_corrigees",
+        "'COURBES' AS mesures_type_code", "'2024-1-5' AS date_debut_demandee",
+        "CAST(CAST(datetime_requete AS DATE) AS STRING) AS date_fin_demandee")
+    sinks.log_history_requests(sent.where(F.col("id_affaire").endswith("3")), layout, NOW)
+    sinks.log_history_requests(sent, layout, NOW, ignore_known=True)
+    return read_table(spark, layout, "demandes_historique").withColumns({
+        c: show_typed_stamp(F.col(c)) for c in ("datetime_requete", "date_premiere_valeur")})
+
+
 # --- scalar functions ----------------------------------------------------------------------
 
 def error_payload(spark, sf):
@@ -508,6 +521,23 @@ def migrate_backfill(spark, sf):
         "id_pdl", "platform_code", "statut")
 
 
+def migrate_store(spark, sf):
+    """The migrated table, written as a snapshot and read back."""
+    old = a.build(spark, sf, a.PDL).drop("platform_code")
+    path = sinks.migrate(old, Layout(scratch_root(spark)), "pdl", "platform_code", "1", apply=True)
+    return spark.read.parquet(path).select("id_pdl", "platform_code", "statut")
+
+
+def archive_store(spark, sf):
+    """Responses archived in two batches, the second of which repeats the first."""
+    layout, responses = Layout(scratch_root(spark)), a.build(spark, sf, a.RESPONSES)
+    for batch in (responses.where("arrival % 3 = 0"), responses):
+        sinks.write_archive(batch, layout, stamp_literal(NOW))
+    kept = spark.read.parquet(f"{layout.bronze()}/responses")
+    return kept.select("endpoint", "id_pdl", "arrival", F.md5("xml").alias("xml_md5"),
+                       F.date_format("day", "yyyy-MM-dd").alias("day"))
+
+
 def bronze_archive(spark, sf):
     kept = sinks.archive_rows(a.build(spark, sf, a.RESPONSES), Layout("lake"), stamp_literal(NOW))
     return kept.select("blob_path", "arrival", F.md5("xml").alias("xml_md5"))
@@ -650,13 +680,16 @@ QUERIES = {
     "error_set_clear": error_set_clear,
     "error_log": error_log,
     "history_requests": history_requests,
+    "history_requests_store": history_requests_store,
     "error_payload": error_payload,
     "json_commands": json_commands,
     "lenient_days": lenient_days,
     "format_timestamps": format_timestamps,
     "bool_dialects": bool_dialects,
     "migrate_backfill": migrate_backfill,
+    "migrate_store": migrate_store,
     "bronze_archive": bronze_archive,
+    "archive_store": archive_store,
     "access_audit": access_audit,
     "access_audit_many": access_audit_many,
     "stream_measures": stream_measures,

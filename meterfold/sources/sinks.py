@@ -172,15 +172,26 @@ def archive_rows(responses: DataFrame, layout: Layout, stamp: Column) -> DataFra
     return keep_first(named, [F.col("blob_path")], [F.col("arrival").asc()])
 
 
+def archive_day(blob_path: Column) -> Column:
+    """The day in the file name of an archive path, a fixed word where there is none."""
+    day = F.substring(F.substring_index(blob_path, "/", -1), 1, 10)
+    return F.when(day.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), day).otherwise(F.lit("sans_date"))
+
+
 def write_archive(responses: DataFrame, layout: Layout, stamp: Column) -> int:
-    """Append raw responses by endpoint; paths already archived are left as they are."""
-    rows = archive_rows(responses, layout, stamp)
-    path = f"{layout.bronze()}/responses"
-    stored = read_parquet(rows.sparkSession, path, rows.schema, absent_is_empty=True)
+    """Append raw responses by day and endpoint; paths already archived are left as they are.
+
+    Equal paths have equal days, so only the paths stored for the batch's days are read.
+    """
+    spark, path = responses.sparkSession, f"{layout.bronze()}/responses"
+    ensure_checkpoint_dir(spark)
+    rows = archive_rows(responses, layout, stamp).withColumn("day", archive_day(F.col("blob_path"))).checkpoint()
+    days = [r.day for r in rows.select("day").distinct().collect()]
+    stored = read_parquet(spark, path, rows.schema, absent_is_empty=True).where(F.col("day").isin(days))
     fresh = rows.join(stored.select("blob_path"), "blob_path", "left_anti")
     seen = Observation()
     fresh.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(
-        "endpoint").parquet(path)
+        "day", "endpoint").parquet(path)
     return seen.get["n"]
 
 

@@ -186,6 +186,23 @@ def test_archive_never_overwrites(spark, tmp_path):
         ("enedis/dtc/P1/2026-06-16T09-03-16.xml", "<a/>"), ("enedis/dtc/P1/2026-06-16T09-03-16__R50.xml", "<c/>")}
 
 
+def test_archive_reads_and_writes_the_days_of_a_batch(spark, tmp_path):
+    layout = lake.Layout(str(tmp_path))
+    rows = spark.createDataFrame([("dtc", "P1", None, "<a/>", 1, "2024-03-01 10:00:00"), ("dtc", "P1", None, "<b/>", 2, "2024-03-02 10:00:00"),
+                                  ("dtc", "P2", None, "<c/>", 3, None)],
+                                 "endpoint string, id_pdl string, suffix string, xml string, arrival int, at string")
+    rows = rows.withColumn("at", F.col("at").cast("timestamp_ntz"))
+    stamp = F.coalesce("at", stamp_literal(NOW))
+    assert sinks.write_archive(rows.limit(0), layout, stamp) == 0
+    assert sinks.write_archive(rows.where("arrival <> 2"), layout, stamp) == 2
+    old = list(tmp_path.rglob("day=2024-03-01/**/*.parquet"))
+    assert len(old) == 1
+    old.pop().write_bytes(b"broken")  # a batch of other days must not open it
+    assert sinks.write_archive(rows.where("arrival > 1"), layout, stamp) == 1
+    assert {p.name for p in (tmp_path / "bronze/enedis/responses").iterdir() if p.is_dir()} == {
+        "day=2024-03-01", "day=2024-03-02", f"day={NOW:%Y-%m-%d}"}
+
+
 def test_migration(spark, tmp_path):
     layout = lake.Layout(str(tmp_path))
     base = dict.fromkeys(schemas.PDL.fieldNames()) | {"id_pdl": "P1", "get_cdc": "true", "get_dm": "true", "statut": "traite"}
