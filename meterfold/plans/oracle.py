@@ -891,6 +891,8 @@ ORACLES = {
       FROM {cte(a.RESPONSES)} QUALIFY row_number() OVER (
         PARTITION BY endpoint, id_pdl, coalesce(suffix, '') ORDER BY arrival % 3 <> 0, arrival) = 1""",
     "access_audit": _access_audit(),
+    "access_refusals": f"""SELECT event_id, client_hex, 403 AS http_status, '{fv.IP_REFUSED}' AS erreur,
+      '{fv.TEXT["ip_refused"].replace("'", "''")}' AS message FROM ({_access_audit()}) WHERE NOT allowed""",
     # 198.51.100-103.even, and 100.64.k.* for every third k.
     "access_audit_many": _access_audit(
         f"(ip // 1024 = {((198 * 256 + 51) * 256 + 100) // 4} AND ip % 2 = 0) OR "

@@ -548,6 +548,11 @@ def access_audit(spark, sf):
     return audited.select("event_id", "client_hex", "allowed")
 
 
+def access_refusals(spark, sf):
+    audited = access.audit_access(a.build(spark, sf, a.ACCESS_LOG), a.ALLOWED_IPS)
+    return access.refusals(audited).select("event_id", "client_hex", "http_status", "erreur", "message")
+
+
 def access_audit_many(spark, sf):
     """The audit with a list of more than a thousand networks."""
     audited = access.audit_access(a.build(spark, sf, a.ACCESS_LOG), a.MANY_IPS)
@@ -692,6 +697,7 @@ QUERIES = {
     "archive_store": archive_store,
     "access_audit": access_audit,
     "access_audit_many": access_audit_many,
+    "access_refusals": access_refusals,
     "stream_measures": stream_measures,
     "stream_commands": stream_commands,
     "stream_suppress": stream_suppress,

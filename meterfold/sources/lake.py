@@ -74,17 +74,25 @@ def _missing(error: AnalysisException) -> bool:
     return error.getCondition() == "PATH_NOT_FOUND"
 
 
-def read_parquet(spark: SparkSession, path: str, schema: T.StructType,
-                 absent_is_empty: bool = False) -> DataFrame:
-    """Read with a declared schema (ids keep leading zeros, nothing is inferred)."""
+def find_parquet(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
+    """Read with a declared schema; None where nothing was ever written."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
-        if absent_is_empty and _missing(error):
-            return spark.createDataFrame([], schema)
+        if _missing(error):
+            return None
         raise
 
 
+def read_parquet(spark: SparkSession, path: str, schema: T.StructType,
+                 absent_is_empty: bool = False) -> DataFrame:
+    """Read with a declared schema (ids keep leading zeros, nothing is inferred)."""
+    if not absent_is_empty:
+        return spark.read.schema(schema).parquet(path)
+    found = find_parquet(spark, path, schema)
+    return spark.createDataFrame([], schema) if found is None else found
+
+
 def read_table(spark: SparkSession, layout: Layout, table: str, absent_is_empty: bool = False) -> DataFrame:
     """All rows of a table: those appended and those that micro-batches wrote.
 
@@ -92,9 +100,9 @@ def read_table(spark: SparkSession, layout: Layout, table: str, absent_is_empty:
     partition folders. A table that was never written raises, unless ``absent_is_empty``.
     """
     schema = schema_of(table)
-    streamed = read_parquet(spark, layout.batches(table), schema, absent_is_empty=True).select(*schema.names)
-    appended = read_parquet(spark, layout.silver(table), schema, absent_is_empty=absent_is_empty or bool(streamed.inputFiles()))
-    return appended.unionByName(streamed)
+    streamed = find_parquet(spark, layout.batches(table), schema)
+    appended = read_parquet(spark, layout.silver(table), schema, absent_is_empty or streamed is not None)
+    return appended if streamed is None else appended.unionByName(streamed.select(*schema.names))
 
 
 def stored_buckets(spark: SparkSession, layout: Layout, table: str) -> int | None:
