@@ -55,16 +55,11 @@ def blocks(counts: DataFrame, max_cells: int = MAX_CELLS):
 
 
 def model(counts: DataFrame, langs: list):
-    """A function that builds the frozen model of ``langs``, a run of the languages in order."""
+    """What builds the frozen model of ``langs``, a run of the languages in order, in a task."""
     kept = counts.where(F.col("lang").between(langs[0], langs[-1]) if langs else F.lit(False)).select(
         "lang", "code", "n").toArrow()
-    packed = (pc.index_in(kept["lang"], pa.array(langs, pa.string())).to_numpy(),
-              kept["code"].to_numpy().astype(np.uint32), kept["n"].to_numpy())
-
-    def make():
-        return kernels.Model(langs, *packed)
-
-    return make
+    return kernels.maker(langs, pc.index_in(kept["lang"], pa.array(langs, pa.string())).to_numpy(),
+                         kept["code"].to_numpy().astype(np.uint32), kept["n"].to_numpy())
 
 
 def identify(docs: DataFrame, training: DataFrame, max_cells: int = MAX_CELLS) -> DataFrame:

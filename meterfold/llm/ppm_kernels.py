@@ -164,6 +164,11 @@ class Model:
         return sums[ends] - sums[starts]
 
 
+def maker(langs, lang, code, n):
+    """A function that builds the model; it lives here, so that tasks load it without the library."""
+    return lambda: Model(langs, lang, code, n)
+
+
 def predict(make, unknown):
     """Batches of (doc_id, text) to (doc_id, lang_pred, score, bits_per_byte, bits)."""
 

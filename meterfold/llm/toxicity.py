@@ -30,19 +30,19 @@ SPREAD = 64
 LEAST_EVIDENCE = 30.0
 LEAST_SUPPORT = 4
 LEAST_WEIGHT = 3.0
-MAX_WORDS = 100_000
-MAX_PHRASES = 100_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most ``sample`` labelled training documents per label."""
+    """(text, toxic) of at most ``sample`` labelled training documents per label, one text per id."""
     given = labels.where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy(
         "doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     order = [F.xxhash64(F.lit(7), "doc_id"), "doc_id"]
     parts = [given.where(F.col("toxic") == y).orderBy(*order).limit(sample) for y in (0, 1)]
     ids = parts[0].unionByName(parts[1])
-    # At most 2 * sample ids, whatever the size of the tables.
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
+    # At most 2 * sample ids, whatever the size of the tables. Rows that repeat an id count once.
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(
+        first.alias("first"), F.first("toxic").alias("toxic")).select("first.text", "toxic")
 
 
 def _evidence(clean: Column, toxic: Column, n_clean: float, n_toxic: float) -> Column:
@@ -56,30 +56,28 @@ def _evidence(clean: Column, toxic: Column, n_clean: float, n_toxic: float) -> C
 
 def learn(sample: DataFrame) -> dict:
     """Weights, exceptions and curve from labelled (text, toxic) rows; a bounded model."""
-    sample = written(sample)
+    sample = written(sample.repartition(SPREAD))
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     model = {"weights": {}, "exceptions": [], "intercept": -30.0, "slope": 0.0}
     if not n.get(0) or not n.get(1):
         return model
-    # Spread over tasks of its own, so the neighbour pairs a task holds stay few whatever the file sizes.
-    counted = sample.repartition(SPREAD, F.xxhash64("text")).mapInArrow(
-        kernels.word_counts, "word string, clean long, toxic long, contexts array<string>")
-    words = counted.groupBy("word").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"),
-        F.flatten(F.collect_list("contexts")).alias("contexts")).where(F.col("toxic") >= LEAST_SUPPORT)
-    support = F.least("toxic", F.size(F.array_distinct("contexts"))).cast("double")
-    words = words.withColumn("support", support)
+    # Different neighbour pairs are counted in two steps, each combined in the tasks first: however common
+    # a word is, no row holds its pairs.
+    counted = sample.mapInArrow(kernels.word_counts, "word string, pair long, clean long, toxic long")
+    words = counted.groupBy("word", "pair").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).groupBy(
+        "word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"), F.count("pair").alias("pairs"))
+    words = words.withColumn("support", F.least("toxic", "pairs").cast("double"))
     clean = F.col("clean").cast("double")
     weight = F.log((F.col("support") + 0.5) / (n[1] + 1)) - F.log((clean + 0.5) / (n[0] + 1))
     lexicon = words.where(
         (F.col("support") >= LEAST_SUPPORT) & (weight >= LEAST_WEIGHT)
         & (_evidence(clean, F.col("support"), float(n[0]), float(n[1])) >= LEAST_EVIDENCE)
-    ).select("word", weight.alias("weight")).orderBy(F.desc("weight"), "word").limit(MAX_WORDS).collect()
+    ).select("word", weight.alias("weight")).orderBy("word").collect()
     model["weights"] = {r.word: r.weight for r in lexicon}
     phrases = sample.mapInArrow(kernels.phrase_counts(list(model["weights"])), "phrase string, toxic int")
     model["exceptions"] = [r.phrase for r in phrases.groupBy("phrase").agg(
         F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n")).where(
-        (F.col("toxic") == 0) & (F.col("n") >= 3)).orderBy("phrase").limit(MAX_PHRASES).collect()]
+        (F.col("toxic") == 0) & (F.col("n") >= 3)).orderBy("phrase").collect()]
     points = sample.mapInArrow(
         kernels.measured(model["weights"], model["exceptions"]), "x double, toxic int").groupBy(
         F.round("x", 3).alias("x"), "toxic").agg(F.count(F.lit(1)).alias("n")).toPandas()

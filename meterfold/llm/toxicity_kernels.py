@@ -8,6 +8,7 @@ import unicodedata
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 from meterfold.llm.common import ship
 
@@ -23,6 +24,7 @@ HOMOGLYPHS = {
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b"}
 HIDDEN = {c: None for c in "­​‌‍⁠﻿"}
 _TABLE = str.maketrans({**HOMOGLYPHS, **DIGITS, **HIDDEN})
+HELD = 1 << 20
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -33,25 +35,35 @@ def folded(text):
 
 
 def word_counts(batches):
-    """Batches of (text, toxic) to (word, clean, toxic, contexts) per task.
+    """Batches of (text, toxic) to (word, pair, clean, toxic), to be summed by word and pair.
 
-    clean and toxic count documents; contexts are hashes of the neighbours in toxic documents.
+    Rows without a pair count documents; the others name a pair of neighbours that the word has in a
+    toxic document, by its hash. What a task holds is sent on when it has ``HELD`` entries.
     """
-    held = {}
+    seen, pairs = {}, set()
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
             words = folded(text or "").split()
             for word in set(words):
-                held.setdefault(word, [0, 0, set()])[1 if toxic else 0] += 1
+                seen.setdefault(word, [0, 0])[1 if toxic else 0] += 1
             if toxic:
                 for a, word, b in zip(["", *words], words, [*words[1:], ""]):
-                    held[word][2].add((a, b))
-    if held:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(held), pa.string()), pa.array([x[0] for x in held.values()], pa.int64()),
-             pa.array([x[1] for x in held.values()], pa.int64()),
-             pa.array([[f"{a} {b}" for a, b in x[2]] for x in held.values()], pa.list_(pa.string()))],
-            names=["word", "clean", "toxic", "contexts"])
+                    pairs.add((word, f"{a} {b}"))
+            if len(seen) + len(pairs) >= HELD:
+                yield _counted(seen, pairs)
+                seen, pairs = {}, set()
+    yield _counted(seen, pairs)
+
+
+def _counted(seen, pairs):
+    hashes = [xxhash.xxh64_intdigest(p) - (1 << 63) for _, p in pairs]
+    none = [0] * len(pairs)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([*seen, *(w for w, _ in pairs)], pa.string()),
+         pa.array([None] * len(seen) + hashes, pa.int64()),
+         pa.array([x[0] for x in seen.values()] + none, pa.int64()),
+         pa.array([x[1] for x in seen.values()] + none, pa.int64())],
+        names=["word", "pair", "clean", "toxic"])
 
 
 def phrase_counts(words):
