@@ -1,7 +1,7 @@
 """Client address from a forwarding header, as fixed-width hexadecimal (8 or 32 digits).
 
-Equal-width lowercase hexadecimal sorts and prefixes like the number itself, so one text column
-serves both address families and network membership is a prefix equality.
+Equal-width lowercase hexadecimal sorts like the number itself, so one text column serves both
+address families and a network is a range of texts.
 """
 
 import ipaddress
@@ -27,7 +27,7 @@ def without_port(last: Column) -> Column:
 
 def last_hop(header: Column) -> Column:
     """Last ``X-Forwarded-For`` entry without its port or brackets."""
-    return without_port(clean(F.element_at(F.split(header, ","), -1)))
+    return bind(clean(F.element_at(F.split(header, ","), -1)), without_port)
 
 
 def _octets_hex(v4: Column) -> Column:
@@ -81,48 +81,62 @@ def ipv6_hex(addr: Column) -> Column:
     return bind(_hex_groups(addr), _expand)
 
 
-def with_client_hex(log: DataFrame, header: str, name: str) -> DataFrame:
-    """Add the client address of a forwarding header as hex digits, step by step.
+def address_hex(addr: Column) -> Column:
+    return F.coalesce(ipv4_hex(addr), F.when(addr.contains(":"), ipv6_hex(addr)))
 
-    Separate columns keep each step computed once per row.
-    """
-    steps = log.withColumn("_last", clean(F.element_at(F.split(F.col(header), ","), -1)))
-    steps = steps.withColumn("_host", without_port(F.col("_last")))
-    host = F.col("_host")
-    steps = steps.withColumn("_groups", F.when(host.contains(":"), _hex_groups(host)))
-    digits = F.coalesce(ipv4_hex(host), F.when(F.col("_groups").isNotNull(), _expand(F.col("_groups"))))
-    return steps.withColumn(name, digits).drop("_last", "_host", "_groups")
 
+def with_client_hex(log: DataFrame, header: str, name: str) -> DataFrame:
+    """Add the client address of a forwarding header as hex digits.
 
-def address_hex(addr: Column) -> Column:
-    return F.coalesce(ipv4_hex(addr), F.when(addr.contains(":"), ipv6_hex(addr)))
+    Each step is bound, so a filter on the result that is pushed below repeats no step.
+    """
+    return log.withColumn(name, bind(last_hop(F.col(header)), address_hex))
 
 
-def prefix_key(digits: Column, bits: int) -> Column:
-    """The first ``bits`` bits of a hexadecimal address as text."""
-    whole, rest = divmod(bits, 4)
-    head = F.substring(digits, 1, whole) if whole else F.lit("")
-    if not rest:
-        return head
-    nibble = F.conv(F.substring(digits, whole + 1, 1), 16, 10).cast("int")
-    return F.concat(head, F.hex(F.shiftright(nibble, 4 - rest)))
+def address_key(digits: Column) -> Column:
+    """Addresses as text in order: all of the short kind before all of the long kind."""
+    return bind(digits, lambda d: F.concat(F.when(F.length(d) == 8, "4").otherwise("6"), d))
 
 
-def parse_networks(setting: str) -> list[tuple[int, int, str]]:
-    """Allowlist setting to (address width in hex digits, prefix bits, prefix key) triples.
+def parse_ranges(setting: str) -> list[tuple[str, str]]:
+    """Allowlist setting to disjoint ranges of address keys, both ends included, in order.
 
-    Entries that are neither an address nor a network are ignored.
+    Entries that are neither an address nor a network are ignored; networks that lie inside or right
+    behind one another become one range.
     """
-    networks = set()
+    networks = {4: [], 6: []}
     for entry in filter(None, (part.strip() for part in setting.split(","))):
         try:
-            net = ipaddress.ip_network(entry, strict=False)
+            network = ipaddress.ip_network(entry, strict=False)
         except ValueError:
             continue
-        digits = net.network_address.packed.hex()
-        whole, rest = divmod(net.prefixlen, 4)
-        key = digits[:whole]
-        if rest:
-            key += f"{int(digits[whole], 16) >> (4 - rest):X}"
-        networks.add((len(digits), net.prefixlen, key))
-    return sorted(networks)
+        networks[network.version].append(network)
+    ranges = []
+    for version, found in networks.items():
+        digits = 8 if version == 4 else 32
+        past = None
+        for network in ipaddress.collapse_addresses(found):
+            first, last = int(network.network_address), int(network.broadcast_address)
+            if first == past:
+                ranges[-1] = (ranges[-1][0], f"{version}{last:0{digits}x}")
+            else:
+                ranges.append((f"{version}{first:0{digits}x}", f"{version}{last:0{digits}x}"))
+            past = last + 1
+    return ranges
+
+
+def in_ranges(key: Column, ranges: list[tuple[str, str]]) -> Column:
+    """Whether a key lies in one of the disjoint, ordered ranges; false for null.
+
+    A binary search over two constant arrays: the last range that starts at or before the key is found
+    by halving steps, and its end decides.
+    """
+    starts, ends = (F.split(F.lit(",".join(side)), ",") for side in zip(*ranges))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(ranges).bit_length()))])
+
+    def search(key: Column) -> Column:
+        place = F.aggregate(steps, F.lit(-1), lambda at, step: F.when(
+            F.get(starts, at + step) <= key, at + step).otherwise(at))
+        return bind(place, lambda at: (at >= 0) & (key <= F.get(ends, at)))
+
+    return F.coalesce(bind(key, search), F.lit(False))

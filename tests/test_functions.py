@@ -128,13 +128,24 @@ def test_last_hop(spark):
         "198.51.100.1", "203.0.113.8", "100.64.0.5", "::1", "::1", None, None, None]
 
 
-def test_prefix_key_matches_networks(spark):
-    digits = "20010db8abcd0012"
-    for bits in (0, 1, 3, 4, 7, 32, 45, 64):
-        got = spark.range(1).select(net.prefix_key(F.lit(digits), bits).alias("k")).head().k
-        other = hex(int(digits, 16) ^ (1 << (63 - bits)) if bits < 64 else int(digits, 16))[2:].zfill(16)
-        same = spark.range(1).select(net.prefix_key(F.lit(other), bits).alias("k")).head().k
-        assert got == same
+def test_ranges_hold_the_addresses_of_their_networks(spark):
+    rng = random.Random(8)
+    for size in (1, 2, 3, 7, 8, 9, 200):
+        networks = [ipaddress.ip_network((rng.getrandbits(12) << 20, rng.randint(8, 32)), strict=False)
+                    for _ in range(size)] + [ipaddress.ip_network("2001:db8::/33")]
+        ranges = net.parse_ranges(", zut,, ".join(map(str, networks)))
+        assert ranges == sorted(ranges) and all(b < c for (_, b), (c, _) in zip(ranges, ranges[1:]))
+        edges = [n.network_address + k for n in networks[:40] for k in (-1, 0, 1) if int(n.network_address)]
+        edges += [n.broadcast_address + 1 for n in networks[:40] if int(n.broadcast_address) < 2**32 - 1]
+        edges += [ipaddress.ip_address(x) for x in ("0.0.0.0", "255.255.255.255", "::", "2001:db8:7fff::", "ffff::")]
+        got = spark.createDataFrame([(a.packed.hex(),) for a in edges] + [(None,)], "a string").select(
+            net.in_ranges(net.address_key(F.col("a")), ranges).alias("in")).collect()
+        assert [r[0] for r in got] == [any(a in n for n in networks) for a in edges] + [False]
+
+
+def test_neighbouring_networks_are_one_range():
+    assert net.parse_ranges("10.0.1.0/24, 10.0.0.0/24, 10.0.2.0/25, 10.0.1.7, 10.0.4.0/24") == [
+        ("40a000000", "40a00027f"), ("40a000400", "40a0004ff")]
 
 
 def test_typed_day(spark):
