@@ -522,8 +522,8 @@ def migrate_backfill(spark, sf):
 
 
 def migrate_store(spark, sf):
-    """The migrated table, written as a snapshot and read back."""
-    old = a.build(spark, sf, a.PDL).drop("platform_code")
+    """The migrated table, written as a snapshot and read back; the stored one has its declared defaults."""
+    old = sinks.with_defaults(a.build(spark, sf, a.PDL).drop("platform_code"), "pdl")
     path = sinks.migrate(old, Layout(scratch_root(spark)), "pdl", "platform_code", "1", apply=True)
     return spark.read.parquet(path).select("id_pdl", "platform_code", "statut")
 

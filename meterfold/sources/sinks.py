@@ -205,6 +205,13 @@ def add_backfilled(df: DataFrame, table: str, column: str, value: str) -> DataFr
     return df.withColumn(column, F.lit(value)).select(*list_columns(table))
 
 
+def with_defaults(df: DataFrame, table: str) -> DataFrame:
+    """Required columns that hold nothing take their declared default, as a stored table has it."""
+    declared = {f.name: f.metadata.get("default") for f in schema_of(table) if not f.nullable}
+    return df.withColumns({
+        c: F.coalesce(c, F.lit(value)) for c, value in declared.items() if value is not None and c in df.columns})
+
+
 def migrate(
     df: DataFrame, layout: Layout, table: str, column: str, version: str,
     value: str = fv.BACKFILL_PLATFORM_CODE, apply: bool = False,

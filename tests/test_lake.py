@@ -7,6 +7,8 @@ from pyspark.sql.utils import AnalysisException
 
 from meterfold.functions.dates import stamp_literal
 from meterfold.operators import quality
+from meterfold.plans import adapters
+from meterfold.plans.queries import QUERIES
 from meterfold.sources import lake, schemas, sinks
 
 NOW = datetime(2026, 6, 16, 9, 3, 16)
@@ -247,3 +249,16 @@ def test_null_keys_can_be_written_twice(spark, tmp_path):
     for _ in range(2):
         sinks.write_measures(rows, layout, NOW, "arrival", buckets=4, null_safe=True)
         assert len(stored(spark, layout)) == 2
+
+
+def test_migration_of_a_table_with_flags_left_to_their_default(spark, tmp_path):
+    orders = spark.createDataFrame(
+        [(7, 1, "F", datetime(1995, 1, 1)), (1000003, 2, "O", datetime(1996, 1, 1))],
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderdate timestamp")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    old = adapters.build(spark, str(tmp_path), adapters.PDL).drop("platform_code")
+    assert old.where("get_cdc IS NULL").count() == 1
+    with pytest.raises(quality.SchemaViolation):  # the gate itself stays strict
+        sinks.migrate(old, lake.Layout(f"{tmp_path}/lake"), "pdl", "platform_code", "1", apply=True)
+    got = {r.id_pdl: (r.platform_code, r.statut) for r in QUERIES["migrate_store"](spark, str(tmp_path)).collect()}
+    assert got == {f"{7:014d}": ("LEGACY", "traite"), f"{1000003:014d}": ("LEGACY", "nouveau")}
