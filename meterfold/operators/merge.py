@@ -3,18 +3,20 @@
 Joins are on keys that are unique on both sides (after deduplication), so no key can skew them.
 The incoming side of an upsert or a merge is where Spark may broadcast it after its own size check:
 with a small input the target is scanned in place and not shuffled. ``outer_merge`` is for incoming
-rows that are costly to compute: it reads each side once in a full outer join.
+rows that are costly to compute: it reads each side once in a full outer join. ``stacked_merge`` does the
+same for a table that is written by bucket.
 """
 
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from meterfold.functions.dates import iso_stamp
 from meterfold.operators.dedup import keep_first, last_arrived, latest_right_order
 
 UPDATED_AT = "derniere_maj"
+GIVEN = "_given"
 
 
 def _equal(keys: list[str], null_safe: bool) -> Column:
@@ -27,6 +29,17 @@ def _has_id(key: str) -> Column:
     return F.coalesce(F.col(key), F.lit("")) != ""
 
 
+def packed_fields(
+    records: DataFrame, key: str, arrival: str | None = None, fields_set: str = "fields_set",
+) -> DataFrame:
+    """``fields_set`` as one flag character per field, in column order: a few bytes to sort and shuffle."""
+    if fields_set not in records.columns:
+        return records
+    names = [c for c in records.columns if c not in (key, arrival, fields_set)]
+    flags = [F.when(F.array_contains(fields_set, c), "1").otherwise("0") for c in names]
+    return records.select(*[c for c in records.columns if c != fields_set], F.concat(*flags).alias(GIVEN))
+
+
 def partial_upsert(
     target: DataFrame,
     records: DataFrame,
@@ -34,30 +47,31 @@ def partial_upsert(
     key: str = "id_pce",
     arrival: str | None = "input_ord",
     fields_set: str = "fields_set",
-    one_pass: bool = False,
+    unit: list[Column] | None = None,
 ) -> DataFrame:
     """Overwrite only the fields each record carries; insert records with new ids.
 
     ``fields_set`` names the fields present in a record (a present null overwrites with null);
     without that column every field of the record is present. ``arrival`` orders repeated ids;
-    pass ``None`` when ids are already unique. Records without an id are left out. ``one_pass`` reads
-    the target once in a full join, for targets that are narrowed to what the records touch.
+    pass ``None`` when ids are already unique. Records without an id are left out. With ``unit``
+    the target is read once and stays placed by these columns (see ``stacked_merge``), for targets that are
+    narrowed to what the records touch.
     """
-    records = records.where(_has_id(key))
+    # The plain null test spells out what the joins below would each infer: one shuffle serves both.
+    records = packed_fields(records.where(F.col(key).isNotNull() & _has_id(key)), key, arrival, fields_set)
     if arrival is not None:
         records = keep_first(records, [F.col(key)], latest_right_order(arrival)).drop(arrival)
+    fields = [c for c in records.columns if c not in (key, GIVEN)]
     records = records.withColumn(UPDATED_AT, F.lit(iso_stamp(now)))
-    masked = fields_set in records.columns
-    fields = [c for c in records.columns if c not in (key, fields_set)]
 
     def given(c: str) -> Column:
-        if not masked or c == UPDATED_AT:
+        if c == UPDATED_AT or GIVEN not in records.columns:
             return F.col("s._in")
-        return F.col("s._in") & F.array_contains(F.col(f"s.{fields_set}"), c)
+        return F.col("s._in") & (F.substring(F.col(f"s.{GIVEN}"), fields.index(c) + 1, 1) == "1")
 
-    overwrite = {c: given(c) for c in fields}
-    if one_pass:
-        return outer_merge(target, records, key, overwrite)
+    overwrite = {c: given(c) for c in records.columns if c not in (key, GIVEN)}
+    if unit is not None:
+        return stacked_merge(target, records, key, overwrite, unit)
     t, s = target.alias("t"), records.withColumn("_in", F.lit(True)).alias("s")
     same = F.col(f"t.{key}") == F.col(f"s.{key}")
     stored = t.join(s, same, "left").select(
@@ -91,6 +105,23 @@ def outer_merge(target: DataFrame, source: DataFrame, key: str, overwrite: dict)
         F.coalesce(f"t.{key}", f"s.{key}").alias(key), *_merged_columns(target, key, overwrite))
 
 
+def stacked_merge(target: DataFrame, source: DataFrame, key: str, overwrite: dict, unit: list[Column]) -> DataFrame:
+    """``outer_merge`` as one shuffle of both sides by ``unit``, columns that follow from the key.
+
+    The rows stay where the merge put them, so that a writer by these units shuffles nothing again. Rows of
+    both sides meet in a window on the key; the source has at most one row for each.
+    """
+    places = [u.alias(f"_unit{i}") for i, u in enumerate(unit)]
+    names = [f"_unit{i}" for i in range(len(unit))]
+    t = target.select(F.col(key), *places, F.struct(*target.columns).alias("t"))
+    s = source.select(F.col(key), *places, F.struct(*source.columns, F.lit(True).alias("_in")).alias("s"))
+    same = Window.partitionBy(*names, key)
+    rows = t.unionByName(s, allowMissingColumns=True).repartition(*names).select(
+        key, "t", F.first("s", ignorenulls=True).over(same).alias("s"), F.count("t").over(same).alias("_n"))
+    return rows.where(F.col("t").isNotNull() | (F.col("_n") == 0)).select(
+        key, *_merged_columns(target, key, overwrite))
+
+
 def upsert_stats(target: DataFrame, records: DataFrame, key: str = "id_pce") -> DataFrame:
     """One row: created, updated, errors (no id), deduped (repeats of an id)."""
     per_id = records.groupBy(F.nullif(F.col(key), F.lit("")).alias(key)).agg(

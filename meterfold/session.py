@@ -3,7 +3,8 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -52,3 +53,13 @@ def scratch_root(spark: SparkSession) -> str:
     """A fresh directory inside the shared checkpoint folder."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+
+
+def stored_once(df: DataFrame) -> DataFrame:
+    """The rows computed once and kept as compressed columns, a fraction of what a checkpoint writes."""
+    path, spark = f"{scratch_root(df.sparkSession)}/rows", df.sparkSession
+    kept = [f for f in df.schema if not isinstance(f.dataType, T.NullType)]  # files hold no untyped nulls
+    df.select(*[F.col(f.name) for f in kept]).write.parquet(path)
+    names = {f.name for f in kept}
+    return spark.read.schema(T.StructType(kept)).parquet(path).select(
+        *[F.col(f.name) if f.name in names else F.lit(None).alias(f.name) for f in df.schema])

@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 
 from meterfold import fixed_values as fv
 from meterfold.functions.dates import iso_stamp, parse_day, show_typed_stamp, stamp_literal
-from meterfold.operators.merge import UPDATED_AT, merge_rows, partial_upsert
+from meterfold.operators.merge import UPDATED_AT, merge_rows, packed_fields, partial_upsert
 from meterfold.operators.dedup import keep_first, last_arrived, latest_right_order
 from meterfold.operators.quality import require_valid
 from meterfold.sources.lake import (
     GAS_BUCKETS, Layout, agreed_buckets, asked_buckets, bucket_of, bucketed, in_buckets, in_months, month_of,
     read_measures, read_parquet, read_table,
 )
-from meterfold.session import ensure_checkpoint_dir
+from meterfold.session import ensure_checkpoint_dir, stored_once
 from meterfold.sources.schemas import GAS_PERIODS, KEYS, list_columns, schema_of
 
 MEASURE_INPUT = ["id_pdl", "label", "val", "ts", "date_debut", "date_fin", "fmt", "uuid", "misc"]
+BUCKET_SLICES = 64
 
 
 def in_schema_order(df: DataFrame, table: str, *extra: Column) -> DataFrame:
@@ -126,31 +127,42 @@ def write_registry(registry: DataFrame, layout: Layout, key: str, buckets: int)
     write_buckets(rows, layout.silver(registry_table(key)), key)
 
 
+def registry_unit(key: str, buckets: int) -> list[Column]:
+    """Where a registry row is merged and written: its bucket, in slices that tasks may share."""
+    return [bucket_of(F.col(key), buckets), F.pmod(F.hash(key), F.lit(BUCKET_SLICES))]
+
+
+def write_merged(merged: DataFrame, layout: Layout, key: str, buckets: int) -> None:
+    """``write_registry`` for rows that a merge left in their places, see ``registry_unit``."""
+    rows = merged.withColumn("bucket", bucket_of(F.col(key), buckets))
+    write_partitions(rows.sortWithinPartitions("bucket", key), layout.silver(registry_table(key)), "bucket")
+
+
 def upsert_registry(
     records: DataFrame, layout: Layout, schema, now: datetime, key: str = "id_pce",
     arrival: str = "input_ord", buckets: int | None = None,
 ) -> int:
     """Partial upsert into the bucketed registry; returns the number of ids written.
 
-    Only buckets of the feed's ids are read and rewritten, each once, by one full join of what they hold
-    with the feed. ``schema`` is the stored one; fields that it lacks are refused.
+    Only buckets of the feed's ids are read and rewritten, each once: one shuffle brings what they hold
+    and the feed to the places where they are merged and written. ``schema`` is the stored one; fields that it lacks are refused.
     """
     spark = records.sparkSession
     buckets = agreed_buckets(spark, layout, registry_table(key), buckets, store=True)
-    ensure_checkpoint_dir(spark)
-    named = records.where(F.coalesce(F.col(key), F.lit("")) != "")
-    feed = keep_first(named, [F.col(key)], latest_right_order(arrival)).drop(arrival).checkpoint()
-    unknown = sorted(set(feed.columns) - {*schema.names, "fields_set"})
+    unknown = sorted(set(records.columns) - {*schema.names, "fields_set", arrival})
     if unknown:
         raise ValueError(f"colonnes inconnues : {unknown}")
+    named = packed_fields(records.where(F.coalesce(F.col(key), F.lit("")) != ""), key, arrival)
+    feed = stored_once(keep_first(named, [F.col(key)], latest_right_order(arrival)).drop(arrival))
     touched = asked_buckets(feed, key, buckets)
     if not touched:
         return 0
     stored = read_parquet(spark, layout.silver(registry_table(key)), bucketed(schema), absent_is_empty=True)
-    merged = partial_upsert(in_buckets(stored, touched).drop("bucket"), feed, now, key, arrival=None, one_pass=True)
+    merged = partial_upsert(in_buckets(stored, touched).drop("bucket"), feed, now, key, arrival=None,
+                            unit=registry_unit(key, buckets))
     seen = Observation()
     rows = merged.select(*schema.names).observe(seen, F.count_if(F.col(UPDATED_AT) == iso_stamp(now)).alias("n"))
-    write_registry(rows, layout, key, buckets)
+    write_merged(rows, layout, key, buckets)
     return seen.get["n"]
 
 

@@ -150,3 +150,29 @@ def test_small_source_does_not_shuffle_the_target(spark, tmp_path):
     source = target.where("id_pce < '5'")
     plan = plan_of(merge.merge_rows(target, source, ["id_pce"]))
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_both_halves_of_an_upsert_share_the_shuffled_feed(spark):
+    target = spark.createDataFrame([(f"P{i}", "ancien", "avant") for i in range(20)], TARGET)
+    feed = spark.createDataFrame(
+        [(f"P{i % 30}", "2024-01-01", None, "n", None, ["nom"], i) for i in range(60)], FEED)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = merge.partial_upsert(target, feed, NOW)
+        assert len(got.collect()) == 30
+        plan = plan_of(got).split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in plan and "fields_set" not in plan.split("Exchange hashpartitioning", 1)[0]
+
+
+def test_a_stacked_merge_equals_the_outer_join_with_one_shuffle(spark):
+    target = spark.createDataFrame(
+        [("A", 1, "a"), ("A", 2, "b"), ("B", 3, None), (None, 4, "c"), (None, 5, "d")], "id string, n int, x string")
+    source = spark.createDataFrame([("A", "z", 9), ("B", None, 8), ("C", "y", 7)], "id string, x string, extra int")
+    overwrite = {"x": F.col("s._in"), "extra": F.col("s._in") & (F.col("s.extra") > 7)}
+    stacked = merge.stacked_merge(target, source, "id", overwrite, [F.pmod(F.hash("id"), F.lit(4))])
+    joined = merge.outer_merge(target, source, "id", overwrite)
+    assert stacked.columns == joined.columns
+    assert sorted(map(str, stacked.collect())) == sorted(map(str, joined.collect()))
+    assert plan_of(stacked).split("Initial Plan")[0].count("Exchange") == 1
