@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from meterfold import fixed_values as fv
+from meterfold.functions.binding import apart
 from meterfold.functions.booleans import any_true, parse_bool
 from meterfold.functions.dates import parse_day, stamp_literal
 from meterfold.functions.text import clean, is_filled, longer_than, one_of, strip_flat
@@ -105,22 +106,24 @@ def _patch_errors() -> dict[str, Column]:
 
 
 def add_facts(commands: DataFrame) -> DataFrame:
-    """What the body alone decides: fields present, their normal form, the body's own errors."""
-    body = F.col("body")
+    """What the body alone decides: fields it writes (``has``), their normal form, the body's own errors."""
+    body, creating, patching = F.col("body"), F.col("op") == "create", F.col("op") == "patch"
     raw = commands.withColumns({f"raw_{c}": body[c] for c in fv.ELEC_CREATE_FIELDS})
     texts = raw.withColumns({
         **{f"text_{c}": F.nullif(strip_flat(F.col(f"raw_{c}")), F.lit("")) for c in fv.ELEC_CREATE_FIELDS},
-        **{f"has_{c}": F.map_contains_key(body, c) for c in fv.ELEC_PATCH_FIELDS},
+        **{f"has_{c}": F.when(patching, F.map_contains_key(body, c)).otherwise(creating)
+           for c in fv.ELEC_PATCH_FIELDS},
         "not_creatable": first_unlisted(body, fv.ELEC_CREATE_FIELDS),
         "not_patchable": first_unlisted(body, fv.ELEC_PATCH_FIELDS),
     })
     texts = texts.withColumns({
+        "op": apart(F.col("op")),
         **{f"day_{c}": parse_day(_text(c)) for c in fv.ELEC_DATES},
         **{f"flag_{c}": parse_bool(_text(c), "input", stripped=True) for c in fv.ELEC_FLAGS},
     })
-    creating, patching = F.col("op") == "create", F.col("op") == "patch"
     as_text = lambda c: F.col(f"flag_{c}").cast("string")
     return texts.withColumns({
+        "op": apart(F.col("op")),
         "create_error": F.when(creating, _create_error()),
         **{name: F.when(patching, rules) for name, rules in _patch_errors().items()},
         **{f"value_{c}": _text(c) for c in _TEXTS},
@@ -154,8 +157,8 @@ def patch_error(f: Column, state: Column) -> Column:
     )
 
 
-def verdict(f: Column, state: Column, bad_patch: Column) -> Column:
-    op, status = f["op"], clean(state[STATUS])
+def verdict(f: Column, state: Column, bad_patch: Column, status: Column | None = None) -> Column:
+    op, status = f["op"], clean(state[STATUS]) if status is None else status
     t, codes = TEXTS, CODES
     wrong = lambda text: outcome(409, fv.WRONG_STATE, None, t[text], status)
     return (
@@ -187,7 +190,7 @@ def next_state(f: Column, state: Column, result: Column, now: datetime) -> Colum
     kept = {c: state[c] for c in STATE_COLUMNS}
     changed = {
         **kept,
-        **{c: F.when(creating | ((op == "patch") & f["has"][c]), f["value"][c]).otherwise(state[c])
+        **{c: F.when(f["has"][c], f["value"][c]).otherwise(state[c])
            for c in fv.ELEC_PATCH_FIELDS},
         **{c: F.when(creating, f["value"][c]).otherwise(state[c])
            for c in ("partner", "platform_code")},

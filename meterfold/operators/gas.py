@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from meterfold import fixed_values as fv
+from meterfold.functions.binding import apart
 from meterfold.functions.booleans import any_true, parse_bool
 from meterfold.functions.dates import iso_day, iso_stamp, parse_day
 from meterfold.functions.text import (
@@ -116,22 +117,24 @@ def _patch_errors() -> dict[str, Column]:
 
 
 def add_facts(commands: DataFrame) -> DataFrame:
-    """What the body alone decides: fields present, their normal form, the body's own errors."""
-    body = F.col("body")
+    """What the body alone decides: fields it writes (``has``), their normal form, the body's own errors."""
+    body, creating, patching = F.col("body"), F.col("op") == "create", F.col("op") == "patch"
     raw = commands.withColumns({f"raw_{c}": body[c] for c in fv.GAS_CREATE_FIELDS})
     texts = raw.withColumns({
         **{f"text_{c}": F.nullif(strip_flat(F.col(f"raw_{c}")), F.lit("")) for c in fv.GAS_CREATE_FIELDS},
-        **{f"has_{c}": F.map_contains_key(body, c) for c in fv.GAS_PATCH_FIELDS},
+        **{f"has_{c}": F.when(patching, F.map_contains_key(body, c)).otherwise(creating)
+           for c in fv.GAS_PATCH_FIELDS},
         "not_creatable": first_unlisted(body, fv.GAS_CREATE_FIELDS),
         "not_patchable": first_unlisted(body, fv.GAS_PATCH_FIELDS),
     })
     texts = texts.withColumns({
+        "op": apart(F.col("op")),
         **{f"day_{c}": parse_day(F.col(f"text_{c}")) for c in _DAYS},
         **{f"flag_{c}": parse_bool(F.col(f"text_{c}"), "input", stripped=True)
            for c in fv.GAS_PERIMETERS},
     })
-    creating, patching = F.col("op") == "create", F.col("op") == "patch"
     return texts.withColumns({
+        "op": apart(F.col("op")),
         "create_error": F.when(creating, _create_error()),
         **{name: F.when(patching, rules) for name, rules in _patch_errors().items()},
         **{f"value_{c}": F.col(f"text_{c}") for c in _TEXTS},
@@ -165,9 +168,9 @@ def patch_error(f: Column, state: Column) -> Column:
     )
 
 
-def verdict(f: Column, state: Column, bad_patch: Column) -> Column:
+def verdict(f: Column, state: Column, bad_patch: Column, status: Column | None = None) -> Column:
     """Outcome of one command against one stored state."""
-    op, status = f["op"], clean(state[STATUS])
+    op, status = f["op"], clean(state[STATUS]) if status is None else status
     t, codes = TEXTS, CODES
     wrong = lambda text: outcome(409, fv.WRONG_STATE, None, t[text], status)
     return (
@@ -195,11 +198,11 @@ def verdict(f: Column, state: Column, bad_patch: Column) -> Column:
 def next_state(f: Column, state: Column, result: Column, now: datetime) -> Column:
     """The stored state after the command (unchanged when it was refused)."""
     op = f["op"]
-    creating, patching = op == "create", op == "patch"
+    creating = op == "create"
     requeued = op.isin("patch", "retry")
     stamp = F.lit(iso_stamp(now))
     changed = {
-        **{c: F.when(creating | (patching & f["has"][c]), f["value"][c]).otherwise(state[c])
+        **{c: F.when(f["has"][c], f["value"][c]).otherwise(state[c])
            for c in fv.GAS_PATCH_FIELDS},
         **{c: F.when(creating, f["value"][c]).otherwise(state[c])
            for c in ("partner", "platform_code")},

@@ -4,6 +4,7 @@ import random
 from datetime import date, datetime
 
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -352,3 +353,37 @@ def test_json_requests_keep_absent_and_null_apart(spark):
                                  "seq bigint, id string, op string, body string")
     body = read_commands(rows).select(F.col("body")).head().body
     assert body == {"nom_titulaire": None, "perim_donnees_publiees": "true"}
+
+
+def test_a_filter_on_the_fold_does_not_fold_again(spark):
+    rows = spark.createDataFrame(
+        [(i, f"P{i % 3}", "retry", None) for i in range(9)], COMMANDS)
+    registry = spark.createDataFrame(
+        [("P0", "A revérifier"), ("P1", "nouveau")], "id_pce string, etat_droit_acces string")
+    for df in ops.fold(rows, registry, gas, NOW):
+        plan = plan_of(df.where("id_pce IS NOT NULL" if "id_pce" in df.columns else "id IS NOT NULL"))
+        assert plan.count("aggregate(commands") == 1
+    assert [r.op for r in ops.fold(rows, registry, gas, NOW)[0].collect()] == ["retry"] * 9
+
+
+def test_commands_without_rules_on_their_body_travel_without_it(spark):
+    body = {"nom_titulaire": "x"}
+    rows = spark.createDataFrame(
+        [(i, "P", op, body) for i, op in enumerate(["create", "patch", "retry", "revoke", None])], COMMANDS)
+    assert {r.seq: len(r.body) for r in ops.addressed(rows, gas).collect()} == {0: 1, 1: 1, 2: 0, 3: 0, 4: 0}
+
+
+@pytest.mark.parametrize("chunk_rows", [2, 256])
+def test_repeated_commands_count_once_inside_the_fold(spark, chunk_rows):
+    rows = [(seq, meter, "patch", {"nom_titulaire": f"{name}{seq}"})
+            for meter in ("P", "Q") for seq in range(5) for name in ("b", "a", "c")]
+    rows += [(9, None, "create", {"nom_titulaire": "x"})] * 2
+    asked = ops.addressed(spark.createDataFrame(rows, COMMANDS), gas)
+    registry = spark.createDataFrame(
+        [("P", "Active", True), ("Q", "Active", True)],
+        "id_pce string, etat_droit_acces string, perim_donnees_publiees boolean")
+    total = [F.col("op"), F.to_json(F.array_sort(F.map_entries("body")))]
+    outcomes, changes = ops.fold(asked, registry, gas, NOW, chunk_rows=chunk_rows, total=total)
+    assert sorted(r.seq for r in outcomes.where("id IS NOT NULL").collect()) == sorted([*range(5)] * 2)
+    assert outcomes.where("id IS NULL").count() == 2
+    assert {(r.id_pce, r.nom_titulaire) for r in changes.collect()} == {("P", "a4"), ("Q", "a4")}
