@@ -11,11 +11,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from meterfold.operators import commands as ops
-from meterfold.operators.dedup import keep_first
 from meterfold.operators.quality import split_valid
 from meterfold.operators.requests import PAIR, accept_spaced
 from meterfold.sources import sinks
-from meterfold.sources.lake import Layout, bucket_of, bucketed, in_buckets, read_parquet
+from meterfold.sources.lake import Layout, bucket_of, bucketed, find_parquet, in_buckets, read_parquet
 from meterfold.sources.sinks import error_log_rows, write_measures, write_partitions
 
 
@@ -91,17 +90,17 @@ def apply_commands(
         key = F.col(book.KEY)
         if not _is_logged(spark, marks_at, batch_id):
             asked = ops.addressed(batch, book)
+            seen = find_parquet(spark, outcomes_at, _with_batch(
+                T.StructType([batch.schema["id"], batch.schema["seq"]])))
+            if seen is not None:
+                same = (F.col("a.id") == F.col("s.id")) & (F.col("a.seq") == F.col("s.seq"))
+                earlier = seen.where(F.col("batch_id") < batch_id)
+                asked = asked.alias("a").join(earlier.alias("s"), same, "left_anti")
             # Of several bodies under one id and seq the same one is kept in every run.
             total = [F.col("op"), F.to_json(F.array_sort(F.map_entries("body")))]
-            asked = keep_first(asked.where(F.col("id").isNotNull()), ["id", "seq"], total).unionByName(
-                asked.where(F.col("id").isNull()))
-            seen_schema = T.StructType([batch.schema["id"], batch.schema["seq"]])
-            seen = stored_batches(spark, outcomes_at, seen_schema).where(
-                F.col("batch_id") < batch_id)
-            same = (F.col("a.id") == F.col("s.id")) & (F.col("a.seq") == F.col("s.seq"))
-            fresh = asked.alias("a").join(seen.alias("s"), same, "left_anti")
             # Stored once: outcomes and changes come from the same fold.
-            outcomes, changes = ops.fold(fresh, stored.drop("bucket"), book, now, store=True)
+            outcomes, changes = ops.fold(
+                asked, stored.drop("bucket"), book, now, store=True, total=total)
             _write_batch(outcomes, outcomes_at, batch_id)
             _write_batch(
                 changes.withColumn("bucket", bucket_of(key, buckets)), changes_at, batch_id)
@@ -117,8 +116,9 @@ def apply_commands(
         touched = [r.bucket for r in changes.select("bucket").distinct().collect()]
         if touched:
             part = in_buckets(stored, touched).drop("bucket")
-            merged = ops.apply_changes(part, changes.drop("bucket"), book)
-            write_registry(merged, layout, book, buckets)
+            unit = sinks.registry_unit(book.KEY, buckets)
+            merged = ops.apply_changes(part, changes.drop("bucket"), book, unit)
+            sinks.write_merged(merged, layout, book.KEY, buckets)
 
     return _start(stream, handle, checkpoint, available_now)
 
