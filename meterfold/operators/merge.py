@@ -109,17 +109,21 @@ def stacked_merge(target: DataFrame, source: DataFrame, key: str, overwrite: dic
     """``outer_merge`` as one shuffle of both sides by ``unit``, columns that follow from the key.
 
     The rows stay where the merge put them, so that a writer by these units shuffles nothing again. Rows of
-    both sides meet in a window on the key; the source has at most one row for each.
+    both sides meet in a window on the key: the source has few rows for each, as a rule one.
     """
     places = [u.alias(f"_unit{i}") for i, u in enumerate(unit)]
     names = [f"_unit{i}" for i in range(len(unit))]
     t = target.select(F.col(key), *places, F.struct(*target.columns).alias("t"))
     s = source.select(F.col(key), *places, F.struct(*source.columns, F.lit(True).alias("_in")).alias("s"))
-    same = Window.partitionBy(*names, key)
-    rows = t.unionByName(s, allowMissingColumns=True).repartition(*names).select(
-        key, "t", F.first("s", ignorenulls=True).over(same).alias("s"), F.count("t").over(same).alias("_n"))
-    return rows.where(F.col("t").isNotNull() | (F.col("_n") == 0)).select(
-        key, *_merged_columns(target, key, overwrite))
+    t = t.withColumn("s", F.lit(None).cast(s.schema["s"].dataType))
+    s = s.withColumn("t", F.lit(None).cast(t.schema["t"].dataType))
+    # Null keys meet nothing on the other side.
+    same = Window.partitionBy(*names, key, F.col(key).isNull() & F.col("t").isNull())
+    rows = t.unionByName(s).repartition(*names).select(
+        key, "t", "s", F.collect_list("s").over(same).alias("_all"), F.count("t").over(same).alias("_n"))
+    met = rows.where(F.col("t").isNotNull() | (F.col("_n") == 0)).select(
+        key, "t", F.explode_outer(F.when(F.col("t").isNotNull(), F.col("_all")).otherwise(F.array("s"))).alias("s"))
+    return met.select(key, *_merged_columns(target, key, overwrite))
 
 
 def upsert_stats(target: DataFrame, records: DataFrame, key: str = "id_pce") -> DataFrame:

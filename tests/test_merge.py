@@ -169,7 +169,7 @@ def test_both_halves_of_an_upsert_share_the_shuffled_feed(spark):
 def test_a_stacked_merge_equals_the_outer_join_with_one_shuffle(spark):
     target = spark.createDataFrame(
         [("A", 1, "a"), ("A", 2, "b"), ("B", 3, None), (None, 4, "c"), (None, 5, "d")], "id string, n int, x string")
-    source = spark.createDataFrame([("A", "z", 9), ("B", None, 8), ("C", "y", 7)], "id string, x string, extra int")
+    source = spark.createDataFrame([("A", "z", 9), ("A", "w", 3), ("B", None, 8), ("C", "y", 7), ("C", "v", 6), (None, "u", 5)], "id string, x string, extra int")
     overwrite = {"x": F.col("s._in"), "extra": F.col("s._in") & (F.col("s.extra") > 7)}
     stacked = merge.stacked_merge(target, source, "id", overwrite, [F.pmod(F.hash("id"), F.lit(4))])
     joined = merge.outer_merge(target, source, "id", overwrite)
