@@ -11,6 +11,7 @@ from meterfold import fixed_values as fv
 from meterfold.functions.dates import iso_day, parse_day
 from meterfold.functions.text import clean, number
 from meterfold.operators.outcomes import error, first_error, invalid
+from meterfold.session import stored_once
 
 SHAPE = ["provider", "sensor_id", "date_debut", "date_fin", "consommation", "unite"]
 SENSOR = ["provider", "sensor_id"]
@@ -117,8 +118,12 @@ def check_requests(requests: DataFrame) -> DataFrame:
 
 
 def _asked_bounds(windows: DataFrame) -> DataFrame:
-    """Per asked sensor the earliest and the latest day of all its windows: what a period can count for."""
-    return windows.groupBy(*SENSOR).agg(F.min("low").alias("from_day"), F.max("high").alias("to_day"))
+    """Per asked sensor the earliest and the latest day of all its windows, what a period can count for, and
+    the ``levels`` of the nodes that its windows are made of (see below)."""
+    days = windows.groupBy(*SENSOR).agg(
+        F.min("low").alias("from_day"), F.max("high").alias("to_day"), F.collect_set("high").alias("highs"))
+    levels = F.transform("highs", lambda high: F.transform(_prefix_nodes(high), lambda x: x["level"]))
+    return days.select(*SENSOR, "from_day", "to_day", F.array_distinct(F.flatten(levels)).alias("levels"))
 
 
 def _in_reach(periods: DataFrame, windows: DataFrame) -> DataFrame:
@@ -150,12 +155,13 @@ def requested_periods(requests: DataFrame, periods: DataFrame) -> DataFrame:
 # numbered from the sensor's first asked day; a prefix [0, n) of those numbers is a disjoint union of nodes
 # (level, node) with 2**level days each, one per bit set in n. A period lies in one node of every level, so
 # summing the nodes' running counts, taken over start days from the last to the first, answers every
-# window exactly: (periods + windows) * log(days) rows and no pair of a window and a period.
+# window exactly: (periods + windows) * log(days) rows and no pair of a window and a period. A period is sent to
+# the levels that a window of its sensor has a node in: one for a sensor with one window, whatever its length.
 
 def _node_counts(reached: DataFrame) -> DataFrame:
     """Periods per (sensor, level, node, start day), combined per task; a node has one row per start day at most."""
     end = F.greatest(F.datediff("last_day", "from_day"), F.lit(0))
-    level = F.explode(F.sequence(F.lit(0), _levels()))
+    level = F.explode("levels")
     return reached.select(*SENSOR, F.col("first_day").alias("day"), end.alias("end"), level.alias("level")).groupBy(
         *SENSOR, "level", F.expr("shiftright(end, level)").alias("node"), "day").agg(F.count(F.lit(1)).alias("n"))
 
@@ -165,16 +171,20 @@ def _levels():
     return F.length(F.bin(F.datediff("to_day", "from_day")))
 
 
-def _window_nodes(windows: DataFrame) -> DataFrame:
-    """The nodes that make up each window's end days; a window up to the last asked day has one."""
-    n = F.datediff("high", "from_day") + 1
+def _prefix_nodes(high: Column) -> Column:
+    """The nodes that make up the end days up to ``high``; those up to the last asked day are one."""
+    n = F.datediff(high, F.col("from_day")) + 1
     whole = F.array(F.struct(_levels().alias("level"), F.lit(0).alias("node")))
-    bits = F.filter(F.sequence(F.lit(0), _levels()), lambda b: F.call_function("bit_get", F.col("n"), b) == 1)
+    bits = F.filter(F.sequence(F.lit(0), _levels()), lambda b: F.call_function("bit_get", n, b) == 1)
     nodes = F.transform(bits, lambda b: F.struct(
-        b.alias("level"), (F.call_function("shiftright", F.col("n"), b) - 1).alias("node")))
-    cut = windows.join(_asked_bounds(windows), SENSOR).withColumn("n", n)
-    return cut.select(*SENSOR, "low", "high", F.inline(
-        F.when(F.col("high") == F.col("to_day"), whole).otherwise(nodes)))
+        b.alias("level"), (F.call_function("shiftright", n, b) - 1).alias("node")))
+    return F.when(high == F.col("to_day"), whole).otherwise(nodes)
+
+
+def _window_nodes(windows: DataFrame) -> DataFrame:
+    """The nodes that make up each window's end days."""
+    return windows.join(_asked_bounds(windows), SENSOR).select(
+        *SENSOR, "low", "high", F.inline(_prefix_nodes(F.col("high"))))
 
 
 def window_counts(windows: DataFrame, periods: DataFrame) -> DataFrame:
@@ -183,6 +193,7 @@ def window_counts(windows: DataFrame, periods: DataFrame) -> DataFrame:
     A sensor's node holds one row per start day and one per asked ``low``, so the sweep's windows are
     bounded by the calendar, however many periods and requests a sensor has.
     """
+    windows = stored_once(windows)
     nodes = _window_nodes(windows)
     unit = [*SENSOR, "level", "node"]
     asked = nodes.select(*unit, F.col("low").alias("day"), F.lit(None).cast("bigint").alias("n")).distinct()
@@ -198,23 +209,30 @@ def window_counts(windows: DataFrame, periods: DataFrame) -> DataFrame:
 
 def kept_counts(requests: DataFrame, periods: DataFrame) -> DataFrame:
     """Number of periods inside each valid request's window (requests with none are absent)."""
-    good = check_requests(requests).where(F.col("err").isNull())
+    return _kept_counts(check_requests(requests).where(F.col("err").isNull()), periods)
+
+
+def _kept_counts(good: DataFrame, periods: DataFrame) -> DataFrame:
     window = [*SENSOR, "low", "high"]
     return good.join(window_counts(good.select(*window).distinct(), periods), window).select("req_id", "n_kept")
 
 
-def request_outcomes(requests: DataFrame, periods: DataFrame, known: DataFrame) -> DataFrame:
+def request_outcomes(
+    requests: DataFrame, periods: DataFrame, known: DataFrame, checked: DataFrame | None = None,
+) -> DataFrame:
     """One row per request: 400, 404 or 200 with the number of periods kept.
 
     ``known``: provider and sensor_id of everything stored, TOTAL or not; a sensor with rows but
-    none kept answers 200 with zero.
+    none kept answers 200 with zero. Requests are checked once and kept; ``checked``: what
+    ``check_requests`` made of them, if the caller has it stored.
     """
-    checked = check_requests(requests)
+    if checked is None:
+        checked = stored_once(check_requests(requests))
     good = checked.where(F.col("err").isNull())
     # What is stored is narrowed to the asked sensors before it is made distinct.
     existing = known.select(*SENSOR).join(good.select(*SENSOR), SENSOR, "left_semi").distinct().withColumn(
         "known", F.lit(True))
-    kept = kept_counts(requests, periods)
+    kept = _kept_counts(good, periods)
     found = F.col("known").isNotNull()
     judged = good.join(existing, SENSOR, "left").join(kept, "req_id", "left").select(
         "req_id", *SENSOR,

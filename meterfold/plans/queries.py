@@ -16,7 +16,7 @@ from meterfold.operators import (
     access, commands, consumption, dedup, electricity, gas, merge, quality, registry, requests,
 )
 from meterfold.plans import adapters as a
-from meterfold.session import scratch_root
+from meterfold.session import scratch_root, stored_once
 from meterfold.sources import sinks
 from meterfold.sources.lake import (
     Layout, read_asked, read_commands, read_gas_meter, read_measures, read_meter, read_registry, read_table,
@@ -441,9 +441,10 @@ def consumption_lake(spark, sf):
     sinks.write_gas_periods(gas_periods, layout, buckets=32)
     sinks.write_measures(measures, layout, NOW, "arrival", buckets=32)
     asked = a.build(spark, sf, a.REQUESTS)
-    sources = read_asked(spark, layout, consumption.check_requests(asked).where("err IS NULL"))
+    checked = stored_once(consumption.check_requests(asked))
+    sources = read_asked(spark, layout, checked.where("err IS NULL"))
     return consumption.request_outcomes(
-        asked, consumption.all_periods(*sources), consumption.known_sensors(*sources))
+        asked, consumption.all_periods(*sources), consumption.known_sensors(*sources), checked)
 
 
 def lake_upsert(spark, sf):

@@ -90,6 +90,31 @@ def test_counting_by_a_sweep_equals_the_model(spark):
     assert rows <= len(periods) * 23 < len(periods) * len(windows) / 2
 
 
+def test_a_period_is_counted_at_the_levels_of_its_windows_only(spark):
+    days = [date(2020, 1, 1) + timedelta(k) for k in range(300)]
+    stored = spark.createDataFrame([("grdf", s, d, d + timedelta(9)) for s in ("one", "two") for d in days],
+                                   "provider string, sensor_id string, first_day date, last_day date")
+    last = days[-1] + timedelta(9)
+    asked = spark.createDataFrame(
+        [("grdf", "one", days[0], last), ("grdf", "two", days[0], last), ("grdf", "two", days[0], days[0] + timedelta(63))],
+        "provider string, sensor_id string, low date, high date")
+    rows = consumption._node_counts(consumption._in_reach(stored, asked)).groupBy("sensor_id").count().collect()
+    # A window up to the last asked day is one node, and so are 64 days: one row per period and node.
+    assert {r.sensor_id: r["count"] for r in rows} == {"one": 300, "two": 600}
+    got = {(r.sensor_id, r.high): r.n_kept for r in consumption.window_counts(asked, stored).collect()}
+    assert got == {("one", last): 300, ("two", last): 300, ("two", days[0] + timedelta(63)): 55}
+
+
+def test_requests_are_checked_once(spark):
+    asked = ask(spark, ("grdf", "GI1", "2024-01-01", "2024-06-01"), ("GRDF", "GI1", "x", None)).withColumn(
+        "to", F.concat(F.col("to"), F.lit("")))
+    out = consumption.request_outcomes(
+        asked, consumption.all_periods(gas_periods(spark), measures(spark)),
+        consumption.known_sensors(gas_periods(spark), measures(spark)))
+    # What the answer reads of the requests is the checked table, not the texts.
+    assert "concat(to" not in plan_of(out) and [r.http_status for r in out.orderBy("req_id").collect()] == [200, 400]
+
+
 def test_a_window_without_end_reads_stored_years_only(spark):
     asked = ask(spark, ("grdf", "GI1", "0001-01-01", "9999-12-31"))
     found = consumption.requested_periods(asked, consumption.all_periods(gas_periods(spark), measures(spark)))
