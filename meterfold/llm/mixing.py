@@ -25,6 +25,7 @@ used to fill (they could not be told apart); the seed fixes all choices, so reru
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from meterfold.llm.common import cut, written
 
@@ -135,8 +136,9 @@ def draw_blocks(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
         F.lit(None).cast("double").alias("limit"))
     draws = written(whole.unionByName(last).withColumn(
         "at", F.row_number().over(by_source.orderBy("pass", permuted, "block")).cast("long")))
-    quotas = split_quotas(
-        draws.groupBy("_key").agg(F.count(F.lit(1)).alias("quota")), shards, seed)
+    # Few rows (sources times shards), cut off so that their levels are not planned again with the draws.
+    quotas = cut(split_quotas(
+        draws.groupBy("_key").agg(F.count(F.lit(1)).alias("quota")), shards, seed))
     until = F.sum("quota").over(by_source.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     places = quotas.withColumn("until", until).select("_key", "shard", F.explode(
         F.sequence(F.col("until") - F.col("quota") + 1, F.col("until"))).alias("at"))
@@ -195,19 +197,22 @@ def _fills(met: DataFrame, plan: DataFrame) -> DataFrame:
                                            F.count(F.lit(1)).alias("rows")).where("rows = 1").drop("rows"))
     chosen = left.limit(0).select("_key", F.lit(None).cast(met.schema["doc_id"].dataType).alias("doc_id"),
                                   F.lit(0).cast("long").alias("text_hash"), "end")
+    # What a source took goes along with it, so every round reads two tables and its plan stays as small as the first.
+    fill = free.select(F.struct("doc_id", "text_hash")).schema[0].dataType
+    left = left.withColumn("taken", F.array().cast(T.ArrayType(fill)))
     while True:
         off = F.abs(F.col("size") - F.col("missing"))
-        near = free.join(left, "_key").where(off < F.col("missing"))
-        best = written(near.groupBy("_key", "end", "missing").agg(F.min_by(
-            F.struct("doc_id", "text_hash", "size"), F.struct(off, "inner", "text_hash")).alias("fill")).select(
-            "_key", "end", "missing", "fill.*"))
+        is_taken = F.exists("taken", lambda t: t["doc_id"].eqNullSafe(F.col("doc_id")) & (t["text_hash"] == F.col("text_hash")))
+        near = free.join(left, "_key").where((off < F.col("missing")) & ~is_taken)
+        best = written(near.groupBy("_key").agg(
+            F.any_value("end").alias("end"), F.any_value("missing").alias("missing"), F.any_value("taken").alias("taken"),
+            F.min_by(F.struct("doc_id", "text_hash", "size"), F.struct(off, "inner", "text_hash")).alias("fill")).select(
+            "_key", "end", "missing", "taken", "fill.*"))
         if best.isEmpty():
             return chosen
         chosen = chosen.unionByName(best.select(*chosen.columns))
-        taken = (F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
-                 & (F.col("a._key") == F.col("b._key")))
-        free = free.alias("a").join(best.alias("b"), taken, "left_anti")
-        left = best.select("_key", "end", (F.col("missing") - F.col("size")).alias("missing"))
+        left = best.select("_key", "end", (F.col("missing") - F.col("size")).alias("missing"),
+                           F.array_append("taken", F.struct("doc_id", "text_hash")).alias("taken"))
 
 
 def drawn(docs: DataFrame, keep: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -220,12 +225,13 @@ def drawn(docs: DataFrame, keep: list[str], shards: int = SHARDS, seed: int = SE
         "_key", F.col("size").alias("source_size"), "target", blocks.alias("blocks")))
     placed = _placed(sized, targets, seed)
     fit = F.when(F.col("size") <= _rest(), F.col("size")).otherwise(F.lit(0))
-    sums = placed.where(F.col("size") > 0).groupBy("_key", "block").agg(
-        F.sum(fit).alias("fit"), F.max("source_size").alias("source_size"), F.max("target").alias("target"))
+    sums = written(placed.where(F.col("size") > 0).groupBy("_key", "block").agg(
+        F.sum(fit).alias("fit"), F.max("source_size").alias("source_size"), F.max("target").alias("target")))
     plan = written(draw_blocks(sums, shards, seed))
-    fills = written(_fills(_met(placed, plan), plan)).alias("f")
-    rows = placed if not keep else _placed(_sized(docs, keep), targets, seed)
-    met = _met(rows, plan).alias("d")
+    # Without the documents' columns: some bytes a row, read again instead of planned and computed again.
+    slim = written(_met(placed, plan))
+    fills = written(_fills(slim, plan)).alias("f")
+    met = (slim if not keep else _met(_placed(_sized(docs, keep), targets, seed), plan)).alias("d")
     is_fill = ((F.col("d._key") == F.col("f._key")) & F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))
                & (F.col("d.text_hash") == F.col("f.text_hash")))
     return met.join(fills, is_fill, "left").select(

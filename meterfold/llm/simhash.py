@@ -69,7 +69,8 @@ def tile_pairs(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Data
     visitors = tiles.select(*names, "part", "fps", F.explode(offsets).alias("o")).where(inside).select(
         code(there).alias("cell"), F.col("part").alias("visitor_part"), F.col("fps").alias("visitor"),
         (F.abs("o.d0") + F.abs("o.d1") + F.abs("o.d2") + F.abs("o.d3") == 0).alias("home"))
-    pairs = own.join(visitors, "cell").where(~F.col("home") | (F.col("own_part") <= F.col("visitor_part")))
+    # Spark takes the visitors for as small as the tiles they are copied from and would gather all copies in the driver.
+    pairs = own.join(visitors.hint("merge"), "cell").where(~F.col("home") | (F.col("own_part") <= F.col("visitor_part")))
     return pairs.select(
         "own", "visitor", (F.col("home") & (F.col("own_part") == F.col("visitor_part"))).alias("same"))
 
@@ -84,15 +85,16 @@ def components(edges: DataFrame) -> DataFrame:
         low = pairs.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("low", "u"))
         return pairs.join(low, "u")
 
+    def rows_of(pairs: DataFrame, *sides) -> DataFrame:
+        """Several (u, v) of each row, without a second copy of what ``pairs`` comes from in the plan."""
+        return pairs.select(F.inline(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in sides])))
+
     now, before = cut(edges.where("u <> v").distinct()), None
     while True:
-        both = now.union(now.select("v", "u"))
-        large = tied(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        met = tied(down)
-        small = met.where("v <> low").select(F.col("v").alias("u"), F.col("low").alias("v")).union(
-            met.select("u", F.col("low").alias("v"))).where("u <> v").distinct()
-        now = cut(small)
+        both = rows_of(now, ("u", "v"), ("v", "u"))
+        # Checkpointed between the stars: a plan of both would hold the first one four times. Here u > v.
+        large = cut(tied(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct())
+        now = cut(rows_of(tied(large), ("v", "low"), ("u", "low")).where("u <> v").distinct())
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

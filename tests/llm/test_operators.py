@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from meterfold.llm import (
@@ -312,6 +313,29 @@ def test_mixing_of_one_very_long_document(spark, first):
     assert all(abs(taken[s] - targets[s]) <= 150 for s in targets)
 
 
+def joins_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+def test_fills_plan_every_round_alike(spark, monkeypatch):
+    met = spark.createDataFrame(
+        [("a", k, 100 + k, 3 ** k, 7 * k, None, []) for k in range(1, 9)] + [("a", 90, 190, 5, 1, 5000.0, [(0, 3)])],
+        "_key string, doc_id bigint, text_hash bigint, size bigint, inner bigint, limit double, draws array<struct<pass int, shard int>>"
+    ).withColumns({"target": F.lit(5000.0), "source_size": F.lit(20000)})
+    plan = spark.createDataFrame([("a", 5000.0, [(0, 3)])], "_key string, limit double, draws array<struct<pass int, shard int>>")
+    plans, written = [], mixing.written
+    monkeypatch.setattr(mixing, "written", lambda df, *p: (plans.append(joins_of(df)), written(df, *p))[1])
+    fills = mixing._fills(met, plan).collect()
+    # 4995 words are missing: the documents of 6561 and then none brings the source nearer.
+    assert [(r._key, r.doc_id, r.text_hash, tuple(r.end)) for r in fills] == [("a", 8, 108, (0, 3))]
+    met = met.where("size < 6000")
+    plans.clear()
+    fills = mixing._fills(met, plan).collect()
+    # 4995 = 2187 + 729 + 243 + ... : one document a round, none twice, and no round plans those before it.
+    assert [r.doc_id for r in fills] == [7, 6, 5, 4, 3, 2, 1]
+    assert len(plans) == 10 and max(plans[2:]) == min(plans[2:]) == 1
+
+
 def test_mixing(docs, rows, none):
     got = mixing.mix_report(docs).collect()
     assert multiset(got) == multiset(mixing.mix_report(docs.repartition(5)).collect())
@@ -399,12 +423,27 @@ def test_tiles_lose_no_link(spark):
     assert got <= want and all(len({root(x) for x in pair}) == 1 for pair in want)
 
 
+def test_tile_copies_are_not_broadcast(spark):
+    nodes = spark.range(500).select(F.xxhash64("id").alias("fp"))
+    pairs = simhash.tile_pairs(nodes)
+    pairs.collect()
+    assert "Broadcast" not in plan_of(pairs) and "SortMergeJoin" in plan_of(pairs)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(90, 91), (91, 90)], "u bigint, v bigint")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 91: 90}
 
 
+def test_each_star_is_planned_by_itself(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 8), (8, 8)], "u bigint, v bigint")
+    plans, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: (plans.append(joins_of(df)), cut(df))[1])
+    assert {r.node: r.root for r in simhash.components(edges).collect()} == {2: 1, 3: 1, 4: 1, 8: 7}
+    assert max(plans) == 1
+
+
 def test_repeats(docs, rows, none):
     seen = defaultdict(set)
     for doc, text in texts(rows):
